@@ -181,18 +181,39 @@ def corner_region(left: Column, right: Column) -> Column:
 
 def hemispheres(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
     """Quadrants a box touches: one name, a pair, 'All', or 'Central' when it touches none."""
-    west, east, south, north = xmin < 0, xmax > 0, ymin < 0, ymax > 0
-    return (
-        F.when(west & east & south & north, "All")
-        .when(west & east & south, "SW-SE")
-        .when(west & east & north, "NE-NW")
-        .when(west & south & north, "SW-NW")
-        .when(east & south & north, "SE-NE")
-        .when(west & south, "SW")
-        .when(west & north, "NW")
-        .when(east & south, "SE")
-        .when(east & north, "NE")
-        .otherwise("Central")
+    return quadrant_names(xmin < 0, xmax > 0, ymin < 0, ymax > 0)
+
+
+def quadrant_names(west: Column, east: Column, south: Column, north: Column) -> Column:
+    """Name of the touched quadrants, looked up by the four flags (each is computed once)."""
+    names = []
+    for flags in range(16):
+        w, e, s, n = flags & 8, flags & 4, flags & 2, flags & 1
+        if w and e and s and n:
+            name = "All"
+        elif w and e and (s or n):
+            name = "SW-SE" if s else "NE-NW"
+        elif s and n and (w or e):
+            name = "SW-NW" if w else "SE-NE"
+        elif (w or e) and (s or n):
+            name = ("S" if s else "N") + ("W" if w else "E")
+        else:
+            name = "Central"
+        names.append(F.lit(name))
+    index = sum(
+        (F.coalesce(flag, F.lit(False)).cast("int") * weight for flag, weight in ((west, 8), (east, 4), (south, 2), (north, 1))),
+        F.lit(0),
+    )
+    return F.get(F.array(*names), index)
+
+
+def cell_hemispheres(hash1: Column, hash2: Column) -> Column:
+    """Quadrants between the centres of two cells. A cell lies in the quadrant of its first letter,
+    and no centre lies on the equator or the prime meridian."""
+    a, b = F.substring(hash1, 1, 1), F.substring(hash2, 1, 1)
+    letters = lambda *names: list("".join(QUADRANT_LETTERS[n] for n in names))
+    return quadrant_names(
+        a.isin(letters("NW", "SW")), b.isin(letters("NE", "SE")), a.isin(letters("SW", "SE")), b.isin(letters("NW", "NE"))
     )
 
 
@@ -213,12 +234,11 @@ def path_of(prefix: Column, depth: int) -> Column:
 def with_nested_path(df: DataFrame, depth: int = 3, name: str = "path") -> DataFrame:
     """Path of a row with `hash1`/`hash2`: shared letters (at most `depth`) joined by '/', else
     the hemisphere of the two cell centres. `depth=1` is the flat bin."""
-    df = with_decoded(df, "hash1", "_a", depth)
-    df = with_decoded(df, "hash2", "_b", depth)
-    shared = shared_prefix("hash1", "hash2", depth)
-    hemisphere = hemispheres(F.col("_alon"), F.col("_alat"), F.col("_blon"), F.col("_blat"))
-    path = F.when(shared == "", hemisphere).otherwise(path_of(shared, depth))
-    return df.withColumn(name, path).drop("_alon", "_alat", "_blon", "_blat")
+    a, b = F.col("hash1"), F.col("hash2")
+    path = cell_hemispheres(a, b)
+    for size in range(1, depth + 1):
+        path = F.when(F.substring(a, 1, size) == F.substring(b, 1, size), path_of(a, size)).otherwise(path)
+    return df.withColumn(name, F.when(a.isNotNull() & b.isNotNull(), path))
 
 
 def flat_path(df: DataFrame, name: str = "path") -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granulake.functions.staging import let
+
 RINGS_DDL = "array<struct<part:int,hole:boolean,xs:array<double>,ys:array<double>>>"
 GEOMETRY_DDL = f"struct<kind:string,rings:{RINGS_DDL}>"
 
@@ -36,7 +38,9 @@ def ring(xs: Column, ys: Column, hole: bool = False, part: int = 0) -> Column:
 def polygon_rings(points) -> Column:
     """Rings of one polygon from (x, y) pairs of columns or numbers; closed if left open."""
     points = list(points)
-    if points[0] != points[-1]:
+    # columns are compared by identity: `!=` on them builds an expression
+    same = [a is b or (not isinstance(a, Column) and not isinstance(b, Column) and a == b) for a, b in zip(points[0], points[-1])]
+    if not all(same):
         points.append(points[0])
     return F.array(ring(_doubles([p[0] for p in points]), _doubles([p[1] for p in points])))
 
@@ -195,21 +199,24 @@ def vertex_count_of_text(wkt: Column) -> Column:
 
 
 def envelope(rings: Column) -> Column:
-    return box_rings(xmin(rings), ymin(rings), xmax(rings), ymax(rings))
+    return let(bbox(rings), lambda b: box_rings(b["xmin"], b["ymin"], b["xmax"], b["ymax"]))
 
 
 def corners(rings: Column) -> Column:
     """Corner points of the envelope: lower left, lower right, upper right, upper left."""
-    w, s, e, n = xmin(rings), ymin(rings), xmax(rings), ymax(rings)
-    named = [("LL", w, s), ("LR", e, s), ("UR", e, n), ("UL", w, n)]
-    return F.array(*[F.struct(F.lit(k).alias("corner"), x.alias("x"), y.alias("y")) for k, x, y in named])
+
+    def named(b):
+        w, s, e, n = b["xmin"], b["ymin"], b["xmax"], b["ymax"]
+        points = [("LL", w, s), ("LR", e, s), ("UR", e, n), ("UL", w, n)]
+        return F.array(*[F.struct(F.lit(k).alias("corner"), x.alias("x"), y.alias("y")) for k, x, y in points])
+
+    return let(bbox(rings), named)
 
 
 def corner_multipoint(rings: Column) -> Column:
     """Rings of the MultiPoint of the four envelope corners."""
-    pick = corners(rings)
     return F.transform(
-        pick,
+        corners(rings),
         lambda c, i: F.struct(
             i.cast("int").alias("part"), F.lit(False).alias("hole"), F.array(c["x"]).alias("xs"), F.array(c["y"]).alias("ys")
         ),
@@ -218,11 +225,19 @@ def corner_multipoint(rings: Column) -> Column:
 
 def shrink_box(kind: Column, rings: Column, factor: float = 0.5) -> Column:
     """Envelope inset by `factor` x distance(centroid, lower-left corner); empty when it vanishes."""
-    w, s, e, n = xmin(rings), ymin(rings), xmax(rings), ymax(rings)
-    c = centroid(kind, rings)
-    inset = F.sqrt((c["x"] - w) * (c["x"] - w) + (c["y"] - s) * (c["y"] - s)) * factor
-    gone = (inset * 2 >= e - w) | (inset * 2 >= n - s)
-    return F.when(gone, F.array().cast(RINGS_DDL)).otherwise(box_rings(w + inset, s + inset, e - inset, n - inset))
+
+    def inset(v):
+        b, c = v["b"], v["c"]
+        dx, dy = c["x"] - b["xmin"], c["y"] - b["ymin"]
+        return F.struct(b.alias("b"), (F.sqrt(dx * dx + dy * dy) * factor).alias("d"))
+
+    def shrunk(v):
+        b, d = v["b"], v["d"]
+        gone = (d * 2 >= b["xmax"] - b["xmin"]) | (d * 2 >= b["ymax"] - b["ymin"])
+        small = box_rings(b["xmin"] + d, b["ymin"] + d, b["xmax"] - d, b["ymax"] - d)
+        return F.when(gone, F.array().cast(RINGS_DDL)).otherwise(small)
+
+    return let(let(F.struct(bbox(rings).alias("b"), centroid(kind, rings).alias("c")), inset), shrunk)
 
 
 def normalize(rings: Column) -> Column:
@@ -232,40 +247,35 @@ def normalize(rings: Column) -> Column:
     lines start at their smaller end. Rings are sorted, shells before their holes.
     """
 
-    def points(r):
-        return F.zip_with(r["xs"], r["ys"], lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    def keep(r, **more):
+        return F.struct(r["part"].alias("part"), r["hole"].alias("hole"), *[v.alias(k) for k, v in more.items()])
 
-    def twice_area(p):
-        idx = F.when(F.size(p) > 1, F.sequence(F.lit(1), F.size(p) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(
-            idx,
-            F.lit(0.0),
-            lambda a, i: a
-            + F.get(p, i - 1)["x"] * F.get(p, i)["y"]
-            - F.get(p, i)["x"] * F.get(p, i - 1)["y"],
-        )
+    def with_points(r):
+        points = F.zip_with(r["xs"], r["ys"], lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        return keep(r, p=points, a=_ring_sums(r)["a"])
 
-    def canon(r):
-        p = points(r)
+    def directed(r):
+        p = r["p"]
         closed = (F.size(p) > 3) & (F.element_at(p, 1) == F.element_at(p, -1))
-        turned = F.when(closed & ((twice_area(p) < 0) != r["hole"]), F.reverse(p)).otherwise(p)
-        body = F.slice(turned, 1, F.size(turned) - 1)
-        first = F.array_position(body, F.array_min(body)).cast("int")
-        moved = F.concat(
-            F.slice(body, first, F.size(body) - first + 1),
-            F.slice(body, F.lit(1), first - 1),
-            F.slice(body, first, F.lit(1)),
-        )
-        flat = F.when(F.element_at(p, -1) < F.element_at(p, 1), F.reverse(p)).otherwise(p)
-        out = F.when(closed, moved).otherwise(flat)
-        return F.struct(
-            r["part"].alias("part"),
-            r["hole"].alias("hole"),
-            F.transform(out, lambda v: v["x"]).alias("xs"),
-            F.transform(out, lambda v: v["y"]).alias("ys"),
-        )
+        backwards = F.when(closed, (r["a"] < 0) != r["hole"]).otherwise(F.element_at(p, -1) < F.element_at(p, 1))
+        return keep(r, p=F.when(backwards, F.reverse(p)).otherwise(p), closed=closed)
+
+    def opened(r):
+        body = F.when(r["closed"], F.slice(r["p"], F.lit(1), F.size(r["p"]) - 1)).otherwise(r["p"])
+        return keep(r, p=body, closed=r["closed"], low=F.array_position(body, F.array_min(body)).cast("int"))
+
+    def turned(r):
+        p, low = r["p"], r["low"]
+        moved = F.concat(F.slice(p, low, F.size(p) - low + 1), F.slice(p, F.lit(1), low - 1), F.slice(p, low, F.lit(1)))
+        return keep(r, p=F.when(r["closed"], moved).otherwise(p))
+
+    def as_ring(r):
+        return keep(r, xs=F.transform(r["p"], lambda v: v["x"]), ys=F.transform(r["p"], lambda v: v["y"]))
 
-    return F.array_sort(F.transform(rings, canon))
+    out = rings
+    for step in (with_points, directed, opened, turned, as_ring):
+        out = F.transform(out, step)
+    return F.array_sort(out)
 
 
 # ---- text ----------------------------------------------------------------------------------

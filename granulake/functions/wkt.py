@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from granulake.functions import shapes
+from granulake.functions.staging import chain, let
 
 # WKT keyword -> geometry kind.
 KINDS = {
@@ -39,76 +40,81 @@ def _strip(text: Column, depth: int) -> Column:
 
 
 def _ring(text: Column, part: Column, hole: Column) -> Column:
-    pairs = F.transform(F.split(text, ","), lambda p: F.split(F.trim(p), r"\s+"))
-    number = lambda i: F.transform(pairs, lambda p: F.get(p, F.lit(i)).try_cast("double"))
-    whole = F.forall(pairs, lambda p: F.size(p) == 2) & ~text.rlike(r"[()]")
-    xs = F.when(whole, number(0))
-    ys = F.when(whole, number(1))
-    return F.struct(part.cast("int").alias("part"), hole.alias("hole"), xs.alias("xs"), ys.alias("ys"))
+    split = F.transform(F.split(text, ","), lambda p: F.split(F.trim(p), r"\s+"))
+    pairs = F.when(~text.rlike(r"[()]"), split)
+
+    def build(pairs):
+        whole = F.forall(pairs, lambda p: F.size(p) == 2)
+        number = lambda i: F.when(whole, F.transform(pairs, lambda p: F.get(p, F.lit(i)).try_cast("double")))
+        return F.struct(
+            part.cast("int").alias("part"), hole.alias("hole"), number(0).alias("xs"), number(1).alias("ys")
+        )
+
+    return let(pairs, build)
 
 
 def _finite(values: Column) -> Column:
     return F.forall(values, lambda v: v.isNotNull() & ~F.isnan(v))
 
 
-def _rings_ok(rings: Column, fewest: int, closed: bool) -> Column:
+def _rings_ok(rings: Column, fewest: Column, closed: Column) -> Column:
+    """Every ring has only numbers, enough vertices and, where asked, equal ends."""
+
     def ok(r):
         good = r["xs"].isNotNull() & _finite(r["xs"]) & _finite(r["ys"]) & (F.size(r["xs"]) >= fewest)
-        if closed:
-            good = good & (
-                (F.element_at(r["xs"], 1) == F.element_at(r["xs"], -1))
-                & (F.element_at(r["ys"], 1) == F.element_at(r["ys"], -1))
-            )
-        return F.coalesce(good, F.lit(False))
+        ends = (F.element_at(r["xs"], 1) == F.element_at(r["xs"], -1)) & (
+            F.element_at(r["ys"], 1) == F.element_at(r["ys"], -1)
+        )
+        return F.coalesce(good & (~closed | ends), F.lit(False))
 
     return F.forall(rings, ok)
 
 
 def parse(text: Column) -> Column:
     """Struct (kind, rings) of a WKT text, NULL when empty or invalid."""
-    word = F.upper(F.regexp_extract(text, r"^\s*([A-Za-z]+)", 1))
-    body = F.regexp_replace(text, r"^\s*[A-Za-z]+\s*", "")
     no_hole = F.lit(False)
 
     def split_rings(inner: Column, part: Column) -> Column:
-        pieces = F.split(inner, r"\)\s*,\s*\(")
-        return F.transform(pieces, lambda t, i: _ring(t, part, i > 0))
+        return F.transform(F.split(inner, r"\)\s*,\s*\("), lambda t, i: _ring(t, part, i > 0))
 
     def lines(inner: Column) -> Column:
-        pieces = F.split(inner, r"\)\s*,\s*\(")
-        return F.transform(pieces, lambda t, i: _ring(t, i, no_hole))
-
-    flat = F.array(_ring(_strip(body, 1), F.lit(0), no_hole))
-    polygon = split_rings(_strip(body, 2), F.lit(0))
-    multiline = lines(_strip(body, 2))
-    points = F.transform(
-        F.split(_strip(body, 1), ","), lambda t, i: _ring(F.regexp_replace(t, r"^\s*\(|\)\s*$", ""), i, no_hole)
-    )
-    multipolygon = F.flatten(
-        F.transform(
-            F.split(_strip(body, 3), r"\)\s*\)\s*,\s*\(\s*\("),
-            lambda t, i: split_rings(t, i),
+        return F.transform(F.split(inner, r"\)\s*,\s*\("), lambda t, i: _ring(t, i, no_hole))
+
+    def points(inner: Column) -> Column:
+        return F.transform(F.split(inner, ","), lambda t, i: _ring(F.regexp_replace(t, r"^\s*\(|\)\s*$", ""), i, no_hole))
+
+    def parts(inner: Column) -> Column:
+        return F.flatten(
+            F.transform(F.split(inner, r"\)\s*\)\s*,\s*\(\s*\("), lambda t, i: split_rings(t, i))
         )
-    )
-    rings = (
-        F.when(word.isin("POINT", "LINESTRING"), flat)
-        .when(word == "POLYGON", polygon)
-        .when(word == "MULTILINESTRING", multiline)
-        .when(word == "MULTIPOINT", points)
-        .when(word == "MULTIPOLYGON", multipolygon)
-    )
-    valid = (
-        F.when(word == "POINT", _rings_ok(rings, 1, False) & (F.size(rings[0]["xs"]) == 1))
-        .when(word == "LINESTRING", _rings_ok(rings, 2, False))
-        .when(word == "MULTILINESTRING", _rings_ok(rings, 2, False))
-        .when(word == "MULTIPOINT", _rings_ok(rings, 1, False))
-        .when(word.isin("POLYGON", "MULTIPOLYGON"), _rings_ok(rings, 4, True))
-    )
-    kind = F.create_map(*[F.lit(v) for pair in KINDS.items() for v in pair])[word]
-    empty = F.upper(F.trim(body)) == "EMPTY"
-    shape = F.struct(kind.alias("kind"), rings.alias("rings"))
-    none = F.struct(kind.alias("kind"), F.array().cast(shapes.RINGS_DDL).alias("rings"))
-    return F.when(kind.isNotNull() & empty, none).when(F.coalesce(valid, F.lit(False)), shape)
+
+    def cut(t):
+        word = F.upper(F.regexp_extract(t, r"^\s*([A-Za-z]+)", 1))
+        return F.struct(word.alias("word"), F.regexp_replace(t, r"^\s*[A-Za-z]+\s*", "").alias("body"))
+
+    def read(v):
+        word, body = v["word"], v["body"]
+        rings = (
+            F.when(word.isin("POINT", "LINESTRING"), F.array(_ring(_strip(body, 1), F.lit(0), no_hole)))
+            .when(word == "POLYGON", split_rings(_strip(body, 2), F.lit(0)))
+            .when(word == "MULTILINESTRING", lines(_strip(body, 2)))
+            .when(word == "MULTIPOINT", points(_strip(body, 1)))
+            .when(word == "MULTIPOLYGON", parts(_strip(body, 3)))
+        )
+        kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[word]
+        empty = F.upper(F.trim(body)) == "EMPTY"
+        none = F.array().cast(shapes.RINGS_DDL)
+        return F.struct(kind.alias("kind"), F.when(empty, none).otherwise(rings).alias("rings"))
+
+    def check(g):
+        rings = g["rings"]
+        areal = g["kind"].isin(*shapes.AREAL)
+        fewest = F.when(areal, 4).when(g["kind"].isin(*shapes.LINEAR), 2).otherwise(1)
+        single = (g["kind"] != "Point") | (F.size(rings) == 0) | (F.size(F.get(rings, F.lit(0))["xs"]) == 1)
+        valid = g["kind"].isNotNull() & _rings_ok(rings, fewest, areal) & single
+        return F.when(F.coalesce(valid, F.lit(False)), g)
+
+    return F.when(text.isNotNull(), chain(text, cut, read, check))
 
 
 # ---- writing from search parameters ---------------------------------------------------------

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granulake.functions import shapes
+from granulake.functions.staging import let, once
 from granulake.functions.wkt import parse
 from granulake.operators.ordering import ecdf, exact_quantiles
+from granulake.session import cut
 
 # Categories of the benchmark searches.
 SUITE_CATEGORIES = {
@@ -53,21 +55,17 @@ def provider_or_collection(provider: Column, concept: Column) -> Column:
 
 def with_measures(log: DataFrame) -> DataFrame:
     """Vertex count of every shape; planar area of polygon and box queries."""
-    shape = parse(F.col("wkt"))
     areal = F.col("geo_type").isin("BBOX", "POLYGON") & F.col("wkt").isNotNull()
-    return (
-        log.withColumn("vertex_count", shapes.vertex_count_of_text(F.col("wkt")))
-        .withColumn("_shape", F.when(areal, shape))
-        .withColumn(
-            "polygon_area",
-            F.when(F.col("_shape").isNotNull(), shapes.area(F.col("_shape.kind"), F.col("_shape.rings"))),
-        )
-        .drop("_shape")
-    )
+    area = let(parse(F.col("wkt")), lambda g: shapes.area(g["kind"], g["rings"]))
+    counted = log.withColumn("vertex_count", shapes.vertex_count_of_text(F.col("wkt")))
+    return once(counted, "polygon_area", F.when(areal, area))
 
 
 def with_ranks(log: DataFrame) -> DataFrame:
-    """Percentile ranks: vertices against polygon queries only, areas against all areas."""
+    """Percentile ranks: vertices against polygon queries only, areas against all areas.
+
+    The measured table is read several times; it should be a stored one.
+    """
     polygons = F.col("geo_type") == "POLYGON"
     ranked = ecdf(log, "vertex_count", "vertex_pctile", base=polygons, digits=6)
     return ecdf(ranked, "polygon_area", "area_pctile")
@@ -81,8 +79,11 @@ def category_code() -> Column:
 
 
 def categorise(log: DataFrame) -> DataFrame:
-    """The granule queries of a log table with their category `test_cat`."""
-    ranked = with_ranks(with_measures(with_flags(log)))
+    """The granule queries of a log table with their category `test_cat`.
+
+    The measured table is stored once: both distributions and the final pass read it.
+    """
+    ranked = with_ranks(cut(with_measures(with_flags(log)), "measured"))
     return ranked.where(F.col("concept") == "granules").withColumn("test_cat", category_code())
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granulake.functions import wkt as wkt_text
+from granulake.functions.staging import chain, let, once
 
 # Search endpoints in matching order; a longer name stands before its prefix.
 ENDPOINTS = (
@@ -152,8 +153,8 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
 def events(lines: DataFrame, column: str = "value") -> DataFrame:
     """Lines holding REPORT whose `{...}` part is valid JSON, parsed once as `event`."""
     reports = lines.where(F.col(column).contains("REPORT"))
-    parsed = reports.withColumn("event", F.try_parse_json(F.regexp_extract(column, r"\{.*\}", 0)))
-    return parsed.where(F.col("event").isNotNull()).drop(column)
+    document = F.try_parse_json(F.regexp_extract(column, r"\{.*\}", 0))
+    return once(reports, "event", document, keep_null=False).drop(column)
 
 
 def shapefile_uploads(spark: SparkSession, path, service: str, marker: str = "{:shapefile {:filename") -> DataFrame:
@@ -192,26 +193,11 @@ def _flatten(value: Column, prefix: Column, depth: int) -> Column:
 
 
 def with_fields(parsed: DataFrame) -> DataFrame:
-    """Top-level fields, and `params`: every parameter with its dotted name and its text or items.
-
-    Order is top level, query parameters, form parameters; NULLs and empty lists are left out.
-    """
+    """Top-level fields of the parsed event."""
 
     def field(name: str, kind: str = "string") -> Column:
         return F.try_variant_get("event", f"$['{name}']", kind)
 
-    def group(name: str, prefix: str, depth: int) -> Column:
-        part = F.try_variant_get("event", f"$['{name}']", "variant")
-        listed = _flatten(part, F.lit(prefix), depth)
-        return F.coalesce(listed, F.array().cast("array<struct<name:string,text:string,items:array<string>>>"))
-
-    root = F.coalesce(
-        _flatten(F.col("event"), F.lit(""), 0), F.array().cast("array<struct<name:string,text:string,items:array<string>>>")
-    )
-    everything = F.concat(
-        root, group("query-params", "query.params.", 2), group("form-params", "form.params.", 2)
-    )
-    used = F.filter(everything, lambda p: p["text"].isNotNull() | (F.size(p["items"]) > 0))
     return parsed.withColumns(
         {
             "now": field("now"),
@@ -223,9 +209,32 @@ def with_fields(parsed: DataFrame) -> DataFrame:
             "user_agent": field("user-agent"),
             "duration": field("duration", "double"),
             "used_search_after": field(SEARCH_AFTER).isNotNull(),
-            "params": used,
         }
-    ).drop("event")
+    )
+
+
+PARAMS_DDL = "array<struct<name:string,text:string,items:array<string>>>"
+
+
+def with_params(parsed: DataFrame) -> DataFrame:
+    """`params`: every parameter with its dotted name and its text or items.
+
+    Order is top level, query parameters, form parameters; NULLs and empty lists are left out.
+    """
+
+    def group(value: Column, prefix: str, depth: int) -> Column:
+        return F.coalesce(_flatten(value, F.lit(prefix), depth), F.array().cast(PARAMS_DDL))
+
+    def part(name: str) -> Column:
+        return F.try_variant_get("event", f"$['{name}']", "variant")
+
+    everything = F.concat(
+        group(F.col("event"), "", 0),
+        group(part("query-params"), "query.params.", 2),
+        group(part("form-params"), "form.params.", 2),
+    )
+    used = F.filter(everything, lambda p: p["text"].isNotNull() | (F.size(p["items"]) > 0))
+    return once(parsed, PARAMS, used)
 
 
 PARAMS = "params"
@@ -237,12 +246,15 @@ def _matching(pattern: str) -> Column:
 
 def first_param(pattern: str, joiner: str = ",") -> Column:
     """First value among the matching parameters, single values before lists."""
-    found = _matching(pattern)
-    single = F.filter(found, lambda p: p["items"].isNull())
-    listed = F.filter(found, lambda p: p["items"].isNotNull())
-    return F.coalesce(
-        F.get(single, F.lit(0))["text"], F.array_join(F.get(listed, F.lit(0))["items"], joiner)
-    )
+
+    def pick(found):
+        single = F.filter(found, lambda p: p["items"].isNull())
+        listed = F.filter(found, lambda p: p["items"].isNotNull())
+        return F.coalesce(
+            F.get(single, F.lit(0))["text"], F.array_join(F.get(listed, F.lit(0))["items"], joiner)
+        )
+
+    return let(_matching(pattern), pick)
 
 
 def all_params(pattern: str, joiner: str = ";") -> Column:
@@ -259,58 +271,75 @@ def all_params(pattern: str, joiner: str = ";") -> Column:
 def uri_concept(uri: Column) -> Column:
     """Endpoint of a request."""
     alternatives = "|".join(f"/search/{e}" for e in ENDPOINTS)
-    matched = F.regexp_extract(uri, f"({alternatives})", 1)
-    name = F.when(matched != "", matched).otherwise(uri)
-    name = F.when(name.rlike(r"(?i)\.php"), "PHP requests").otherwise(name)
-    name = F.when(name.isin("/search", "/search/"), "search/").otherwise(name)
-    longer = name.contains("/search/") & (F.length(name) > 8)
-    name = F.when(longer, F.split_part(name, F.lit("/search/"), F.lit(2))).otherwise(name)
-    kept = F.concat(F.substring_index(name, "daacdata", 1), F.lit("daacdata"))
-    return F.when(name.contains("daacdata"), kept).otherwise(name)
+
+    def endpoint(u):
+        matched = F.nullif(F.regexp_extract(u, f"({alternatives})", 1), F.lit(""))
+        return F.coalesce(matched, u)
+
+    def php(name):
+        return F.when(name.rlike(r"(?i)\.php"), "PHP requests").otherwise(name)
+
+    def default(name):
+        return F.when(name.isin("/search", "/search/"), "search/").otherwise(name)
+
+    def shorter(name):
+        longer = name.contains("/search/") & (F.length(name) > 8)
+        return F.when(longer, F.split_part(name, F.lit("/search/"), F.lit(2))).otherwise(name)
+
+    def data(name):
+        kept = F.concat(F.substring_index(name, "daacdata", 1), F.lit("daacdata"))
+        return F.when(name.contains("daacdata"), kept).otherwise(name)
+
+    return chain(uri, endpoint, php, default, shorter, data)
 
 
 def uri_format(uri: Column) -> Column:
     """Extension of the last path part; NULL when it is none of the known formats."""
     last = F.substring_index(uri, "/", -1)
     matched = F.regexp_extract(last, "(" + "|".join(f".{name}" for name in FORMATS) + ")", 1)
-    return F.when(matched.startswith("."), F.substring(matched, 2, 100))
+    return let(matched, lambda m: F.when(m.startswith("."), F.substring(m, 2, 100)))
 
 
 def user_agent_type(agent: Column) -> Column:
-    name = F.substring_index(F.substring(agent, 1, 80), "/", 1)
-    name = F.substring_index(name, "(", 1)
-    name = F.when(name.contains("podaac-subscriber"), "podaac-subscriber").otherwise(name)
-    name = F.get(F.split(name, r" v[0-9]"), F.lit(0))
-    name = F.when(name.rlike("[B|b]ot"), "Bot").otherwise(name)
-    name = F.when(name.rlike("[P|p]ython|PycURL"), "Python").otherwise(name)
-    return F.when(name.rlike("[M|m]ozilla"), "Web Browser").otherwise(name)
+    """Kind of client: the name before the first slash or bracket, with common kinds grouped."""
+    start = F.substring_index(F.substring_index(F.substring(agent, 1, 80), "/", 1), "(", 1)
+
+    def named(pattern, label):
+        return lambda name: F.when(name.rlike(pattern), label).otherwise(name)
+
+    return chain(
+        start,
+        named("podaac-subscriber", "podaac-subscriber"),
+        lambda name: F.get(F.split(name, r" v[0-9]"), F.lit(0)),
+        named("[B|b]ot", "Bot"),
+        named("[P|p]ython|PycURL", "Python"),
+        named("[M|m]ozilla", "Web Browser"),
+    )
 
 
 def _whole_number(text: Column) -> Column:
     number = F.trim(text).try_cast("double")
-    return F.when(F.abs(number) <= 2147483647, number.cast("int"))
+    return let(number, lambda n: F.when(F.abs(n) <= 2147483647, n.cast("int")))
 
 
 def provider() -> Column:
-    name = F.substring_index(F.substring_index(first_param(PATTERNS["provider"]), '"', 1), "'", 1)
-    return F.when(name.rlike("[^a-zA-Z0-9_]"), "INVALID").otherwise(name)
+    start = F.substring_index(F.substring_index(first_param(PATTERNS["provider"]), '"', 1), "'", 1)
+    return let(start, lambda name: F.when(name.rlike("[^a-zA-Z0-9_]"), "INVALID").otherwise(name))
 
 
 def version() -> Column:
-    text = first_param(PATTERNS["version"])
-    bad = ~text.contains("Near-Real-Time") & text.rlike("[^a-zA-Z0-9_.,]")
-    return F.when(bad, "INVALID").otherwise(text)
+    def checked(text):
+        bad = ~text.contains("Near-Real-Time") & text.rlike("[^a-zA-Z0-9_.,]")
+        return F.when(bad, "INVALID").otherwise(text)
+
+    return let(first_param(PATTERNS["version"]), checked)
 
 
 def facet_date() -> Column:
     """Year, month and day facets as Y-M-D, without missing tails."""
 
-    def part(unit):
-        value = F.coalesce(first_param(f"params.temporal.facet.*{unit}"), F.lit("NA"))
-        return value
-
-    text = F.concat_ws("-", part("year"), part("month"), part("day"))
-    return F.when(text != "NA-NA-NA", F.substring_index(text, "-NA", 1))
+    units = [F.coalesce(first_param(f"params.temporal.facet.*{u}"), F.lit("NA")) for u in ("year", "month", "day")]
+    return let(F.concat_ws("-", *units), lambda t: F.when(t != "NA-NA-NA", F.substring_index(t, "-NA", 1)))
 
 
 def time_query() -> Column:
@@ -323,20 +352,30 @@ def time_query() -> Column:
 
     names = ("form.params.temporal..", "form.params.temporal", "query.params.temporal..", "query.params.temporal")
     temporal = F.coalesce(*[exact(n) for n in names])
-    choices = [(temporal, "params.temporal"), (facet_date(), "params.temporal.facet")]
+    values = [temporal.alias("v0"), facet_date().alias("v1")]
+    labels = ["params.temporal", "params.temporal.facet"]
     for pattern in OTHER_TIMES:
         one = F.get(_matching(pattern), F.lit(0))
-        choices.append((F.coalesce(one["text"], F.array_join(one["items"], ";")), pattern))
-    kind = F.lit(None).cast("string")
-    for value, name in reversed(choices):
-        kind = F.when(value.isNotNull(), name).otherwise(kind)
-    return F.struct(F.coalesce(*[v for v, _ in choices]).alias("query"), kind.alias("type"))
+        values.append(F.coalesce(one["text"], F.array_join(one["items"], ";")).alias(f"v{len(values)}"))
+        labels.append(pattern)
+
+    def choose(v):
+        kind = F.lit(None).cast("string")
+        for i, label in reversed(list(enumerate(labels))):
+            kind = F.when(v[f"v{i}"].isNotNull(), label).otherwise(kind)
+        return F.struct(F.coalesce(*[v[f"v{i}"] for i in range(len(labels))]).alias("query"), kind.alias("type"))
+
+    return let(F.struct(*values), choose)
 
 
 def _texts(param: Column) -> Column:
     return F.coalesce(param["items"], F.when(param["text"].isNotNull(), F.array(param["text"])))
 
 
+# Order in which shape parameters are looked at.
+SHAPE_ORDER = ("POLYGON", "BBOX", "CIRCLE", "LINESTRING", "POINT")
+
+
 def spatial_query(literal: bool = False) -> Column:
     """Struct (wkt, geo_type, circle_radius, error).
 
@@ -348,40 +387,53 @@ def spatial_query(literal: bool = False) -> Column:
         return F.get(_matching(PATTERNS[name]), F.lit(0))
 
     def simple(name, geo_type):
-        one = first(name)
-        return F.when(one["items"].isNull(), wkt_text.scalar_text_to_wkt(one["text"], geo_type)).otherwise(
-            wkt_text.list_text_to_wkt(one["items"], geo_type)
+        def text(one):
+            single = wkt_text.scalar_text_to_wkt(one["text"], geo_type)
+            return F.when(one["items"].isNull(), single).otherwise(wkt_text.list_text_to_wkt(one["items"], geo_type))
+
+        return let(first(name), text)
+
+    found = F.struct(
+        simple("polygon", "POLYGON").alias("POLYGON"),
+        wkt_text.boxes_to_wkt(_texts(first("bbox"))).alias("BBOX"),
+        wkt_text.circles(_texts(first("circle"))).alias("circle"),
+        simple("line", "LINESTRING").alias("LINESTRING"),
+        simple("point", "POINT").alias("POINT"),
+    )
+
+    def choose(v):
+        ordered = [(v["circle"]["wkt"] if n == "CIRCLE" else v[n], n) for n in SHAPE_ORDER]
+        if literal:
+            ordered.insert(0, ordered.pop(SHAPE_ORDER.index("CIRCLE")))
+        kind = F.lit(None).cast("string")
+        for value, label in reversed(ordered):
+            kind = F.when(value.isNotNull(), label).otherwise(kind)
+        return F.struct(
+            F.coalesce(*[value for value, _ in ordered]).alias("text"), kind.alias("kind"), v["circle"]["radius"].alias("radius")
         )
 
-    polygon = simple("polygon", "POLYGON")
-    box = wkt_text.boxes_to_wkt(_texts(first("bbox")))
-    circle = wkt_text.circles(_texts(first("circle")))
-    line, point = simple("line", "LINESTRING"), simple("point", "POINT")
-    ordered = [(polygon, "POLYGON"), (box, "BBOX"), (circle["wkt"], "CIRCLE"), (line, "LINESTRING"), (point, "POINT")]
-    if literal:
-        ordered.insert(0, ordered.pop(2))
-    text = F.coalesce(*[v for v, _ in ordered])
-    kind = F.lit(None).cast("string")
-    for name, label in (("cycle", "cycle/pass"), ("orbit", "orbit"), ("grid", "2D Grid")):
-        kind = F.when(F.size(_matching(PATTERNS[name])) > 0, label).otherwise(kind)
-    for value, label in reversed(ordered):
-        kind = F.when(value.isNotNull(), label).otherwise(kind)
-    failed = text.contains("ERROR")
-    return F.struct(
-        F.when(~failed, text).alias("wkt"),
-        kind.alias("geo_type"),
-        F.when(kind == "CIRCLE", circle["radius"]).alias("circle_radius"),
-        F.when(failed, text).alias("error"),
-    )
+    def finish(v):
+        tag = F.lit(None).cast("string")
+        for name, label in (("cycle", "cycle/pass"), ("orbit", "orbit"), ("grid", "2D Grid")):
+            tag = F.when(F.size(_matching(PATTERNS[name])) > 0, label).otherwise(tag)
+        failed = v["text"].contains("ERROR")
+        return F.struct(
+            F.when(~failed, v["text"]).alias("wkt"),
+            F.coalesce(v["kind"], tag).alias("geo_type"),
+            F.when(v["kind"] == "CIRCLE", v["radius"]).alias("circle_radius"),
+            F.when(failed, v["text"]).alias("error"),
+        )
+
+    return chain(found, choose, finish)
 
 
 def log_table(lines: DataFrame, column: str = "value", literal: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Text lines -> the log table, in one pass of native expressions.
+    """Text lines -> the log table, in one pass of native expressions; every line is parsed once.
 
     `keep` names extra columns of `lines` to carry along.
     """
-    fields = with_fields(events(lines, column))
-    staged = fields.withColumns({"_time": time_query(), "_space": spatial_query(literal)})
+    fields = with_params(with_fields(events(lines, column)))
+    staged = once(once(fields, "_time", time_query()), "_space", spatial_query(literal))
     columns = {
         "concept": uri_concept(F.col("uri")),
         "format": uri_format(F.col("uri")),
@@ -409,10 +461,11 @@ def log_table(lines: DataFrame, column: str = "value", literal: bool = False, ke
 
 def client_group(client: Column) -> Column:
     """Client ids of one product under its name."""
-    name = client
-    for pattern, product in CLIENT_GROUPS:
-        name = F.when(name.rlike(f"(?i){pattern}"), product).otherwise(name)
-    return name
+
+    def grouped(pattern, product):
+        return lambda name: F.when(name.rlike(f"(?i){pattern}"), product).otherwise(name)
+
+    return chain(client, *[grouped(*rule) for rule in CLIENT_GROUPS])
 
 
 def time_type_label(time_type: Column) -> Column:

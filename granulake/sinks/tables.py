@@ -6,6 +6,7 @@ import json
 import math
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,29 @@ from granulake.operators.layout import BOX, spread_for_write, with_tree_columns
 from granulake.session import cut
 
 
+@contextmanager
+def _setting(spark, name: str, value: str):
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def write_folders(df: DataFrame, path: str, *keys: str, mode: str = "errorifexists", file_rows: int = 0) -> None:
+    """One folder per key value.
+
+    Equal keys meet in one task, heavy keys are split into several by adaptive execution. Small
+    shuffle partitions are not merged: that would not save files, only tasks.
+    """
+    with _setting(df.sparkSession, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        writer = _writer(spread_for_write(df, *keys), mode)
+        if file_rows:
+            writer = writer.option("maxRecordsPerFile", file_rows)
+        writer.partitionBy(*keys).parquet(path)
+
+
 def _writer(df: DataFrame, mode: str = "errorifexists"):
     return df.write.mode(mode).option("compression", "snappy")
 
@@ -45,10 +69,7 @@ def write_covering_box(df: DataFrame, path: str, rows: int = 69_390, **options)
 
 def write_bins(df: DataFrame, path: str, key: str = "hashbin", file_rows: int = 0) -> None:
     """One folder per bin in one pass. A heavy bin is written by several tasks."""
-    writer = _writer(spread_for_write(df, key))
-    if file_rows:
-        writer = writer.option("maxRecordsPerFile", file_rows)
-    writer.partitionBy(key).parquet(path)
+    write_folders(df, path, key, file_rows=file_rows)
 
 
 def read_bins(spark, path: str, schema, key: str = "hashbin") -> DataFrame:
@@ -62,9 +83,7 @@ def write_bucket_tree(
     """Nested folders region / g1 / g2 / ..., appended to on every call."""
     levels = [f"g{i + 1}" for i in range(depth)]
     tree = with_tree_columns(df, bucket, depth)
-    _writer(spread_for_write(tree, "region", *levels), mode).option("maxRecordsPerFile", file_rows).partitionBy(
-        "region", *levels
-    ).parquet(path)
+    write_folders(tree, path, "region", *levels, mode=mode, file_rows=file_rows)
 
 
 def write_sized(
@@ -83,8 +102,10 @@ def write_sized(
         if not row_bytes:
             raise ValueError("cutting by bytes needs the mean bytes per row")
         file_rows = max(1, int(file_bytes / row_bytes))
-    writer = _writer(spread_for_write(df, *keys) if keys else df).option("maxRecordsPerFile", file_rows)
-    (writer.partitionBy(*keys) if keys else writer).parquet(path)
+    if keys:
+        write_folders(df, path, *keys, file_rows=file_rows)
+    else:
+        _writer(df).option("maxRecordsPerFile", file_rows).parquet(path)
 
 
 def row_bytes(groups: DataFrame) -> float:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granulake.functions import geometry_batch, shapes
+from granulake.functions.staging import let
 from granulake.schemas import GRANULE_COLUMNS, HIT_COLUMNS, HIT_DOCUMENT_DDL
 
 # Shape code -> (kind, fewest coordinate pairs, most pairs or None).
@@ -92,11 +93,12 @@ def decode_ords(ords: Column, info: Column) -> Column:
             s["code"].alias("code"), s["kind"].alias("kind"), new_xs.alias("xs"), new_ys.alias("ys")
         )
 
-    found = F.transform(placed, shape)
-    good = (F.size(info) % 2 == 0) & F.forall(found, usable)
-    return F.when(F.coalesce(good, F.lit(False)), F.transform(found, finished)).otherwise(
-        F.array().cast(f"array<{SHAPE_DDL}>")
-    )
+    def whole(found):
+        good = (F.size(info) % 2 == 0) & F.forall(found, usable)
+        none = F.array().cast(f"array<{SHAPE_DDL}>")
+        return F.when(F.coalesce(good, F.lit(False)), F.transform(found, finished)).otherwise(none)
+
+    return let(F.transform(placed, shape), whole)
 
 
 def explode_shapes(df: DataFrame, shapes_column: str = "shapes") -> DataFrame:
