@@ -120,24 +120,24 @@ def parse(text: Column) -> Column:
 # ---- writing from search parameters ---------------------------------------------------------
 
 
-def _pairs(text: Column) -> Column:
-    """'x,y,x,y' -> 'x y, x y'."""
-    items = F.split(text, ",")
-    last = F.size(items) - 1
-    idx = F.when(last > 0, F.filter(F.sequence(F.lit(0), last), lambda i: i % 2 == 0))
+def _pairs(items: Column) -> Column:
+    """x, y, x, y -> 'x y, x y'."""
+    idx = F.filter(F.sequence(F.lit(0), F.size(items) - 1), lambda i: i % 2 == 0)
     return F.array_join(F.transform(idx, lambda i: F.concat_ws(" ", F.get(items, i), F.get(items, i + 1))), ", ")
 
 
 def one_shape(text: Column, geo_type: str) -> Column:
     """Bracketed coordinates of one list, or an error text."""
-    items = F.split(text, ",")
     opening, closing = ("((", "))") if geo_type == "POLYGON" else ("(", ")")
-    return (
-        F.when(text.isNull(), F.lit(None).cast("string"))
-        .when(F.size(items) % 2 == 1, ODD_COUNT)
-        .when(F.array_contains(items, ""), BLANK)
-        .otherwise(F.concat(F.lit(opening), _pairs(text), F.lit(closing)))
-    )
+
+    def build(items):
+        return (
+            F.when(F.size(items) % 2 == 1, ODD_COUNT)
+            .when(F.array_contains(items, ""), BLANK)
+            .otherwise(F.concat(F.lit(opening), _pairs(items), F.lit(closing)))
+        )
+
+    return F.when(text.isNotNull(), let(F.split(text, ","), build))
 
 
 def scalar_text_to_wkt(text: Column, geo_type: str) -> Column:
@@ -167,38 +167,43 @@ def _box_ring(n: Column) -> Column:
 
 def boxes_to_wkt(texts: Column) -> Column:
     """A list of 'w,s,e,n' -> POLYGON, MULTIPOLYGON, or an error text when any is unusable."""
-    numbers = F.transform(texts, _box_numbers)
-    good = F.forall(numbers, lambda n: F.coalesce(_box_ok(n), F.lit(False)))
-    rings = F.transform(numbers, _box_ring)
-    return (
-        F.when(texts.isNull() | (F.size(texts) == 0), F.lit(None).cast("string"))
-        .when(~good, BAD_BOX)
-        .when(F.size(texts) == 1, F.concat(F.lit("POLYGON "), F.get(rings, F.lit(0))))
-        .otherwise(F.concat(F.lit("MULTIPOLYGON ("), F.array_join(rings, ", "), F.lit(")")))
-    )
+
+    def build(numbers):
+        good = F.forall(numbers, lambda n: F.coalesce(_box_ok(n), F.lit(False)))
+        rings = F.transform(numbers, _box_ring)
+        return (
+            F.when(~good, BAD_BOX)
+            .when(F.size(numbers) == 1, F.concat(F.lit("POLYGON "), F.array_join(rings, ", ")))
+            .otherwise(F.concat(F.lit("MULTIPOLYGON ("), F.array_join(rings, ", "), F.lit(")")))
+        )
+
+    return F.when(F.size(texts) > 0, let(F.transform(texts, _box_numbers), build))
 
 
 def circles(texts: Column) -> Column:
     """A list of 'lon,lat,radius' -> struct (wkt, radius); several give the mean radius."""
 
     def one(text):
-        items = F.split(text, ",")
-        right = F.size(items) == 3
-        wrong = F.concat(
-            F.lit("ERROR: got "), F.size(items).cast("string"), F.lit(" split values instead of expected 3")
-        )
-        point = F.concat(F.lit("("), F.get(items, F.lit(0)), F.lit(" "), F.get(items, F.lit(1)), F.lit(")"))
-        return F.struct(
-            F.when(right, point).otherwise(wrong).alias("point"),
-            F.when(right, F.get(items, F.lit(2)).try_cast("double")).alias("radius"),
+        def build(items):
+            right = F.size(items) == 3
+            count = F.size(items).cast("string")
+            wrong = F.concat(F.lit("ERROR: got "), count, F.lit(" split values instead of expected 3"))
+            x, y, radius = (F.get(items, F.lit(i)) for i in range(3))
+            point = F.concat(F.lit("("), x, F.lit(" "), y, F.lit(")"))
+            return F.struct(
+                F.when(right, point).otherwise(wrong).alias("point"),
+                F.when(right, radius.try_cast("double")).alias("radius"),
+            )
+
+        return let(F.split(text, ","), build)
+
+    def together(parsed):
+        count = F.size(parsed)
+        points = F.array_join(F.transform(parsed, lambda c: c["point"]), ", ")
+        total = F.aggregate(parsed, F.lit(0.0), lambda acc, c: acc + c["radius"])
+        text = F.when(count == 1, F.concat(F.lit("POINT "), points)).otherwise(
+            F.concat(F.lit("MULTIPOINT ("), points, F.lit(")"))
         )
+        return F.struct(text.alias("wkt"), (total / count).cast("int").alias("radius"))
 
-    parsed = F.transform(texts, one)
-    count = F.size(texts)
-    total = F.aggregate(parsed, F.lit(0.0), lambda acc, c: acc + c["radius"])
-    points = F.transform(parsed, lambda c: c["point"])
-    text = F.when(count == 1, F.concat(F.lit("POINT "), F.get(points, F.lit(0)))).when(
-        count > 1, F.concat(F.lit("MULTIPOINT ("), F.array_join(points, ", "), F.lit(")"))
-    )
-    radius = F.when(count > 0, total / count)
-    return F.struct(text.alias("wkt"), radius.cast("int").alias("radius"))
+    return F.when(F.size(texts) > 0, let(F.transform(texts, one), together))

@@ -141,6 +141,8 @@ LOG_COLUMNS = (
 
 SEARCH_AFTER = "cmr-search-after"
 
+PARAMS_DDL = "array<struct<name:string,text:string,items:array<string>>>"
+
 
 # ---- lines -----------------------------------------------------------------------------------
 
@@ -167,29 +169,49 @@ def shapefile_uploads(spark: SparkSession, path, service: str, marker: str = "{:
 # ---- parameters ------------------------------------------------------------------------------
 
 
-def _flatten(value: Column, prefix: Column, depth: int) -> Column:
+# Top-level fields of an event that are no parameters.
+EVENT_FIELDS = (
+    "now",
+    "status",
+    "method",
+    "client-id",
+    "request-id",
+    "uri",
+    "user-agent",
+    "duration",
+    "query-params",
+    "form-params",
+    SEARCH_AFTER,
+)
+
+
+def _flatten(value: Column, prefix: Column, depth: int, skip: tuple[str, ...] = ()) -> Column:
     """Entries (name, text, items) of an object, nested objects included down to `depth`."""
 
-    def entry(e):
-        clean = F.regexp_replace(e["key"], r"[^A-Za-z0-9_.]", ".")
-        name = F.concat(prefix, clean)
-        items = F.try_variant_get(e["value"], "$", "array<string>")
-        leaf = F.array(
-            F.struct(
-                name.alias("name"),
-                F.when(items.isNull(), F.try_variant_get(e["value"], "$", "string")).alias("text"),
-                items.alias("items"),
-            )
+    def as_map(v):
+        return F.try_variant_get(v, "$", "map<string,variant>")
+
+    def read(e):
+        return F.struct(
+            F.concat(prefix, F.regexp_replace(e["key"], r"[^A-Za-z0-9_.]", ".")).alias("name"),
+            F.try_variant_get(e["value"], "$", "array<string>").alias("items"),
+            as_map(e["value"]).alias("nested"),
+            e["value"].alias("value"),
         )
-        nested = F.try_variant_get(e["value"], "$", "map<string,variant>")
-        none = F.filter(leaf, lambda _: F.lit(False))
+
+    def entry(e):
+        text = F.when(e["items"].isNull(), F.try_variant_get(e["value"], "$", "string"))
+        leaf = F.array(F.struct(e["name"].alias("name"), text.alias("text"), e["items"].alias("items")))
         if depth == 0:
-            return F.when(nested.isNotNull(), none).otherwise(leaf)
-        inner = _flatten(e["value"], F.concat(name, F.lit(".")), depth - 1)
-        return F.when(nested.isNotNull(), inner).otherwise(leaf)
+            return F.when(e["nested"].isNull(), leaf)
+        inner = _flatten(e["value"], F.concat(e["name"], F.lit(".")), depth - 1)
+        return F.when(e["nested"].isNull(), leaf).otherwise(inner)
 
-    listed = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
-    return F.flatten(F.transform(listed, entry))
+    listed = F.map_entries(as_map(value))
+    if skip:
+        listed = F.filter(listed, lambda e: ~e["key"].isin(*skip))
+    none = F.array().cast(PARAMS_DDL)
+    return F.flatten(F.transform(F.transform(listed, read), lambda e: F.coalesce(entry(e), none)))
 
 
 def with_fields(parsed: DataFrame) -> DataFrame:
@@ -213,9 +235,6 @@ def with_fields(parsed: DataFrame) -> DataFrame:
     )
 
 
-PARAMS_DDL = "array<struct<name:string,text:string,items:array<string>>>"
-
-
 def with_params(parsed: DataFrame) -> DataFrame:
     """`params`: every parameter with its dotted name and its text or items.
 
@@ -223,7 +242,7 @@ def with_params(parsed: DataFrame) -> DataFrame:
     """
 
     def group(value: Column, prefix: str, depth: int) -> Column:
-        return F.coalesce(_flatten(value, F.lit(prefix), depth), F.array().cast(PARAMS_DDL))
+        return F.coalesce(_flatten(value, F.lit(prefix), depth, EVENT_FIELDS if not prefix else ()), F.array().cast(PARAMS_DDL))
 
     def part(name: str) -> Column:
         return F.try_variant_get("event", f"$['{name}']", "variant")
@@ -240,11 +259,11 @@ def with_params(parsed: DataFrame) -> DataFrame:
 PARAMS = "params"
 
 
-def _matching(pattern: str) -> Column:
-    return F.filter(PARAMS, lambda p: p["name"].rlike(f"(?i){pattern}"))
+def _matching(pattern: str, params: Column | str = PARAMS) -> Column:
+    return F.filter(params, lambda p: p["name"].rlike(f"(?i){pattern}"))
 
 
-def first_param(pattern: str, joiner: str = ",") -> Column:
+def first_param(pattern: str, joiner: str = ",", params: Column | str = PARAMS) -> Column:
     """First value among the matching parameters, single values before lists."""
 
     def pick(found):
@@ -254,7 +273,7 @@ def first_param(pattern: str, joiner: str = ",") -> Column:
             F.get(single, F.lit(0))["text"], F.array_join(F.get(listed, F.lit(0))["items"], joiner)
         )
 
-    return let(_matching(pattern), pick)
+    return let(_matching(pattern, params), pick)
 
 
 def all_params(pattern: str, joiner: str = ";") -> Column:
@@ -335,29 +354,33 @@ def version() -> Column:
     return let(first_param(PATTERNS["version"]), checked)
 
 
-def facet_date() -> Column:
+def facet_date(params: Column | str = PARAMS) -> Column:
     """Year, month and day facets as Y-M-D, without missing tails."""
 
-    units = [F.coalesce(first_param(f"params.temporal.facet.*{u}"), F.lit("NA")) for u in ("year", "month", "day")]
-    return let(F.concat_ws("-", *units), lambda t: F.when(t != "NA-NA-NA", F.substring_index(t, "-NA", 1)))
+    def part(unit):
+        return F.coalesce(first_param(f"params.temporal.facet.*{unit}", params=params), F.lit("NA"))
+
+    text = F.concat_ws("-", part("year"), part("month"), part("day"))
+    return let(text, lambda t: F.when(t != "NA-NA-NA", F.substring_index(t, "-NA", 1)))
 
 
 def time_query() -> Column:
     """Struct (query, type): temporal parameters (the last present wins), facets, then the others."""
+    labels = ["params.temporal", "params.temporal.facet", *OTHER_TIMES]
+
+    def value(found):
+        text = lambda p: F.coalesce(p["text"], F.array_join(p["items"], ";"))
+        return let(F.get(found, F.lit(0)), text)
 
-    def exact(name):
-        found = F.filter(PARAMS, lambda p: p["name"] == name)
-        one = F.get(found, F.lit(0))
-        return F.coalesce(one["text"], F.array_join(one["items"], ";"))
+    def named(name):
+        return lambda p: p["name"] == name
 
-    names = ("form.params.temporal..", "form.params.temporal", "query.params.temporal..", "query.params.temporal")
-    temporal = F.coalesce(*[exact(n) for n in names])
-    values = [temporal.alias("v0"), facet_date().alias("v1")]
-    labels = ["params.temporal", "params.temporal.facet"]
-    for pattern in OTHER_TIMES:
-        one = F.get(_matching(pattern), F.lit(0))
-        values.append(F.coalesce(one["text"], F.array_join(one["items"], ";")).alias(f"v{len(values)}"))
-        labels.append(pattern)
+    def collect(params):
+        # most requests have few time parameters: look at those only
+        names = ("form.params.temporal..", "form.params.temporal", "query.params.temporal..", "query.params.temporal")
+        exact = [value(F.filter(params, named(n))) for n in names]
+        found = [F.coalesce(*exact), facet_date(params), *[value(_matching(o, params)) for o in OTHER_TIMES]]
+        return F.when(F.size(params) > 0, F.struct(*[v.alias(f"v{i}") for i, v in enumerate(found)]))
 
     def choose(v):
         kind = F.lit(None).cast("string")
@@ -365,7 +388,8 @@ def time_query() -> Column:
             kind = F.when(v[f"v{i}"].isNotNull(), label).otherwise(kind)
         return F.struct(F.coalesce(*[v[f"v{i}"] for i in range(len(labels))]).alias("query"), kind.alias("type"))
 
-    return let(F.struct(*values), choose)
+    some = "|".join(["params.temporal", *OTHER_TIMES])
+    return chain(_matching(some), collect, choose)
 
 
 def _texts(param: Column) -> Column:
@@ -383,48 +407,56 @@ def spatial_query(literal: bool = False) -> Column:
     circle replace a polygon or a box. Grid, orbit and cycle/pass only name the type.
     """
 
-    def first(name):
-        return F.get(_matching(PATTERNS[name]), F.lit(0))
+    names = ("polygon", "bbox", "circle", "line", "point", "grid", "orbit", "cycle")
+
+    def first(params, name, use):
+        return let(F.get(_matching(PATTERNS[name], params), F.lit(0)), use)
 
-    def simple(name, geo_type):
+    def simple(geo_type):
         def text(one):
             single = wkt_text.scalar_text_to_wkt(one["text"], geo_type)
             return F.when(one["items"].isNull(), single).otherwise(wkt_text.list_text_to_wkt(one["items"], geo_type))
 
-        return let(first(name), text)
+        return text
 
-    found = F.struct(
-        simple("polygon", "POLYGON").alias("POLYGON"),
-        wkt_text.boxes_to_wkt(_texts(first("bbox"))).alias("BBOX"),
-        wkt_text.circles(_texts(first("circle"))).alias("circle"),
-        simple("line", "LINESTRING").alias("LINESTRING"),
-        simple("point", "POINT").alias("POINT"),
-    )
+    def collect(params):
+        # requests without any shape parameter stop here
+        tag = F.lit(None).cast("string")
+        for name, label in (("cycle", "cycle/pass"), ("orbit", "orbit"), ("grid", "2D Grid")):
+            tag = F.when(F.size(_matching(PATTERNS[name], params)) > 0, label).otherwise(tag)
+        found = F.struct(
+            first(params, "polygon", simple("POLYGON")).alias("POLYGON"),
+            first(params, "bbox", lambda one: wkt_text.boxes_to_wkt(_texts(one))).alias("BBOX"),
+            first(params, "circle", lambda one: wkt_text.circles(_texts(one))).alias("circle"),
+            first(params, "line", simple("LINESTRING")).alias("LINESTRING"),
+            first(params, "point", simple("POINT")).alias("POINT"),
+            tag.alias("tag"),
+        )
+        return F.when(F.size(params) > 0, found)
 
     def choose(v):
         ordered = [(v["circle"]["wkt"] if n == "CIRCLE" else v[n], n) for n in SHAPE_ORDER]
         if literal:
             ordered.insert(0, ordered.pop(SHAPE_ORDER.index("CIRCLE")))
-        kind = F.lit(None).cast("string")
+        kind = v["tag"]
         for value, label in reversed(ordered):
             kind = F.when(value.isNotNull(), label).otherwise(kind)
+        radius = v["circle"]["radius"]
         return F.struct(
-            F.coalesce(*[value for value, _ in ordered]).alias("text"), kind.alias("kind"), v["circle"]["radius"].alias("radius")
+            F.coalesce(*[value for value, _ in ordered]).alias("text"), kind.alias("kind"), radius.alias("radius")
         )
 
     def finish(v):
-        tag = F.lit(None).cast("string")
-        for name, label in (("cycle", "cycle/pass"), ("orbit", "orbit"), ("grid", "2D Grid")):
-            tag = F.when(F.size(_matching(PATTERNS[name])) > 0, label).otherwise(tag)
         failed = v["text"].contains("ERROR")
         return F.struct(
             F.when(~failed, v["text"]).alias("wkt"),
-            F.coalesce(v["kind"], tag).alias("geo_type"),
+            v["kind"].alias("geo_type"),
             F.when(v["kind"] == "CIRCLE", v["radius"]).alias("circle_radius"),
             F.when(failed, v["text"]).alias("error"),
         )
 
-    return chain(found, choose, finish)
+    some = "|".join(PATTERNS[n] for n in names)
+    return chain(_matching(some), collect, choose, finish)
 
 
 def log_table(lines: DataFrame, column: str = "value", literal: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:

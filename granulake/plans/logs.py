@@ -236,9 +236,9 @@ def semi_join_suite(spark, sf_dir):
     "coverage_ratio",
     f"""with {_PERCENTILES}, {_SUITE}, t as (select sum(n) as total, sum(n) filter (where test_cat <> '00000') as busy,
           coalesce(sum(n) filter (where test_cat in (select test_cat from suite)), 0) as covered from p),
-          top as (select sum(n) as leading from (select n from p order by n desc, test_cat limit 7) x)
+          top as (select sum(n) as heading from (select n from p order by n desc, test_cat limit 7) x)
         select round(covered / total::double, 9) as suite_share, round(covered / busy::double, 9) as suite_share_non_trivial,
-          round(leading / total::double, 9) as top_share from t, top""",
+          round(heading / total::double, 9) as top_share from t, top""",
 )
 def coverage_ratio(spark, sf_dir):
     shares = categories.coverage(categorised(spark, sf_dir))
