@@ -208,13 +208,18 @@ def quadrant_names(west: Column, east: Column, south: Column, north: Column) ->
 
 
 def cell_hemispheres(hash1: Column, hash2: Column) -> Column:
-    """Quadrants between the centres of two cells. A cell lies in the quadrant of its first letter,
-    and no centre lies on the equator or the prime meridian."""
+    """Quadrants of the box between the centres of two cells, in either order.
+
+    A cell lies in the quadrant of its first letter, and no centre lies on the equator or the prime
+    meridian.
+    """
     a, b = F.substring(hash1, 1, 1), F.substring(hash2, 1, 1)
-    letters = lambda *names: list("".join(QUADRANT_LETTERS[n] for n in names))
-    return quadrant_names(
-        a.isin(letters("NW", "SW")), b.isin(letters("NE", "SE")), a.isin(letters("SW", "SE")), b.isin(letters("NW", "NE"))
-    )
+
+    def either(*names):
+        letters = list("".join(QUADRANT_LETTERS[n] for n in names))
+        return a.isin(letters) | b.isin(letters)
+
+    return quadrant_names(either("NW", "SW"), either("NE", "SE"), either("SW", "SE"), either("NW", "NE"))
 
 
 # Pair names by quadrant -> the names by side used in prefix mode.

@@ -6,6 +6,10 @@ on arrays, so a text of any length stays out of regex recursion.
 
 from __future__ import annotations
 
+import json
+import re
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,6 +121,38 @@ def parse(text: Column) -> Column:
     return F.when(text.isNotNull(), chain(text, cut, read, check))
 
 
+def read_literal(text: str):
+    """(kind, [(part, hole, points)]) of one WKT literal, for query shapes; None when invalid."""
+    found = re.fullmatch(r"\s*([A-Za-z]+)\s*(\(.*\))\s*", text, re.DOTALL)
+    kind = KINDS.get(found.group(1).upper()) if found else None
+    if kind is None:
+        return None
+    # brackets and points as nested lists
+    points = re.sub(r"([^(),]+)", lambda m: "[" + ",".join(m.group(1).split()) + "]" if m.group(1).strip() else "", found.group(2))
+    try:
+        nested = json.loads(points.replace("(", "[").replace(")", "]"))
+        if kind in ("Point", "LineString"):
+            parts = [[nested]]
+        elif kind == "Polygon":
+            parts = [nested]
+        elif kind == "MultiPoint":
+            parts = [[[p[0] if isinstance(p[0], list) else p]] for p in nested]
+        elif kind == "MultiLineString":
+            parts = [[line] for line in nested]
+        else:
+            parts = nested
+        rings = [(i, j > 0, np.array(r, dtype=float).reshape(-1, 2)) for i, part in enumerate(parts) for j, r in enumerate(part)]
+    except (ValueError, TypeError, IndexError):
+        return None
+    areal = kind in shapes.AREAL
+    fewest = 4 if areal else 2 if kind in shapes.LINEAR else 1
+    if any(len(r) < fewest or (areal and (r[0] != r[-1]).any()) for _, _, r in rings):
+        return None
+    if not rings or (kind == "Point" and len(rings[0][2]) != 1):
+        return None
+    return kind, rings
+
+
 # ---- writing from search parameters ---------------------------------------------------------
 
 

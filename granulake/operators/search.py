@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granulake.functions import geometry_batch as gb
+from granulake.functions.wkt import read_literal
 from granulake.operators.layout import BOX, flat_bin_filter, overlaps
 from granulake.operators.ordering import row_positions, sort_limit, top_k_per_group
 from granulake.sources.spec import Operation, Predicate, Search, SpecError, Suite
@@ -159,17 +160,12 @@ def terms_range(
 # ---- compiling a specification -----------------------------------------------------------------
 
 
-def _wkb_of(spark: SparkSession, text: str) -> bytes:
-    """Literal WKT of a specification -> WKB, with the library's own text reader."""
-    from granulake.functions.wkt import parse
-
-    row = spark.range(1).select(parse(F.lit(text)).alias("g")).first()
-    if row.g is None:
+def _wkb_of(text: str) -> bytes:
+    """Literal WKT of a specification as WKB."""
+    shape = read_literal(text)
+    if shape is None:
         raise SpecError("the geometry value is not valid WKT")
-    import numpy as np
-
-    rings = [(r.part, r.hole, np.column_stack([r.xs, r.ys])) for r in row.g.rings]
-    return gb.write_wkb(row.g.kind, rings)
+    return gb.write_wkb(*shape)
 
 
 def _one_of(df: DataFrame, names: Sequence[str]) -> bool:
@@ -201,7 +197,7 @@ def predicate(df: DataFrame, step: Predicate, range_mode: str = "covers") -> tup
         if step.option == "range":
             return time_range(step.value, range_mode), None
         raise SpecError(f"unknown time option {step.option!r}")
-    wkb = _wkb_of(df.sparkSession, step.value)
+    wkb = _wkb_of(step.value)
     box = shape_box(wkb)
     native = None
     if _one_of(df, BOX):
@@ -317,7 +313,7 @@ def _flags(df: DataFrame, suite: Suite, range_mode: str) -> tuple[DataFrame, lis
         name = f"_hit{i}"
         df = df.withColumn(name, F.coalesce(native, F.lit(False)))
         for step, _ in exact:
-            wkb = _wkb_of(df.sparkSession, step.value)
+            wkb = _wkb_of(step.value)
             test = gb.st_contains if step.option == "contains" else gb.st_intersects
             df = df.withColumn("_open", F.when(F.col(name), F.col("geometry")))
             df = df.withColumn("_exact", F.coalesce(test(F.col("_open"), wkb), F.lit(False)))

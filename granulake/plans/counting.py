@@ -164,16 +164,17 @@ def histogram_by_type(spark, sf_dir):
 
 
 def measured_runs(spark, sf_dir):
-    """Line items as measured runs of tests: the part is the test, the price the time."""
+    """Line items as measured runs of tests: the part is the test, the price in cents the time."""
     line = inputs.table(spark, sf_dir, "lineitem")
     run = F.col("l_orderkey") * 1000000 + F.col("l_suppkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_quantity").cast("int")
-    return line.select(F.col("l_partkey").alias("test"), run.alias("run"), F.round("l_extendedprice", 2).alias("value"))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    return line.select(F.col("l_partkey").alias("test"), run.alias("run"), cents.alias("value"))
 
 
 _RUNS = """select l_partkey as test, l_orderkey * 1000000 + l_suppkey * 1000 + l_linenumber * 100 + cast(l_quantity as integer) as run,
-  round(l_extendedprice, 2) as value from lineitem"""
-_RUN_AGGREGATES = """count(*) as count, round(sum(value), 2) as total, min(value) as min, max(value) as max,
-  round(avg(value), 4) as average, round(median(value), 4) as median"""
+  cast(round(l_extendedprice * 100) as bigint) as value from lineitem"""
+_RUN_AGGREGATES = """count(*) as count, sum(value)::bigint as total, min(value) as min, max(value) as max,
+  sum(value)::double / count(*) as average, median(value)::double as median"""
 
 
 def _first_run_sql(pick: str) -> str:
@@ -187,8 +188,7 @@ def _first_run_sql(pick: str) -> str:
 )
 def run_stats(spark, sf_dir):
     """Statistics of measured runs per test, with the first runs at the extremes."""
-    stats = aggregates.run_stats(measured_runs(spark, sf_dir))
-    return inputs.rounded(inputs.rounded(stats, "total", digits=2), "average", "median", digits=4)
+    return aggregates.run_stats(measured_runs(spark, sf_dir))
 
 
 @query(
@@ -197,8 +197,7 @@ def run_stats(spark, sf_dir):
         select *, (select min(run) from runs where value = t.min) as min_id, (select min(run) from runs where value = t.max) as max_id from t""",
 )
 def run_stats_overall(spark, sf_dir):
-    stats = aggregates.run_stats(measured_runs(spark, sf_dir), groups=())
-    return inputs.rounded(inputs.rounded(stats, "total", digits=2), "average", "median", digits=4)
+    return aggregates.run_stats(measured_runs(spark, sf_dir), groups=())
 
 
 _RULES = """select * from (values ('box-time-sorted', 'greater-then', '10'), ('time-sorted', 'less-then', '5')) r(name, action, expected)"""
