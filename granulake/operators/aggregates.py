@@ -166,7 +166,7 @@ def run_stats(runs: DataFrame, value: str = "value", run: str = "run", groups: S
         F.avg(value).alias("average"),
     )
     median = exact_quantiles(runs, value, [0.5], list(groups)).drop("n").withColumnRenamed("p50", "median")
-    return base.join(median, list(groups)) if groups else base.join(F.broadcast(median))
+    return base.join(median, list(groups)) if groups else base.withColumn("median", median.scalar())
 
 
 def verify(results: DataFrame, rules: DataFrame, key: str = "name") -> DataFrame:

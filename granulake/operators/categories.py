@@ -126,16 +126,16 @@ def coverage(categorised: DataFrame, top: int = 7) -> DataFrame:
         F.sum("n").alias("total"),
         F.sum(F.when(F.col("test_cat") != TRIVIAL, F.col("n"))).alias("non_trivial"),
     )
-    leading = counts.orderBy(F.desc("n"), "test_cat").limit(top).agg(F.sum("n").alias("leading"))
-    return shares.join(F.broadcast(leading)).select(
+    leading = counts.orderBy(F.desc("n"), "test_cat").limit(top).agg(F.sum("n"))
+    return shares.select(
         (F.col("covered") / F.col("total")).alias("suite_share"),
         (F.col("covered") / F.col("non_trivial")).alias("suite_share_non_trivial"),
-        (F.col("leading") / F.col("total")).alias("top_share"),
+        (leading.scalar() / F.col("total")).alias("top_share"),
     )
 
 
 def upload_vs_parsed(log: DataFrame, uploads: DataFrame) -> DataFrame:
     """Total of uploaded shapes beside the number of spatial queries."""
     spatial = log.agg(F.count_if(F.col("geo_type").isNotNull()).alias("parsed"))
-    uploaded = uploads.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("uploaded"))
-    return uploaded.join(F.broadcast(spatial))
+    uploaded = uploads.agg(F.coalesce(F.sum("n"), F.lit(0)))
+    return spatial.withColumn("uploaded", uploaded.scalar())

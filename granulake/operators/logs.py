@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import lru_cache, reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,27 +80,30 @@ OTHER_TIMES = (
     "params.created.at",
 )
 
-# Parameter name patterns.
-PATTERNS = {
-    "provider": "^(provider)$|params.provider",
-    "sort_key": "^(sort.key)$|params.sort.key",
-    "page_size": "^(page.size)$|params.(page.size|pageSize)",
-    "page_num": "^(page.num)$|params.page.num",
-    "version": "^(version)$|params.version",
-    "short_name": "^(short.name)$|params.short.name",
+# What the dotted, lower-case name of a parameter holds ("^x" is the whole name).
+NAMES = {
+    "provider": ("^provider", "params.provider"),
+    "sort_key": ("^sort.key", "params.sort.key"),
+    "page_size": ("^page.size", "params.page.size", "params.pagesize"),
+    "page_num": ("^page.num", "params.page.num"),
+    "version": ("^version", "params.version"),
+    "short_name": ("^short.name", "params.short.name"),
     "concept_id": (
-        "^(concept.id)$|params.collectionConceptId|params.concept.id|"
-        "params.collection.concept.id|params.echo.collection.id"
+        "^concept.id",
+        "params.collectionconceptid",
+        "params.concept.id",
+        "params.collection.concept.id",
+        "params.echo.collection.id",
     ),
-    "instrument": "^(instrument)$|params.instrument",
-    "polygon": "params.polygon",
-    "bbox": "bounding.{0,1}box",
-    "circle": "circle",
-    "line": "params.line",
-    "point": "params.point",
-    "grid": "two.d.coordinate.system.name",
-    "orbit": "params.orbit.number",
-    "cycle": "params.cycle|params.pass",
+    "instrument": ("^instrument", "params.instrument"),
+    "polygon": ("params.polygon",),
+    "bbox": ("boundingbox", "bounding.box"),
+    "circle": ("circle",),
+    "line": ("params.line",),
+    "point": ("params.point",),
+    "grid": ("two.d.coordinate.system.name",),
+    "orbit": ("params.orbit.number",),
+    "cycle": ("params.cycle", "params.pass"),
 }
 
 # Client name pattern -> product.
@@ -192,26 +198,32 @@ def _flatten(value: Column, prefix: Column, depth: int, skip: tuple[str, ...] =
         return F.try_variant_get(v, "$", "map<string,variant>")
 
     def read(e):
+        # text first: only values that look like a list or an object are looked at again
         return F.struct(
-            F.concat(prefix, F.regexp_replace(e["key"], r"[^A-Za-z0-9_.]", ".")).alias("name"),
-            F.try_variant_get(e["value"], "$", "array<string>").alias("items"),
-            as_map(e["value"]).alias("nested"),
+            F.lower(F.concat(prefix, F.regexp_replace(e["key"], "[^A-Za-z0-9]", "."))).alias("name"),
+            F.try_variant_get(e["value"], "$", "string").alias("text"),
             e["value"].alias("value"),
         )
 
+    def sort(e):
+        items = F.when(e["text"].startswith("["), F.try_variant_get(e["value"], "$", "array<string>"))
+        nested = F.when(e["text"].startswith("{"), as_map(e["value"]))
+        return F.struct(*[e[n].alias(n) for n in ("name", "text", "value")], items.alias("items"), nested.isNotNull().alias("nested"))
+
     def entry(e):
-        text = F.when(e["items"].isNull(), F.try_variant_get(e["value"], "$", "string"))
+        text = F.when(e["items"].isNull(), e["text"])
         leaf = F.array(F.struct(e["name"].alias("name"), text.alias("text"), e["items"].alias("items")))
         if depth == 0:
-            return F.when(e["nested"].isNull(), leaf)
+            return F.when(~e["nested"], leaf)
         inner = _flatten(e["value"], F.concat(e["name"], F.lit(".")), depth - 1)
-        return F.when(e["nested"].isNull(), leaf).otherwise(inner)
+        return F.when(e["nested"], inner).otherwise(leaf)
 
     listed = F.map_entries(as_map(value))
     if skip:
         listed = F.filter(listed, lambda e: ~e["key"].isin(*skip))
     none = F.array().cast(PARAMS_DDL)
-    return F.flatten(F.transform(F.transform(listed, read), lambda e: F.coalesce(entry(e), none)))
+    sorted_out = F.transform(F.transform(listed, read), sort)
+    return F.flatten(F.transform(sorted_out, lambda e: F.coalesce(entry(e), none)))
 
 
 def with_fields(parsed: DataFrame) -> DataFrame:
@@ -240,7 +252,13 @@ def with_params(parsed: DataFrame) -> DataFrame:
 
     Order is top level, query parameters, form parameters; NULLs and empty lists are left out.
     """
+    from pyspark import SparkContext
+
+    return once(parsed, PARAMS, _params(id(SparkContext._gateway)))
 
+
+@lru_cache(maxsize=2)
+def _params(gateway: int) -> Column:
     def group(value: Column, prefix: str, depth: int) -> Column:
         return F.coalesce(_flatten(value, F.lit(prefix), depth, EVENT_FIELDS if not prefix else ()), F.array().cast(PARAMS_DDL))
 
@@ -252,18 +270,21 @@ def with_params(parsed: DataFrame) -> DataFrame:
         group(part("query-params"), "query.params.", 2),
         group(part("form-params"), "form.params.", 2),
     )
-    used = F.filter(everything, lambda p: p["text"].isNotNull() | (F.size(p["items"]) > 0))
-    return once(parsed, PARAMS, used)
+    return F.filter(everything, lambda p: p["text"].isNotNull() | (F.size(p["items"]) > 0))
 
 
 PARAMS = "params"
 
 
-def _matching(pattern: str, params: Column | str = PARAMS) -> Column:
-    return F.filter(params, lambda p: p["name"].rlike(f"(?i){pattern}"))
+def _matching(names: Sequence[str], params: Column | str = PARAMS) -> Column:
+    def named(p):
+        tests = [p["name"] == n[1:] if n.startswith("^") else p["name"].contains(n) for n in names]
+        return reduce(lambda a, b: a | b, tests)
+
+    return F.filter(params, named)
 
 
-def first_param(pattern: str, joiner: str = ",", params: Column | str = PARAMS) -> Column:
+def first_param(names: Sequence[str], joiner: str = ",", params: Column | str = PARAMS) -> Column:
     """First value among the matching parameters, single values before lists."""
 
     def pick(found):
@@ -273,12 +294,12 @@ def first_param(pattern: str, joiner: str = ",", params: Column | str = PARAMS)
             F.get(single, F.lit(0))["text"], F.array_join(F.get(listed, F.lit(0))["items"], joiner)
         )
 
-    return let(_matching(pattern, params), pick)
+    return let(_matching(names, params), pick)
 
 
-def all_params(pattern: str, joiner: str = ";") -> Column:
+def all_params(names: Sequence[str], joiner: str = ";") -> Column:
     """All matching values as one text, single values before lists (a list joined by commas)."""
-    found = _matching(pattern)
+    found = _matching(names)
     single = F.transform(F.filter(found, lambda p: p["items"].isNull()), lambda p: p["text"])
     listed = F.transform(F.filter(found, lambda p: p["items"].isNotNull()), lambda p: F.array_join(p["items"], ","))
     return F.array_join(F.concat(single, listed), joiner)
@@ -342,7 +363,7 @@ def _whole_number(text: Column) -> Column:
 
 
 def provider() -> Column:
-    start = F.substring_index(F.substring_index(first_param(PATTERNS["provider"]), '"', 1), "'", 1)
+    start = F.substring_index(F.substring_index(first_param(NAMES["provider"]), '"', 1), "'", 1)
     return let(start, lambda name: F.when(name.rlike("[^a-zA-Z0-9_]"), "INVALID").otherwise(name))
 
 
@@ -351,14 +372,15 @@ def version() -> Column:
         bad = ~text.contains("Near-Real-Time") & text.rlike("[^a-zA-Z0-9_.,]")
         return F.when(bad, "INVALID").otherwise(text)
 
-    return let(first_param(PATTERNS["version"]), checked)
+    return let(first_param(NAMES["version"]), checked)
 
 
 def facet_date(params: Column | str = PARAMS) -> Column:
     """Year, month and day facets as Y-M-D, without missing tails."""
 
     def part(unit):
-        return F.coalesce(first_param(f"params.temporal.facet.*{unit}", params=params), F.lit("NA"))
+        mine = F.filter(params, lambda p: p["name"].contains("params.temporal.facet") & p["name"].contains(unit))
+        return F.coalesce(first_param(("params.temporal.facet",), params=mine), F.lit("NA"))
 
     text = F.concat_ws("-", part("year"), part("month"), part("day"))
     return let(text, lambda t: F.when(t != "NA-NA-NA", F.substring_index(t, "-NA", 1)))
@@ -379,7 +401,7 @@ def time_query() -> Column:
         # most requests have few time parameters: look at those only
         names = ("form.params.temporal..", "form.params.temporal", "query.params.temporal..", "query.params.temporal")
         exact = [value(F.filter(params, named(n))) for n in names]
-        found = [F.coalesce(*exact), facet_date(params), *[value(_matching(o, params)) for o in OTHER_TIMES]]
+        found = [F.coalesce(*exact), facet_date(params), *[value(_matching((o,), params)) for o in OTHER_TIMES]]
         return F.when(F.size(params) > 0, F.struct(*[v.alias(f"v{i}") for i, v in enumerate(found)]))
 
     def choose(v):
@@ -388,7 +410,7 @@ def time_query() -> Column:
             kind = F.when(v[f"v{i}"].isNotNull(), label).otherwise(kind)
         return F.struct(F.coalesce(*[v[f"v{i}"] for i in range(len(labels))]).alias("query"), kind.alias("type"))
 
-    some = "|".join(["params.temporal", *OTHER_TIMES])
+    some = ("params.temporal", *OTHER_TIMES)
     return chain(_matching(some), collect, choose)
 
 
@@ -407,10 +429,8 @@ def spatial_query(literal: bool = False) -> Column:
     circle replace a polygon or a box. Grid, orbit and cycle/pass only name the type.
     """
 
-    names = ("polygon", "bbox", "circle", "line", "point", "grid", "orbit", "cycle")
-
     def first(params, name, use):
-        return let(F.get(_matching(PATTERNS[name], params), F.lit(0)), use)
+        return let(F.get(_matching(NAMES[name], params), F.lit(0)), use)
 
     def simple(geo_type):
         def text(one):
@@ -423,7 +443,7 @@ def spatial_query(literal: bool = False) -> Column:
         # requests without any shape parameter stop here
         tag = F.lit(None).cast("string")
         for name, label in (("cycle", "cycle/pass"), ("orbit", "orbit"), ("grid", "2D Grid")):
-            tag = F.when(F.size(_matching(PATTERNS[name], params)) > 0, label).otherwise(tag)
+            tag = F.when(F.size(_matching(NAMES[name], params)) > 0, label).otherwise(tag)
         found = F.struct(
             first(params, "polygon", simple("POLYGON")).alias("POLYGON"),
             first(params, "bbox", lambda one: wkt_text.boxes_to_wkt(_texts(one))).alias("BBOX"),
@@ -455,37 +475,55 @@ def spatial_query(literal: bool = False) -> Column:
             F.when(failed, v["text"]).alias("error"),
         )
 
-    some = "|".join(PATTERNS[n] for n in names)
+    shape_names = ("polygon", "bbox", "circle", "line", "point", "grid", "orbit", "cycle")
+    some = [name for kind in shape_names for name in NAMES[kind]]
     return chain(_matching(some), collect, choose, finish)
 
 
+def _expressions(literal: bool) -> dict[str, Column]:
+    """Column expressions of the log table over `uri`, `user_agent` and `params`.
+
+    They are the same for every table and made of thousands of nodes, so they are built once per
+    gateway to the JVM.
+    """
+    from pyspark import SparkContext
+
+    return _built_expressions(id(SparkContext._gateway), literal)
+
+
+@lru_cache(maxsize=4)
+def _built_expressions(gateway: int, literal: bool) -> dict[str, Column]:
+    return {
+        "_time": time_query(),
+        "_space": spatial_query(literal),
+        "concept": uri_concept(F.col("uri")),
+        "format": uri_format(F.col("uri")),
+        "user_agent_type": user_agent_type(F.col("user_agent")),
+        "provider": provider(),
+        "sort_key": first_param(NAMES["sort_key"]),
+        "page_size": _whole_number(first_param(NAMES["page_size"])),
+        "page_num": _whole_number(first_param(NAMES["page_num"])),
+        "version": version(),
+        "short_name": first_param(NAMES["short_name"]),
+        "concept_id": first_param(NAMES["concept_id"]),
+        "instrument": first_param(NAMES["instrument"]),
+    }
+
+
 def log_table(lines: DataFrame, column: str = "value", literal: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Text lines -> the log table, in one pass of native expressions; every line is parsed once.
 
     `keep` names extra columns of `lines` to carry along.
     """
+    built = dict(_expressions(literal))
     fields = with_params(with_fields(events(lines, column)))
-    staged = once(once(fields, "_time", time_query()), "_space", spatial_query(literal))
-    columns = {
-        "concept": uri_concept(F.col("uri")),
-        "format": uri_format(F.col("uri")),
-        "user_agent_type": user_agent_type(F.col("user_agent")),
+    staged = once(once(fields, "_time", built.pop("_time")), "_space", built.pop("_space"))
+    unpacked = {
         "time_query": F.col("_time.query"),
         "time_type": F.col("_time.type"),
-        "provider": provider(),
-        "sort_key": first_param(PATTERNS["sort_key"]),
-        "page_size": _whole_number(first_param(PATTERNS["page_size"])),
-        "page_num": _whole_number(first_param(PATTERNS["page_num"])),
-        "version": version(),
-        "short_name": first_param(PATTERNS["short_name"]),
-        "concept_id": first_param(PATTERNS["concept_id"]),
-        "instrument": first_param(PATTERNS["instrument"]),
-        "wkt": F.col("_space.wkt"),
-        "geo_type": F.col("_space.geo_type"),
-        "circle_radius": F.col("_space.circle_radius"),
-        "error": F.col("_space.error"),
+        **{name: F.col(f"_space.{name}") for name in ("wkt", "geo_type", "circle_radius", "error")},
     }
-    return staged.withColumns(columns).select(*keep, *LOG_COLUMNS)
+    return staged.withColumns({**built, **unpacked}).select(*keep, *LOG_COLUMNS)
 
 
 # ---- labels ------------------------------------------------------------------------------------

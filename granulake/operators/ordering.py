@@ -156,20 +156,16 @@ def with_previous(
 ) -> DataFrame:
     """Add the values of the row before along `order` (NULL on the first row)."""
     ranged = _range_parts(df, order, partitions)
-    keys = _columns(order)
-    local = Window.partitionBy("_part").orderBy(*keys)
+    local = Window.partitionBy("_part").orderBy(*_columns(order))
     picked = F.struct(*[F.col(c) for c in columns])
-    ends = ranged.groupBy("_part").agg(
-        F.max_by(picked, F.struct(*[F.col(o) for o in order])).alias("_last")
-    )
+    marked = ranged.withColumns({"_here": F.lag(picked).over(local), "_at": F.row_number().over(local)})
+    ends = marked.groupBy("_part").agg(F.max_by(picked, F.col("_at")).alias("_last"))
+    # one row per partition
     carried = ends.select(
-        F.col("_part").alias("_to"), F.lag("_last").over(Window.partitionBy(F.lit(1)).orderBy("_part")).alias("_last")
-    )
-    marked = ranged.withColumn("_here", F.lag(picked).over(local)).withColumn(
-        "_first", F.row_number().over(local) == 1
+        F.col("_part").alias("_from"), F.lag("_last").over(Window.partitionBy(F.lit(1)).orderBy("_part")).alias("_last")
     )
-    joined = marked.join(F.broadcast(carried), F.col("_part") == F.col("_to"), "left")
-    before = F.when(F.col("_first"), F.col("_last")).otherwise(F.col("_here"))
+    joined = marked.join(F.broadcast(carried), F.col("_part") == F.col("_from"), "left")
+    before = F.when(F.col("_at") == 1, F.col("_last")).otherwise(F.col("_here"))
     return joined.select(*df.columns, *[before[c].alias(f"{prefix}{c}") for c in columns])
 
 
@@ -199,7 +195,7 @@ def exact_quantiles(
             on = same if on is None else on & same
         with_n = ranked.join(right, on).drop(*[f"_k_{k}" for k in keys])
     else:
-        with_n = ranked.join(F.broadcast(sizes))  # one row
+        with_n = ranked.withColumn("n", sizes.scalar())
     picks = []
     for p in probabilities:
         at = (F.col("n") - 1) * F.lit(float(p))
@@ -238,11 +234,15 @@ def ecdf(
         .agg(F.count(F.when(part_of_base, F.lit(1))).alias("_n"))
     )
     table = running_total(counted, [value], {"_to": F.col("_n")})
-    size = counted.agg(F.sum("_n").alias("_all"))
-    share = F.col("_to") / F.col("_all")
+    share = F.col("_to") / counted.agg(F.sum("_n")).scalar()
     share = share if digits is None else F.round(share, digits)
-    lookup = table.join(F.broadcast(size)).select(F.col(value).alias("_v"), share.alias(name))
-    return df.join(lookup, F.col(value) == F.col("_v"), "left").drop("_v")
+    lookup = table.select(F.col(value).alias("_v"), F.lit(0).alias("_spread"), share.alias(name))
+    # rows without a value find nothing: spread them instead of sending them all to one task
+    others = [F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    salt = F.pmod(F.xxhash64(*others), F.lit(1024)).cast("int")
+    spread = df.withColumn("_s", F.when(F.col(value).isNull(), salt + 1).otherwise(F.lit(0)))
+    on = (F.col(value) == F.col("_v")) & (F.col("_s") == F.col("_spread"))
+    return spread.join(lookup, on, "left").drop("_v", "_s", "_spread")
 
 
 def ecdf_lookup(df: DataFrame, value: str, probes: DataFrame, probe: str = "x", name: str = "pctile") -> DataFrame:
@@ -261,8 +261,8 @@ def ecdf_lookup(df: DataFrame, value: str, probes: DataFrame, probe: str = "x",
     spots = probes.select(F.col(probe).cast("double").alias("_v")).where(F.col("_v").isNotNull()).distinct()
     both = counted.unionByName(spots.withColumns({"_n": F.lit(0).cast("bigint"), "_probe": F.lit(1)}))
     ranked = running_total(both, ["_v", "_probe"], {"_to": F.col("_n")}).where(F.col("_probe") == 1)
-    total = counted.agg(F.sum("_n").alias("_all"))
-    share = ranked.join(F.broadcast(total)).select("_v", (F.col("_to") / F.col("_all")).alias(name))
+    total = counted.agg(F.sum("_n")).scalar()
+    share = ranked.select("_v", (F.col("_to") / total).alias(name))
     return probes.join(share, F.col(probe).cast("double") == F.col("_v"), "left").drop("_v")
 
 
@@ -270,8 +270,8 @@ def add_quantile_flag(df: DataFrame, value: str, threshold: float, name: str = "
     """Flag rows at or above the `threshold` quantile; thresholds outside 0..1 are an error."""
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must be between 0 and 1")
-    cutoff = exact_quantiles(df, value, [threshold]).select(F.col(quantile_name(threshold)).alias("_cutoff"))
-    return df.join(F.broadcast(cutoff)).withColumn(name, F.col(value) >= F.col("_cutoff")).drop("_cutoff")
+    cutoff = exact_quantiles(df, value, [threshold]).select(quantile_name(threshold))
+    return df.withColumn(name, F.col(value) >= cutoff.scalar())
 
 
 # ---- load -----------------------------------------------------------------------------------

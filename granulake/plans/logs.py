@@ -87,8 +87,8 @@ def coalesce_params(spark, sf_dir):
     fields = logs.with_params(logs.events(inputs.log_lines(spark, sf_dir), "line"))
     return fields.select(
         "event_id",
-        logs.first_param(logs.PATTERNS["sort_key"]).alias("first"),
-        logs.all_params(logs.PATTERNS["provider"]).alias("every"),
+        logs.first_param(logs.NAMES["sort_key"]).alias("first"),
+        logs.all_params(logs.NAMES["provider"]).alias("every"),
     )
 
 

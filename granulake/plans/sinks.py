@@ -56,8 +56,7 @@ def write_geo_metadata(spark, sf_dir):
         *[F.min(F.get(box, F.lit(i))).alias(n) for i, n in enumerate(("xmin", "ymin", "xmax", "ymax"))],
         (F.min("geo") == F.max("geo")).alias("same"),
     )
-    rows = spark.read.parquet(path).agg(F.count("geometry").alias("rows"))
-    return facts.join(F.broadcast(rows))
+    return facts.withColumn("rows", spark.read.parquet(path).agg(F.count("geometry")).scalar())
 
 
 def flat_bins(spark, sf_dir):
@@ -199,9 +198,9 @@ def write_compact(spark, sf_dir):
     many, few = scratch(spark, "many"), scratch(spark, "few")
     inputs.granules(spark, sf_dir).repartition(12).write.parquet(many)
     sinks.write_compact(spark.read.parquet(many), few, 2, ["GranuleUR", "k"])
-    files = footers.list_files(spark, few).agg((F.count(F.lit(1)) <= 2).alias("few"))
+    files = footers.list_files(spark, few).agg(F.count(F.lit(1)) <= 2)
     rows = spark.read.parquet(few).agg(F.count(F.lit(1)).alias("rows"), F.sum("k").alias("keys"))
-    return rows.join(F.broadcast(files))
+    return rows.withColumn("few", files.scalar())
 
 
 @query(

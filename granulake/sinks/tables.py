@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from granulake.functions import shapes
 from granulake.operators.layout import BOX, spread_for_write, with_tree_columns
 from granulake.session import cut
+from granulake.sources.footers import file_system
 
 
 @contextmanager
@@ -181,13 +182,10 @@ def write_geo(
     entry = geo_metadata(geometry, facts[4], [v if v is not None else 0.0 for v in facts[:4]], covering)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.fs as fs
         import pyarrow.parquet as pq
         from pyspark import TaskContext
 
-        system, folder = (
-            fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        )
+        system, folder = file_system(path)
         system.create_dir(folder, recursive=True)
         name = f"{folder}/part-{TaskContext.get().partitionId():05d}.parquet"
         partial = f"{folder}/_partial-{uuid.uuid4().hex}"

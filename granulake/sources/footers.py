@@ -19,17 +19,23 @@ def list_files(spark: SparkSession, paths: str | Sequence[str], pattern: str = "
     return reader.load(paths).select("path", "length")
 
 
-def _open(path: str):
-    """Footer of one file on whatever file system its URI names."""
+def file_system(path: str):
+    """(Arrow file system, path inside it) of a path or URI as Spark writes it."""
     import pyarrow.fs as fs
-    import pyarrow.parquet as pq
 
     if path.startswith("file:"):
-        return pq.ParquetFile(path.removeprefix("file:").replace("///", "/", 1))
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     if "://" in path:
-        system, inner = fs.FileSystem.from_uri(path)
-        return pq.ParquetFile(inner, filesystem=system)
-    return pq.ParquetFile(path)
+        return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1))
+    return fs.LocalFileSystem(), path
+
+
+def _open(path: str):
+    """Footer of one file."""
+    import pyarrow.parquet as pq
+
+    system, inner = file_system(path)
+    return pq.ParquetFile(inner, filesystem=system)
 
 
 def _text(value, geometry: bool):
