@@ -10,7 +10,7 @@ from granulake.operators import layout
 from granulake.plans import inputs
 from granulake.plans.inputs import rounded, using
 from granulake.plans.registry import query
-from granulake.plans.sinks import BOX, corner_sql, corners_sql, flat_bins_sql, hemisphere_sql, nested_bins_sql
+from granulake.plans.sinks import BOX, corner_sql, corners_sql, flat_bins_sql, nested_bins_sql
 from granulake.session import scratch
 
 # ---- reading shapes ------------------------------------------------------------------------------

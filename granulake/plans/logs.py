@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from granulake.operators import aggregates, categories, joins, logs, ordering
 from granulake.plans import inputs
 from granulake.plans.counting import uploads
-from granulake.plans.inputs import using
 from granulake.plans.registry import query
 from granulake.session import cut
 
