@@ -112,7 +112,7 @@ class Shard:
         same = np.zeros(len(where), bool)
         same[1:] = (item[1:] == item[:-1]) & (where[1:] - at[1:] == where[:-1] - at[:-1]) & (where[1:] == where[:-1] + 1)
         begin = np.flatnonzero(~same)
-        end = np.append(begin[1:], len(where)) - 1
+        end = np.append(begin[1:], len(where))[: len(begin)] - 1
         return where[begin], where[end] - where[begin] + size[end], item[begin], at[begin]
 
 
