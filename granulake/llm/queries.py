@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ("q_decontaminate",)
+PARTS = ("q_decontaminate", "q_toxicity")
 
 
 def load():
