@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ("q_decontaminate", "q_toxicity", "q_quality", "q_jaccard")
+PARTS = ("q_bpe", "q_jaccard", "q_decontaminate", "q_quality", "q_toxicity")
 
 
 def load():
