@@ -209,17 +209,17 @@ def _candidates(left: DataFrame, right: DataFrame, percent: int, extra: str) ->
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (cls_a, cls_b) that link, judged on the whole sets."""
+    """The different (comp_a, comp_b) with a pair (cls_a, cls_b) that links, judged on the whole sets."""
     a, b = (sets.select(F.col("cls").alias(f"cls_{s}"), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return (
         pairs.join(a, "cls_a").join(b, "cls_b")
         .where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))
-        .select("cls_a", "cls_b")
+        .select("comp_a", "comp_b").distinct()
     )
 
 
-def components(links: DataFrame, a: str = "cls_a", b: str = "cls_b") -> DataFrame:
+def components(links: DataFrame, a: str = "comp_a", b: str = "comp_b") -> DataFrame:
     """(node, label) of every node of the links; a label is the smallest node that links reach.
 
     Each round a node takes the smallest label around it and then its label's own label, so long chains
@@ -239,10 +239,10 @@ def components(links: DataFrame, a: str = "cls_a", b: str = "cls_b") -> DataFram
             return labels
 
 
-def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds `comp`, the node's label or the node itself."""
-    named = labels.select(F.col("node").alias("cls"), "label")
-    return nodes.join(named, "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
+def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The nodes (cls, comp) with the components that links between components give."""
+    named = components(cut(links, "links")).select(F.col("node").alias("comp"), "label")
+    return cut(nodes.join(named, "comp", "left").select("cls", F.coalesce("label", "comp").alias("comp")), "nodes")
 
 
 def _stars(lists: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -250,8 +250,9 @@ def _stars(lists: DataFrame, percent: int, turn: int) -> DataFrame:
     it shares most prefix shingles with."""
     hub = lists.groupBy("token").agg(F.min_by(F.struct("cls", "n", "at", "comp"), F.struct(F.xxhash64("cls", F.lit(turn)), "cls")).alias("hub"), F.count("*").alias("members"), (F.min("comp") != F.max("comp")).alias("open"))
     hub = hub.where("members > 1 and open").select("token", "hub.*")
-    pairs = _candidates(lists, hub, percent, "comp_a <> comp_b").groupBy("cls_a", "cls_b").count()
-    return pairs.groupBy("cls_a").agg(F.max_by("cls_b", F.struct("count", "cls_b")).alias("cls_b"))
+    pairs = _candidates(lists, hub, percent, "comp_a <> comp_b").groupBy("cls_a", "comp_a", "cls_b", "comp_b").count()
+    best = pairs.groupBy("cls_a", "comp_a").agg(F.max_by(F.struct("cls_b", "comp_b"), F.struct("count", "cls_b")).alias("hub"))
+    return best.select("cls_a", "comp_a", "hub.*")
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, turns: int = 2) -> DataFrame:
@@ -279,18 +280,18 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     heads = grouped.where("cls = grp").select("cls")
     lists = postings.join(heads, "cls", "left_semi").withColumn("comp", F.col("cls"))
 
-    inside = grouped.where("cls <> grp").select(F.col("cls").alias("cls_a"), F.col("grp").alias("cls_b"))
-    links = cut(_verified(_stars(lists, percent, 0).union(inside), sets, percent), "links")
+    # hubs first; then, member by member, hubs of the lists that are not connected; then every pair left
+    inside = grouped.where("cls <> grp").select(F.col("cls").alias("cls_a"), F.col("cls").alias("comp_a"), F.col("grp").alias("cls_b"), F.col("grp").alias("comp_b"))
+    nodes = grouped.select("cls", F.col("cls").alias("comp"))
+    nodes = _joined(nodes, _verified(_stars(lists, percent, 0).union(inside), sets, percent))
     for turn in range(1, turns + 1):
-        labelled = _labelled(postings, components(links))
-        if turn < turns:
-            pairs = _stars(labelled, percent, turn)
-        else:  # expand: every candidate pair that is not connected yet
-            opened = labelled.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("open")).where("open")
-            rest = labelled.join(opened.select("token"), "token")
-            pairs = _candidates(rest, rest, percent, "comp_a < comp_b").select("cls_a", "cls_b").distinct()
-        links = cut(links.union(_verified(pairs, sets, percent)), "links")
-    nodes = _labelled(rows.select("doc_id", "n", "cls"), components(links))
+        nodes = _joined(nodes, _verified(_stars(postings.join(nodes, "cls"), percent, turn), sets, percent))
+    labelled = postings.join(nodes, "cls")
+    opened = labelled.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("open")).where("open")
+    rest = labelled.join(opened.select("token"), "token")
+    pairs = _candidates(rest, rest, percent, "comp_a < comp_b").select("cls_a", "comp_a", "cls_b", "comp_b").distinct()
+    nodes = _joined(nodes, _verified(pairs, sets, percent))
+    nodes = rows.select("doc_id", "n", "cls").join(nodes, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = nodes.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
     full = nodes.where("n > 0").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     empty = nodes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
