@@ -296,3 +296,16 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     full = nodes.where("n > 0").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     empty = nodes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.union(empty)
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents whose doc_id is the smallest of their component, in their own columns.
+
+    Rows that are equal in doc_id and text count once; rows without a doc_id, which no component can name, stay.
+    """
+    found = jaccard_components(docs, doc_id=doc_id, text=text, **options)
+    chosen = found.where("doc_id = component_id").select("doc_id").distinct()
+    key = F.col(f"`{doc_id}`").cast("bigint")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("digest"))
+    named = rows.where("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id", "digest"])
+    return named.select("row.*").union(rows.where("doc_id is null").select("row.*"))

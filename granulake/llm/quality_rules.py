@@ -136,4 +136,6 @@ def judged(docs: DataFrame, rules: list[list[Condition]], keep: list[Column]) ->
 def keep_good(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
     """The documents that no rule rejects, in their own columns."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return judged(docs, rules, [row]).where("kept").select("row.*")
+    # the one-row explode keeps the filter above the statistics, which would be copied into it
+    found = judged(docs, rules, [row]).select(F.explode(F.array(F.struct("row", "kept"))).alias("found"))
+    return found.where("found.kept").select("found.row.*")
