@@ -245,17 +245,32 @@ def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut(nodes.join(named, "comp", "left").select("cls", F.coalesce("label", "comp").alias("comp")), "nodes")
 
 
-def _stars(lists: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Each set of a prefix list with the list's hub, where they are not connected yet; for each set only the hub that
-    it shares most prefix shingles with."""
-    hub = lists.groupBy("token").agg(F.min_by(F.struct("cls", "n", "at", "comp"), F.struct(F.xxhash64("cls", F.lit(turn)), "cls")).alias("hub"), F.count("*").alias("members"), (F.min("comp") != F.max("comp")).alias("open"))
-    hub = hub.where("members > 1 and open").select("token", "hub.*")
+def _open(lists: DataFrame) -> DataFrame:
+    """The lists whose members are not all connected yet."""
+    opened = lists.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("open")).where("open").select("token")
+    return cut(lists.join(opened, "token"), "open")
+
+
+def _hubs(lists: DataFrame, percent: int) -> DataFrame:
+    """Each set with the one hub, of all lists of its prefix, that it shares most prefix shingles with."""
+    hub = lists.groupBy("token").agg(F.min_by(F.struct("cls", "n", "at", "comp"), F.struct(F.xxhash64("cls"), "cls")).alias("hub"), F.count("*").alias("members"))
+    hub = hub.where("members > 1").select("token", "hub.*")
     pairs = _candidates(lists, hub, percent, "comp_a <> comp_b").groupBy("cls_a", "comp_a", "cls_b", "comp_b").count()
     best = pairs.groupBy("cls_a", "comp_a").agg(F.max_by(F.struct("cls_b", "comp_b"), F.struct("count", "cls_b")).alias("hub"))
     return best.select("cls_a", "comp_a", "hub.*")
 
 
-def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, turns: int = 2) -> DataFrame:
+def _drawn(lists: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Each set with the members of its lists that `4 * turn` draws a list take, so that a set meets several members of
+    a large component without meeting all."""
+    member = F.struct("cls", "n", "at", "comp")
+    draws = [F.min_by(member, F.struct(F.xxhash64("cls", "token", F.lit(turn), F.lit(i)), "cls")) for i in range(4 * turn)]
+    hubs = lists.groupBy("token").agg(F.array_distinct(F.array(*draws)).alias("hubs")).select("token", F.explode("hubs").alias("hub"))
+    pairs = _candidates(lists, hubs.select("token", "hub.*"), percent, "comp_a <> comp_b")
+    return pairs.select("cls_a", "comp_a", "cls_b", "comp_b").distinct()
+
+
+def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, turns: int = 4) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
     spark = docs.sparkSession
     bits = max(8, (shuffle_partitions(spark) - 1).bit_length())
@@ -280,15 +295,14 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     heads = grouped.where("cls = grp").select("cls")
     lists = postings.join(heads, "cls", "left_semi").withColumn("comp", F.col("cls"))
 
-    # hubs first; then, member by member, hubs of the lists that are not connected; then every pair left
+    # hubs first; then, member by member, more and more hubs of the lists still open; then every pair left
     inside = grouped.where("cls <> grp").select(F.col("cls").alias("cls_a"), F.col("cls").alias("comp_a"), F.col("grp").alias("cls_b"), F.col("grp").alias("comp_b"))
     nodes = grouped.select("cls", F.col("cls").alias("comp"))
-    nodes = _joined(nodes, _verified(_stars(lists, percent, 0).union(inside), sets, percent))
+    nodes = _joined(nodes, _verified(_hubs(lists, percent).union(inside), sets, percent))
+    rest = _open(postings.join(nodes, "cls"))
     for turn in range(1, turns + 1):
-        nodes = _joined(nodes, _verified(_stars(postings.join(nodes, "cls"), percent, turn), sets, percent))
-    labelled = postings.join(nodes, "cls")
-    opened = labelled.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("open")).where("open")
-    rest = labelled.join(opened.select("token"), "token")
+        nodes = _joined(nodes, _verified(_drawn(rest, percent, turn), sets, percent))
+        rest = _open(rest.drop("comp").join(nodes, "cls"))
     pairs = _candidates(rest, rest, percent, "comp_a < comp_b").select("cls_a", "comp_a", "cls_b", "comp_b").distinct()
     nodes = _joined(nodes, _verified(pairs, sets, percent))
     nodes = rows.select("doc_id", "n", "cls").join(nodes, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
