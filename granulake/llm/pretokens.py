@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from granulake.llm.words import text_offsets
+from granulake.llm.words import hash_spans, text_offsets
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 
@@ -103,3 +103,53 @@ def _contract(point: np.ndarray, kind: np.ndarray, opens: np.ndarray, starts: np
         rest = rest[rest < size]
         rest = rest[~opens[rest] & (kind[rest] == _LETTER)]
         starts[rest] = True
+
+
+class PieceStore:
+    """Ids of the pieces seen so far, by 64-bit hash; at most `most` pieces are remembered.
+
+    `encode_words` gives the ids of each of a list of different pieces.
+    """
+
+    def __init__(self, encode_words, table: np.ndarray | None = None, most: int = 1_000_000):
+        self.encode_words, self.table, self.most = encode_words, table, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.starts = self.sizes = np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Ids of new pieces; the keys are ascending."""
+        ids, sizes = self.encode_words(words)
+        starts = (self.used + np.cumsum(sizes) - sizes).astype(np.int32)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.starts, self.sizes = np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text begins."""
+        data, begins, ends, first = find_pieces(column, self.table)
+        hashes = hash_spans(data, begins, ends)
+        different, at, place = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys) + len(different) > self.most:
+            self.forget()
+        where = np.searchsorted(self.keys, different)
+        known = np.zeros(len(different), bool)
+        inside = where < len(self.keys)
+        known[inside] = self.keys[where[inside]] == different[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = data.tobytes()
+            self.learn(different[new], [raw[a:b].decode() for a, b in zip(begins[at[new]], ends[at[new]])])
+            where = np.searchsorted(self.keys, different)
+        sizes = self.sizes[where].astype(np.int64)[place]
+        last = np.cumsum(sizes)
+        total = int(last[-1]) if len(last) else 0
+        ids = self.flat[np.repeat(self.starts[where][place] - (last - sizes), sizes) + np.arange(total)]
+        return ids, np.concatenate([[0], last])[first]

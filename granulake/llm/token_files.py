@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granulake.llm.pretokens import find_pieces, library_classes
-from granulake.llm.words import hash_spans, pieces
+from granulake.llm.pretokens import PieceStore, library_classes
+from granulake.llm.words import pieces, text_offsets
 from granulake.session import shuffle_partitions
 
 LIMIT = 18
 STRIDE = 1024
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 BLOCK_BYTES = 1 << 20
 BLOCK = "shard int, block bigint, before bigint, doc_ids array<bigint>, n_tokens array<bigint>, bytes array<bigint>, payload binary, checkpoints array<bigint>"
 
@@ -74,56 +74,21 @@ class Ids:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_str(tokenizer.text)
-        self.classes = np.frombuffer(tokenizer.classes, np.uint8)
         self.added = [t.encode() for t in tokenizer.added]
-        self.forget()
+        self.store = PieceStore(self.words, np.frombuffer(tokenizer.classes, np.uint8), REMEMBERED)
 
-    def forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.starts = self.sizes = np.zeros(0, np.int32)
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-
-    def learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pieces one after another, and how many each has."""
         got = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int32, len(got))
-        ids = np.fromiter((i for e in got for i in e), np.int32, int(sizes.sum()))
-        starts = (self.used + np.cumsum(sizes) - sizes).astype(np.int32)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.starts, self.sizes = np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
-
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and where each text begins."""
-        data, begins, ends, first = find_pieces(column, self.classes)
-        hashes = hash_spans(data, begins, ends)
-        different, at, place = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(different) > REMEMBERED:
-            self.forget()
-        where = np.searchsorted(self.keys, different)
-        known = np.zeros(len(different), bool)
-        inside = where < len(self.keys)
-        known[inside] = self.keys[where[inside]] == different[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
-            raw = data.tobytes()
-            self.learn(different[new], [raw[a:b].decode() for a, b in zip(begins[at[new]], ends[at[new]])])
-            where = np.searchsorted(self.keys, different)
-        where = where[place]
-        sizes = self.sizes[where].astype(np.int64)
-        last = np.cumsum(sizes)
-        total = int(last[-1]) if len(last) else 0
-        ids = self.flat[np.repeat(self.starts[where] - (last - sizes), sizes) + np.arange(total)]
-        return ids, np.concatenate([[0], last])[first]
+        return np.fromiter((i for e in got for i in e), np.int32, int(sizes.sum())), sizes
 
     def documents(self, column: pa.Array, end: int) -> list[np.ndarray]:
         """Ids of every text with the end id."""
-        ids, first = self.encode(column)
+        ids, first = self.store.encode(column)
         out = [np.append(ids[a:b], end) for a, b in zip(first, first[1:])]
-        if any(data.find(t) >= 0 for t in self.added for data in (bytes(column.buffers()[2] or b""),)):
+        raw = text_offsets(column)[0].tobytes()
+        if any(t in raw for t in self.added):
             for i, text in enumerate(column.to_pylist()):
                 if text and any(t.decode() in text for t in self.added):
                     out[i] = np.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64), end)
