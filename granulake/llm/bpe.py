@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by DuckDB queries inside each partition.
 
-A text is cut by the tokenizer's pattern. The different pieces of a block become rows (word, position, token), one
+A text is cut by the usual pattern of byte-level tokenizers (`pretokens`). The different pieces of a block become rows (word, position, token), one
 per byte; a recursive query joins every token and its right neighbour to the merge table and contracts each
 word's leftmost pair of smallest rank, until no pair of the word is in the table. Decoding joins ids to the vocabulary and
 aggregates the pieces of each text in order.
@@ -9,7 +9,7 @@ Pieces of more than `LONG` bytes go through a second query that contracts every
 at once where that provably gives the same tokens (no merge of the new token ranks before it), in rounds of
 bounded size, so that a text without blanks neither fills the memory nor takes a step per byte.
 
-A worker keeps the tokens of at most `REMEMBERED` pieces; the rest is bounded by the block (1 MB of text, or one
+A worker keeps the tokens of at most `REMEMBERED` pieces; the rest is bounded by the block (4 MB of text, or one
 longer text). The vocabulary travels as a broadcast; its size is that of the tokenizer file, which is checked.
 
 Defined results: a NULL or empty text has no ids and decodes to no bytes; equal texts get equal ids; NULL ids decode to
@@ -30,26 +30,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from granulake.llm.pretokens import PieceStore
 from granulake.llm.words import pieces
 
 LONG = 64
-REMEMBERED = 300_000
-CHUNK_BYTES = 250_000
+REMEMBERED = 2_000_000
+BLOCK_BYTES = 4 << 20
+CHUNK_BYTES = 500_000
 LARGEST_VOCABULARY = 1_000_000
 
-#: Per word the step of its last contraction holds its tokens.
+#: A row knows the position and token of its right neighbour; a word's last step holds its tokens.
 SHORT_WORDS = """
-with recursive state(w, pos, tok, nxt, step) as (
-  select w, pos, tok, lead(tok) over (partition by w order by pos), 0 from seed
+with recursive state(w, pos, npos, tok, nxt, step) as (
+  select w, pos, lead(pos) over (partition by w order by pos), tok, lead(tok) over (partition by w order by pos), 0 from seed
   union all
   select * from (
     with pair as (select state.*, r from state left join merges on a = tok and b = nxt),
-    best as (select w, min((r::bigint << 32) | pos) as k from pair where r is not null group by w),
-    seen as (
-      select pair.w, pos, tok, step, k >> 32 as br, k & 4294967295 as bp, lag(pos) over (partition by pair.w order by pos) as prev
-      from pair join best on pair.w = best.w),
-    new as (select w, pos, (case when pos = bp then br else tok end)::integer as tok, step from seen where prev is distinct from bp)
-    select w, pos, tok, lead(tok) over (partition by w order by pos), step + 1 from new))
+    best as (
+      select w, min((r::bigint << 32) | pos) as k, arg_min(npos, (r::bigint << 32) | pos) as g
+      from pair where r is not null group by w),
+    gone as (
+      select best.w, k >> 32 as br, k & 4294967295 as bp, g, npos as gn, nxt as gx from best join pair on pair.w = best.w and pos = g)
+    select pair.w, pos, case when pos = bp then gn else npos end, (case when pos = bp then br else tok end)::integer,
+      (case when pos = bp then gx when npos = bp then br else nxt end)::integer, step + 1
+    from pair join gone on pair.w = gone.w where pos <> g))
 select w, list(tok order by pos) as ids
 from state join (select w, max(step) as step from state group by w) using (w, step) group by w order by w"""
 
@@ -78,20 +82,19 @@ from rows join vocabulary using (id) group by text"""
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Tokens with their ranks, and the pattern that cuts texts."""
+    """Tokens with their ranks."""
 
     tokens: tuple[bytes, ...]
     ranks: tuple[int, ...]
-    pattern: str
 
 
-def read_vocabulary(path: str, pattern: str) -> Vocabulary:
+def read_vocabulary(path: str) -> Vocabulary:
     """A file of base64 tokens and ranks."""
     with open(path, "rb") as lines:
         pairs = [line.split() for line in lines if line.strip()]
     if len(pairs) > LARGEST_VOCABULARY:
         raise ValueError(f"{len(pairs)} tokens are more than {LARGEST_VOCABULARY}")
-    return Vocabulary(tuple(base64.b64decode(t) for t, _ in pairs), tuple(int(r) for _, r in pairs), pattern)
+    return Vocabulary(tuple(base64.b64decode(t) for t, _ in pairs), tuple(int(r) for _, r in pairs))
 
 
 class Coder:
@@ -99,9 +102,7 @@ class Coder:
 
     def __init__(self, vocabulary: Vocabulary):
         import duckdb
-        import regex
 
-        self.cut = regex.compile(vocabulary.pattern).findall
         self.rank = dict(zip(vocabulary.tokens, vocabulary.ranks))
         self.bytes = np.array([self.rank[bytes([i])] for i in range(256)], np.int32)
         self.known = np.zeros(max(vocabulary.ranks) + 1, bool)
@@ -124,7 +125,7 @@ class Coder:
             {"id": pa.array(vocabulary.ranks, pa.int32()), "piece": [t.hex() for t in vocabulary.tokens]}
         )
         self.query("create table vocabulary as select * from given", given=table)
-        self.forget()
+        self.store = PieceStore(self.words, most=REMEMBERED)
 
     def query(self, sql: str, **tables: pa.Table) -> pa.Table | None:
         for name, table in tables.items():
@@ -135,12 +136,8 @@ class Coder:
             self.db.unregister(name)
         return got
 
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        """Tokens of new words into the store."""
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pieces one after another, and how many each has."""
         found: list = [None] * len(words)
         short, long = [], []
         for i, word in enumerate(words):
@@ -162,9 +159,8 @@ class Coder:
             at = upto
         for i, raw in long:
             found[i] = self._long(raw)
-        self.place.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words))))
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, found), np.int64, len(found))])
-        self.flat = np.concatenate([self.flat, np.array([x for ids in found for x in ids], np.int32)])
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        return np.fromiter((x for ids in found for x in ids), np.int32, int(sizes.sum())), sizes
 
     def _seed(self, words: list[bytes]) -> pa.Table:
         sizes = np.array([len(w) for w in words])
@@ -182,22 +178,9 @@ class Coder:
                 return got["tok"].to_numpy()
             state = got.select(["w", "pos", "tok"])
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text begins."""
-        words = [self.cut(t) if t else [] for t in texts]
-        new = set().union(*words).difference(self.place)
-        if len(self.place) + len(new) > REMEMBERED:
-            self.forget()
-            new = set().union(*words)
-        if new:
-            self.learn(sorted(new))
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter((self.place[w] for some in words for w in some), np.int64, int(counts.sum()))
-        starts = np.cumsum(self.sizes) - self.sizes
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        where = np.repeat(starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        return self.flat[where], np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return self.store.encode(texts)
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
         """Bytes of each text."""
@@ -220,8 +203,8 @@ def coder(vocabulary: Vocabulary) -> Coder:
 
 def _encode(batches, vocabulary) -> Iterator[pa.RecordBatch]:
     work = coder(vocabulary.value)
-    for batch in pieces(batches, "text", 1 << 20):
-        ids, first = work.encode(batch.column("text").to_pylist())
+    for batch in pieces(batches, "text", BLOCK_BYTES):
+        ids, first = work.encode(batch.column("text"))
         lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
         yield pa.RecordBatch.from_arrays([batch.column("kept"), lists], names=["kept", "ids"])
 

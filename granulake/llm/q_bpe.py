@@ -9,7 +9,7 @@ from granulake.llm.registry import query, table
 
 
 def vocabulary() -> bpe.Vocabulary:
-    return bpe.read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 @query("op1_byte_bpe")
