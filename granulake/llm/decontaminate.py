@@ -159,8 +159,8 @@ def find_matches(
     shard_bytes: int = 4 << 20,
     block_words: int = 2_000_000,
 ) -> DataFrame:
-    """The columns `keep` of each document with `n_words` and `spans`, its longest verbatim matches of at
-    least a window: first word, number of words, item, first word in the item."""
+    """`kept` (a struct of the columns `keep`), `n_words` and `spans` of each document, its longest verbatim matches of
+    at least a window: first word, number of words, item, first word in the item."""
     spark = docs.sparkSession
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text}`").alias("text"))
     out = out.withColumn("spans", F.expr(f"cast(array() as {SPANS})"))
@@ -182,7 +182,7 @@ def find_matches(
         texts.append(row[1])
         size += weight
     out = look(out)
-    return out.select("kept.*", "n_words", "spans")
+    return out.select("kept", "n_words", "spans")
 
 
 def words_hit(spans: str | Column) -> Column:
@@ -201,14 +201,14 @@ def words_hit(spans: str | Column) -> Column:
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents without a whole test window, in their own columns."""
     found = find_matches(docs, items, keep=tuple(docs.columns), **options)
-    return found.where(F.size("spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.where(F.size("spans") == 0).select("kept.*")
 
 
 def digest(found: DataFrame) -> DataFrame:
     """Per document: hit words, items found and their digest."""
     items = F.array_sort(F.array_distinct(F.col("spans.item")))
     return found.select(
-        "doc_id",
+        "kept.doc_id",
         "n_words",
         words_hit("spans").alias("n_hit"),
         F.size(items).cast("bigint").alias("n_items"),

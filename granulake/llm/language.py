@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from granulake.llm.words import pieces, text_offsets
 
 WINDOW = 96
-LANES = 4096
+LANES = 2048
 UNKNOWN = "und"
 
 
@@ -167,7 +167,7 @@ def new_network(languages: list[str], hidden: int, rng) -> Network:
 def fit(docs: DataFrame, where: Column | None = None, *, rows: int = 300, longest: int = 20_000, windows: int = 12, hidden: int = 8, steps: int = 160, batch: int = 384) -> Network | None:
     """Network from the rows with a language, among those `where` (a condition on doc_id)."""
     known = docs.where("lang is not null and text is not null").where(F.length("text") <= longest)
-    known = known if where is None else known.where(where)
+    known = (known if where is None else known.where(where)).select("doc_id", "lang", "text")
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return None
