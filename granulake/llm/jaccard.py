@@ -107,9 +107,9 @@ def _blocks(batches, n: int, bits: int) -> Iterator[pa.RecordBatch]:
             chosen[first] = True
             chosen &= sizes > 0
             cls = [x.tobytes() for x in signs[:, :2]]
-            # named by its content and its place among the documents, so a repeated task names it alike
-            block = mix(np.array([a.sum() + np.uint64(len(a)), b.sum() ^ np.uint64(abs(ids[0].as_py() or 0))]))
-            block = block.tobytes()
+            # named by its documents in their order: a repeated task names it alike, and a repeated block is the same
+            place = np.arange(len(a), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            block = mix(np.array([(a * place).sum(), (b * place).sum() ^ np.uint64(len(a))])).tobytes()
             entries = entries[chosen[(entries & _DOC_MASK).astype(np.int64)]]
             part = (entries >> np.uint64(64 - bits)).astype(np.int64)
             edges = np.searchsorted(part, np.arange((1 << bits) + 1))
@@ -171,7 +171,8 @@ def _prefixes(rows: pa.Table, percent: int) -> pa.Table:
     if docs.num_rows and sent.num_rows:
         entries = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in sent["entries"]])
         counts = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in sent["counts"]])
-        owner = (entries & _DOC_MASK).astype(np.int64)
+        entries, once = np.unique(entries, return_index=True)
+        owner, counts = (entries & _DOC_MASK).astype(np.int64), counts[once]
         hashes = (entries >> _DOC_BITS).astype(np.int64)
         order = np.lexsort((hashes, counts, owner))
         owner, hashes = owner[order], hashes[order]
@@ -202,7 +203,10 @@ def _need(a: str, b: str, percent: int) -> str:
 
 def _candidates(left: DataFrame, right: DataFrame, percent: int, extra: str) -> DataFrame:
     """Pairs that share a prefix shingle and may reach the threshold, judged by sizes and positions."""
-    a, b = (d.select("token", *[F.col(c).alias(f"{c}_{s}") for c in d.columns if c != "token"]) for d, s in ((left, "a"), (right, "b")))
+    a, b = (
+        d.select("token", *[F.col(c).alias(f"{c}_{s}") for c in d.columns if c != "token"])
+        for d, s in ((left, "a"), (right, "b"))
+    )
     sized = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     placed = f"1 + least(n_a - at_a, n_b - at_b) >= {_need('n_a', 'n_b', percent)}"
     return a.join(b, "token").where(f"{sized} and {placed} and {extra}")
@@ -210,7 +214,7 @@ def _candidates(left: DataFrame, right: DataFrame, percent: int, extra: str) ->
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The different (comp_a, comp_b) with a pair (cls_a, cls_b) that links, judged on the whole sets."""
-    a, b = (sets.select(F.col("cls").alias(f"cls_{s}"), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
+    a, b = (sets.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "tokens")]) for s in "ab")
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return (
         pairs.join(a, "cls_a").join(b, "cls_b")
@@ -225,7 +229,8 @@ def components(links: DataFrame, a: str = "comp_a", b: str = "comp_b") -> DataFr
     Each round a node takes the smallest label around it and then its label's own label, so long chains
     shrink by jumps. Labels go to the shared folder each round.
     """
-    edges = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct(), "edges")
+    ways = [links.select(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in ((a, b), (b, a))]
+    edges = cut(ways[0].union(ways[1]).distinct(), "edges")
     labels = cut(edges.groupBy(F.col("x").alias("node")).agg(F.min(F.least("x", "y")).alias("label")), "labels")
     while True:
         near = edges.join(labels, edges["y"] == labels["node"]).groupBy("x").agg(F.min("label").alias("near"))
@@ -253,24 +258,28 @@ def _open(lists: DataFrame) -> DataFrame:
 
 def _hubs(lists: DataFrame, percent: int) -> DataFrame:
     """Each set with the one hub, of all lists of its prefix, that it shares most prefix shingles with."""
-    hub = lists.groupBy("token").agg(F.min_by(F.struct("cls", "n", "at", "comp"), F.struct(F.xxhash64("cls"), "cls")).alias("hub"), F.count("*").alias("members"))
+    first = F.min_by(F.struct("cls", "n", "at", "comp"), F.struct(F.xxhash64("cls"), "cls"))
+    hub = lists.groupBy("token").agg(first.alias("hub"), F.count("*").alias("members"))
     hub = hub.where("members > 1").select("token", "hub.*")
     pairs = _candidates(lists, hub, percent, "comp_a <> comp_b").groupBy("cls_a", "comp_a", "cls_b", "comp_b").count()
-    best = pairs.groupBy("cls_a", "comp_a").agg(F.max_by(F.struct("cls_b", "comp_b"), F.struct("count", "cls_b")).alias("hub"))
-    return best.select("cls_a", "comp_a", "hub.*")
+    most = F.max_by(F.struct("cls_b", "comp_b"), F.struct("count", "cls_b"))
+    return pairs.groupBy("cls_a", "comp_a").agg(most.alias("hub")).select("cls_a", "comp_a", "hub.*")
 
 
 def _drawn(lists: DataFrame, percent: int, turn: int) -> DataFrame:
     """Each set with the members of its lists that `4 * turn` draws a list take, so that a set meets several members of
     a large component without meeting all."""
     member = F.struct("cls", "n", "at", "comp")
-    draws = [F.min_by(member, F.struct(F.xxhash64("cls", "token", F.lit(turn), F.lit(i)), "cls")) for i in range(4 * turn)]
-    hubs = lists.groupBy("token").agg(F.array_distinct(F.array(*draws)).alias("hubs")).select("token", F.explode("hubs").alias("hub"))
-    pairs = _candidates(lists, hubs.select("token", "hub.*"), percent, "comp_a <> comp_b")
+    by = [F.struct(F.xxhash64("cls", "token", F.lit(turn), F.lit(i)), "cls") for i in range(4 * turn)]
+    drawn = lists.groupBy("token").agg(F.array_distinct(F.array(*[F.min_by(member, b) for b in by])).alias("hubs"))
+    hubs = drawn.select("token", F.explode("hubs").alias("hub")).select("token", "hub.*")
+    pairs = _candidates(lists, hubs, percent, "comp_a <> comp_b")
     return pairs.select("cls_a", "comp_a", "cls_b", "comp_b").distinct()
 
 
-def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, turns: int = 4) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, turns: int = 4
+) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
     spark = docs.sparkSession
     bits = max(8, (shuffle_partitions(spark) - 1).bit_length())
@@ -280,7 +289,8 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     rows = back.where("entries is null").select("doc_id", "n", "cls", "block", "local")
     # one place of each set, whichever block holds it
     chosen = rows.where("local is not null").groupBy("cls").agg(F.min(F.struct("block", "local", "n")).alias("at"))
-    asked = chosen.select("at.block", "at.local", "at.n", "cls", F.lit(None).cast("binary").alias("entries"), F.lit(None).cast("binary").alias("counts"))
+    nothing = [F.lit(None).cast("binary").alias(c) for c in ("entries", "counts")]
+    asked = chosen.select("at.block", "at.local", "at.n", "cls", *nothing)
     given = back.where("entries is not null").select("block", "local", "n", "cls", "entries", "counts")
     schema = "cls binary, n bigint, alone bigint, head int, tokens array<bigint>"
     sets = cut(asked.union(given).groupBy("block").applyInArrow(lambda r: _prefixes(r, percent), schema), "sets")
@@ -290,26 +300,29 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     named = F.sha2(F.concat_ws(":", "n", F.array_join(prefix, ",")), 256)
     same = F.when(F.col("alone") == 0, named).otherwise(F.hex("cls"))
     members = sets.select("cls", "n", same.alias("same"))
-    grouped = cut(members.join(members.groupBy("same").agg(F.min("cls").alias("grp")), "same").select("cls", "grp"), "groups")
-    postings = sets.select("cls", "n", F.posexplode(prefix).alias("i", "token"), "alone").select("cls", "n", "token", (F.col("alone") + F.col("i") + 1).alias("at"))
+    least = members.groupBy("same").agg(F.min("cls").alias("grp"))
+    grouped = cut(members.join(least, "same").select("cls", "grp"), "groups")
+    postings = sets.select("cls", "n", "alone", F.posexplode(prefix).alias("i", "token"))
+    postings = postings.select("cls", "n", "token", (F.col("alone") + F.col("i") + 1).alias("at"))
     heads = grouped.where("cls = grp").select("cls")
     lists = postings.join(heads, "cls", "left_semi").withColumn("comp", F.col("cls"))
 
     # hubs first; then, member by member, more and more hubs of the lists still open; then every pair left
-    inside = grouped.where("cls <> grp").select(F.col("cls").alias("cls_a"), F.col("cls").alias("comp_a"), F.col("grp").alias("cls_b"), F.col("grp").alias("comp_b"))
+    names = {"cls_a": "cls", "comp_a": "cls", "cls_b": "grp", "comp_b": "grp"}
+    inside = grouped.where("cls <> grp").select(*[F.col(c).alias(name) for name, c in names.items()])
     nodes = grouped.select("cls", F.col("cls").alias("comp"))
     nodes = _joined(nodes, _verified(_hubs(lists, percent).union(inside), sets, percent))
     rest = _open(postings.join(nodes, "cls"))
     for turn in range(1, turns + 1):
         nodes = _joined(nodes, _verified(_drawn(rest, percent, turn), sets, percent))
         rest = _open(rest.drop("comp").join(nodes, "cls"))
-    pairs = _candidates(rest, rest, percent, "comp_a < comp_b").select("cls_a", "comp_a", "cls_b", "comp_b").distinct()
+    pairs = _candidates(rest, rest, percent, "comp_a < comp_b").select(*names).distinct()
     nodes = _joined(nodes, _verified(pairs, sets, percent))
     nodes = rows.select("doc_id", "n", "cls").join(nodes, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = nodes.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    full = nodes.where("n > 0").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
-    empty = nodes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.union(empty)
+    full = nodes.where("n > 0").join(least, "comp").select("doc_id", "n", "least")
+    empty = nodes.where("n = 0").select("doc_id", "n", "doc_id")
+    return full.union(empty).toDF("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -320,6 +333,7 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     found = jaccard_components(docs, doc_id=doc_id, text=text, **options)
     chosen = found.where("doc_id = component_id").select("doc_id").distinct()
     key = F.col(f"`{doc_id}`").cast("bigint")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("digest"))
+    row, digest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(F.col(f"`{text}`"))
+    rows = docs.select(row.alias("row"), key.alias("doc_id"), digest.alias("digest"))
     named = rows.where("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id", "digest"])
     return named.select("row.*").union(rows.where("doc_id is null").select("row.*"))

@@ -53,3 +53,11 @@ def test_odd_rows(odd, none, spark):
     # 5 copies 4, 8 and 9 copy 7, 15 is twice; rows without an id stay
     assert ids == sorted([1, 2, 3, 4, 6, 7, 10, 11, 12, 13, 14, 15, 16, 17, None, None], key=str)
     assert jaccard.keep_one(none).count() == 0
+
+
+def test_a_table_that_is_there_twice(spark, texts):
+    rows = [(r[0], r[1]) for r in plain.odd_rows() if r[0] is not None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    expected = sorted(((i, *c) for (i, _), c in zip(rows, plain.components(rows))), key=str)
+    got = rows_of(jaccard.jaccard_components(docs.union(docs)))
+    assert got == sorted(expected * 2, key=str)
