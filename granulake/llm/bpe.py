@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding by DuckDB queries inside each partition.
 
-A text is cut by the usual pattern of byte-level tokenizers (`pretokens`). The different pieces of a block become rows (word, position, token), one
-per byte; a recursive query joins every token and its right neighbour to the merge table and contracts each
-word's leftmost pair of smallest rank, until no pair of the word is in the table. Decoding joins ids to the vocabulary and
-aggregates the pieces of each text in order.
+A text is cut by the usual pattern of byte-level tokenizers (`pretokens`). The different pieces of a block become
+rows (word, position, token), one per byte; a recursive query joins every token and its right neighbour to the merge
+table and contracts each word's leftmost pair of smallest rank, until no pair of the word is in the table. Decoding
+joins ids to the vocabulary and aggregates the pieces of each text in order.
 
 Pieces of more than `LONG` bytes go through a second query that contracts every occurrence of the smallest pair
 at once where that provably gives the same tokens (no merge of the new token ranks before it), in rounds of
@@ -42,7 +42,8 @@ LARGEST_VOCABULARY = 1_000_000
 #: A row knows the position and token of its right neighbour; a word's last step holds its tokens.
 SHORT_WORDS = """
 with recursive state(w, pos, npos, tok, nxt, step) as (
-  select w, pos, lead(pos) over (partition by w order by pos), tok, lead(tok) over (partition by w order by pos), 0 from seed
+  select w, pos, lead(pos) over (partition by w order by pos), tok, lead(tok) over (partition by w order by pos), 0
+  from seed
   union all
   select * from (
     with pair as (select state.*, r from state left join merges on a = tok and b = nxt),
@@ -50,7 +51,8 @@ with recursive state(w, pos, npos, tok, nxt, step) as (
       select w, min((r::bigint << 32) | pos) as k, arg_min(npos, (r::bigint << 32) | pos) as g
       from pair where r is not null group by w),
     gone as (
-      select best.w, k >> 32 as br, k & 4294967295 as bp, g, npos as gn, nxt as gx from best join pair on pair.w = best.w and pos = g)
+      select best.w, k >> 32 as br, k & 4294967295 as bp, g, npos as gn, nxt as gx
+      from best join pair on pair.w = best.w and pos = g)
     select pair.w, pos, case when pos = bp then gn else npos end, (case when pos = bp then br else tok end)::integer,
       (case when pos = bp then gx when npos = bp then br else nxt end)::integer, step + 1
     from pair join gone on pair.w = gone.w where pos <> g))
@@ -63,17 +65,22 @@ with recursive state(w, pos, tok, live, step) as (
   union all
   select * from (
     with pair as (
-      select w, pos, tok, step, lead(tok) over (partition by w order by pos) as nxt, row_number() over (partition by w order by pos) as i
+      select w, pos, tok, step, lead(tok) over (partition by w order by pos) as nxt,
+        row_number() over (partition by w order by pos) as i
       from state where live and step < $steps),
-    ranked as (select pair.*, r, eager, min(r) over (partition by w) as br from pair left join merges on a = tok and b = nxt),
+    ranked as (
+      select pair.*, r, eager, min(r) over (partition by w) as br from pair left join merges on a = tok and b = nxt),
     best as (
-      select *, coalesce(r = br, false) as hit, row_number() over (partition by w, coalesce(r = br, false) order by i) as j,
+      select *, coalesce(r = br, false) as hit,
+        row_number() over (partition by w, coalesce(r = br, false) order by i) as j,
         min(case when r = br then i end) over (partition by w) as leftmost from ranked),
     run as (select *, row_number() over (partition by w, hit, i - j order by i) as place from best),
     chosen as (select *, hit and case when eager then place % 2 = 1 else i = leftmost end as take from run),
     new as (select *, lag(take) over (partition by w order by i) as gone from chosen)
-    select w, pos, (case when take then r else tok end)::integer, br is not null, step + 1 from new where gone is distinct from true))
-select w, pos, tok, live from state join (select w, max(step) as step from state group by w) using (w, step) order by w, pos"""
+    select w, pos, (case when take then r else tok end)::integer, br is not null, step + 1
+    from new where gone is distinct from true))
+select w, pos, tok, live
+from state join (select w, max(step) as step from state group by w) using (w, step) order by w, pos"""
 
 DECODE = """
 select text, unhex(string_agg(piece, '' order by pos)) as bytes
@@ -220,12 +227,14 @@ def _decode(batches, vocabulary) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, upto - at)
             flat = part.column("ids").flatten().to_numpy(zero_copy_only=False)
             out = work.decode(flat, ends[at : at + part.num_rows + 1] - ends[at])
-            columns = [part.column(c) for c in part.schema.names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
+            columns = [*(part.column(c) for c in part.schema.names), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "decoded"])
             at += part.num_rows
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(
+    docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
     """`kept` (a struct of the columns `keep`) and `ids` of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text}`").alias("text"))

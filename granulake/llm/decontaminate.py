@@ -110,7 +110,8 @@ class Shard:
         order = np.lexsort((where, where - at, item))
         item, at, size, where = item[order], at[order], size[order], where[order]
         same = np.zeros(len(where), bool)
-        same[1:] = (item[1:] == item[:-1]) & (where[1:] - at[1:] == where[:-1] - at[:-1]) & (where[1:] == where[:-1] + 1)
+        aligned = where[1:] - at[1:] == where[:-1] - at[:-1]
+        same[1:] = (item[1:] == item[:-1]) & aligned & (where[1:] == where[:-1] + 1)
         begin = np.flatnonzero(~same)
         end = np.append(begin[1:], len(where))[: len(begin)] - 1
         return where[begin], where[end] - where[begin] + size[end], item[begin], at[begin]

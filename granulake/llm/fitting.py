@@ -13,7 +13,9 @@ def fold(doc_id: str | Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: tuple[int, int], where: Column | None = None) -> DataFrame:
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, rows: tuple[int, int], where: Column | None = None
+) -> DataFrame:
     """doc_id, text and label of at most `rows` labelled documents of label 0 and of label 1.
 
     The ids with the smallest hash are taken, so the choice is stable. Only the chosen ids are broadcast:

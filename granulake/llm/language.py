@@ -50,7 +50,9 @@ class Layer:
     def names(self):
         return ("gates", "fresh", "state_gates", "state_fresh")
 
-    def run(self, windows: np.ndarray, inside: np.ndarray, order, keep: list | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    def run(
+        self, windows: np.ndarray, inside: np.ndarray, order, keep: list | None = None
+    ) -> Iterator[tuple[int, np.ndarray]]:
         """State after each byte, in the order given; bytes outside a text leave an empty state."""
         h = self.state_fresh.shape[0]
         state = np.zeros((windows.shape[1], h), np.float32)
@@ -159,12 +161,24 @@ def new_network(languages: list[str], hidden: int, rng) -> Network:
     def some(*shape):
         return (rng.standard_normal(shape) * 0.3).astype(np.float32)
 
-    layers = tuple(Layer(some(256, 2 * hidden), some(256, hidden), some(hidden, 2 * hidden), some(hidden, hidden)) for _ in "ab")
+    layers = tuple(
+        Layer(some(256, 2 * hidden), some(256, hidden), some(hidden, 2 * hidden), some(hidden, hidden)) for _ in "ab"
+    )
     heads = tuple(some(hidden, len(languages)) for _ in "ab")
     return Network(languages, layers, heads, np.zeros(len(languages), np.float32))
 
 
-def fit(docs: DataFrame, where: Column | None = None, *, rows: int = 300, longest: int = 20_000, windows: int = 12, hidden: int = 8, steps: int = 160, batch: int = 384) -> Network | None:
+def fit(
+    docs: DataFrame,
+    where: Column | None = None,
+    *,
+    rows: int = 300,
+    longest: int = 20_000,
+    windows: int = 12,
+    hidden: int = 8,
+    steps: int = 160,
+    batch: int = 384,
+) -> Network | None:
     """Network from the rows with a language, among those `where` (a condition on doc_id)."""
     known = docs.where("lang is not null and text is not null").where(F.length("text") <= longest)
     known = (known if where is None else known.where(where)).select("doc_id", "lang", "text")
@@ -172,9 +186,11 @@ def fit(docs: DataFrame, where: Column | None = None, *, rows: int = 300, longes
     if not counts:
         return None
     # one row a language: the share of its documents to take
-    shares = docs.sparkSession.createDataFrame([(k, min(1.0, rows / n)) for k, n in sorted(counts.items())], "lang string, share double")
+    shares = [(k, min(1.0, rows / n)) for k, n in sorted(counts.items())]
+    shares = docs.sparkSession.createDataFrame(shares, "lang string, share double")
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000
-    got = known.join(F.broadcast(shares), "lang").where(chance).select("doc_id", "lang", "text").orderBy("doc_id", "lang", "text").toArrow()
+    chosen = known.join(F.broadcast(shares), "lang").where(chance).select("doc_id", "lang", "text")
+    got = chosen.orderBy("doc_id", "lang", "text").toArrow()
     rng = np.random.default_rng(20)
     languages = sorted(counts)
     data, offsets = text_offsets(got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string()))
@@ -204,10 +220,13 @@ def _predict(batches, network: Network | None) -> Iterator[pa.RecordBatch]:
             best = p.argmax(axis=1)
             score = np.where(found, np.minimum(p[np.arange(len(p)), best], 1.0), 0.0)
             names = [network.languages[k] if f else UNKNOWN for k, f in zip(best, found)]
-        yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(names), pa.array(score)], names=["kept", "lang_pred", "score"])
+        columns = [batch.column("kept"), pa.array(names), pa.array(score)]
+        yield pa.RecordBatch.from_arrays(columns, names=["kept", "lang_pred", "score"])
 
 
-def predict(docs: DataFrame, network: Network | None, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(
+    docs: DataFrame, network: Network | None, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
     """`kept` (a struct of the columns `keep`), `lang_pred` and `score` of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text}`").alias("text"))

@@ -1,8 +1,8 @@
 """Licence scan: a trained paragraph classifier whose predictions a template has to confirm.
 
 A paragraph is a line with a word. A multinomial logistic regression over its word 1- to 3-grams, fitted with a
-lasso penalty on the statements of `TEMPLATES` and on lines of the corpus that hold no template as the unknown class, names a licence family
-or `unknown`; temperature and unknown offset are calibrated on a held-out part. A prediction counts
+lasso penalty on the statements of `TEMPLATES` and on lines of the corpus that hold no template as the unknown class,
+names a licence family or `unknown`; temperature and unknown offset are calibrated on a held-out part. A prediction counts
 only if the paragraph holds at least `SHARE` of the word pairs of one statement of that family.
 
 The lines of the corpus come from at most `rows` documents chosen by the hash of their id. Words of a template that these
@@ -138,7 +138,8 @@ def learn(lines: list[str], *, copies: int = 12, penalty: float = 2e-4, rare: fl
         around = list(rng.choice(pool, 8))
         rows.append(around[:4] + list(rng.choice(marks or ["text"], 2)) + around[4:])
         y.append(len(families))
-    vocabulary = {g: i for i, g in enumerate(sorted({g for f in families for s in TEMPLATES[f] for g in grams_of(words_of(s))}))}
+    every = {g for f in families for s in TEMPLATES[f] for g in grams_of(words_of(s))}
+    vocabulary = {g: i for i, g in enumerate(sorted(every))}
     x = np.zeros((len(rows), len(vocabulary)))
     for i, words in enumerate(rows):
         for gram in grams_of(words):
@@ -183,9 +184,9 @@ def _words(line: Column) -> Column:
 
 def _joined(words: Column, n: int) -> Column:
     last = F.size(words) - n
-    return F.when(last < 0, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-    )
+    places = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+    grams = F.transform(places, lambda i: F.array_join(F.slice(words, i + 1, n), " "))
+    return F.when(last < 0, F.array().cast("array<string>")).otherwise(grams)
 
 
 def _judge(words: Column, scanner: Scanner) -> Column:
@@ -209,12 +210,15 @@ def _judge(words: Column, scanner: Scanner) -> Column:
 
 
 def scan(docs: DataFrame, scanner: Scanner, keep: list[Column], text: str = "text") -> DataFrame:
-    """The columns `keep` with `n_paragraphs`, and `found`: (line number, family) of every paragraph with a marking word."""
+    """The columns `keep` with `n_paragraphs`, and `found`: line number and family of every paragraph with a marking
+    word."""
     lines = F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)
     numbered = F.transform(lines, lambda x, i: F.struct(i.alias("line"), _words(x).alias("words")))
-    rows = docs.select(F.struct(*keep).alias("kept"), F.filter(numbered, lambda p: F.size(p["words"]) > 0).alias("paragraphs"))
+    paragraphs = F.filter(numbered, lambda p: F.size(p["words"]) > 0)
+    rows = docs.select(F.struct(*keep).alias("kept"), paragraphs.alias("paragraphs"))
     marks = F.array(*[F.lit(m) for m in scanner.marks]).cast("array<string>")
     marked = F.filter("paragraphs", lambda p: F.arrays_overlap(p["words"], marks))
     rows = rows.select("kept", F.size("paragraphs").cast("bigint").alias("n_paragraphs"), marked.alias("marked"))
-    found = F.transform("marked", lambda p: F.struct(p["line"].alias("line"), _judge(p["words"], scanner).alias("family")))
+    judged = lambda p: F.struct(p["line"].alias("line"), _judge(p["words"], scanner).alias("family"))
+    found = F.transform("marked", judged)
     return rows.select("kept.*", "n_paragraphs", found.alias("found"))

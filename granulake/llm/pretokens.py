@@ -56,7 +56,9 @@ def classes() -> np.ndarray:
     return out
 
 
-def find_pieces(column: pa.Array, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def find_pieces(
+    column: pa.Array, table: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, start and end of every piece in them, and the first piece of each text.
 
     `table` holds the class of each code point.

@@ -44,11 +44,14 @@ class Condition:
         return table[self.name] > self.bound if self.above else table[self.name] <= self.bound
 
 
-def sample_statistics(docs: DataFrame, labels: DataFrame, rows: tuple[int, int], where: Column | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def sample_statistics(
+    docs: DataFrame, labels: DataFrame, rows: tuple[int, int], where: Column | None = None
+) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Shares and labels of the sampled texts, ordered by id and shares."""
     chosen = labelled_sample(docs, labels, "quality", rows, where)
     stats = with_shares(with_statistics(chosen, [F.col("doc_id"), F.col("label")]))
-    got = stats.select("doc_id", "label", F.expr(BASE_FAILED).alias("failed"), "x.*").orderBy("doc_id", *SHARES).collect()
+    got = stats.select("doc_id", "label", F.expr(BASE_FAILED).alias("failed"), "x.*")
+    got = got.orderBy("doc_id", *SHARES).collect()
     table = {n: np.array([r[n] for r in got], float) for n in SHARES}
     table["failed"] = np.array([r["failed"] for r in got], bool)
     return table, np.array([r["label"] for r in got], int)
@@ -77,7 +80,8 @@ def _grow(table, bad, rows, most, cuts) -> list[Condition]:
         scored = []
         for c in _candidates(table, rows, cuts):
             hit = c.holds(table)[rows]
-            scored.append((_gain((hit & bad[rows]).sum(), (hit & ~bad[rows]).sum(), p0, n0), c.name, c.above, c.bound, c))
+            gain = _gain((hit & bad[rows]).sum(), (hit & ~bad[rows]).sum(), p0, n0)
+            scored.append((gain, c.name, c.above, c.bound, c))
         best = max(scored, key=lambda s: s[:4])
         if best[0] <= 0:
             break
@@ -91,7 +95,16 @@ def _counts(rule, table, bad, rows) -> tuple[int, int]:
     return int((hit & bad[rows]).sum()), int((hit & ~bad[rows]).sum())
 
 
-def learn(table: dict[str, np.ndarray], label: np.ndarray, *, precision: float = 0.9, least: int = 3, most: int = 4, rules: int = 12, cuts: int = 40) -> list[list[Condition]]:
+def learn(
+    table: dict[str, np.ndarray],
+    label: np.ndarray,
+    *,
+    precision: float = 0.9,
+    least: int = 3,
+    most: int = 4,
+    rules: int = 12,
+    cuts: int = 40,
+) -> list[list[Condition]]:
     """Rules that reject, in the order in which they were learned."""
     bad = label == 0
     rows = np.flatnonzero(~table["failed"])
@@ -112,7 +125,9 @@ def learn(table: dict[str, np.ndarray], label: np.ndarray, *, precision: float =
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows: tuple[int, int] = (2000, 6000), where: Column | None = None) -> list[list[Condition]]:
+def fit(
+    docs: DataFrame, labels: DataFrame, *, rows: tuple[int, int] = (2000, 6000), where: Column | None = None
+) -> list[list[Condition]]:
     """Decision list from at most `rows` texts labelled 0 and 1."""
     return learn(*sample_statistics(docs, labels, rows, where))
 

@@ -58,7 +58,9 @@ def _split(table, rows, pull, curve, cuts):
     return best
 
 
-def grow_trees(table, y, *, trees: int = 30, depth: int = 3, rate: float = 0.3, least: int = 10, cuts: int = 48) -> list[tuple[Condition, ...]]:
+def grow_trees(
+    table, y, *, trees: int = 30, depth: int = 3, rate: float = 0.3, least: int = 10, cuts: int = 48
+) -> list[tuple[Condition, ...]]:
     """Paths of boosted trees as rules, without repeats, in the order found."""
     margin = np.zeros(len(y))
     rules: dict[tuple[Condition, ...], None] = {}
@@ -120,7 +122,9 @@ def fit_table(table, y: np.ndarray, share: float) -> Ensemble:
     return Ensemble([rules[i] for i in some], [float(w[i]) for i in some], float(w[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, *, rows: tuple[int, int] = (3000, 6000)) -> Ensemble:
+def fit(
+    docs: DataFrame, labels: DataFrame, where: Column | None = None, *, rows: tuple[int, int] = (3000, 6000)
+) -> Ensemble:
     """Ensemble from at most `rows` texts labelled 0 and 1, among the labels `where`."""
     known = labels if where is None else labels.where(where)
     share = known.where(F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]

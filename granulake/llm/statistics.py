@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANK = " \t\n\x0b\x0c\r"
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_upper", "n_marks", "n_bars", "n_digits", "n_lines", "n_distinct")
+COUNTS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_upper", "n_marks", "n_bars",
+    "n_digits", "n_lines", "n_distinct",
+)
 #: What the learned rules look at: shares, so that they hold for any length of text.
 SHARES = {
     "n_words": "n_words",
@@ -38,10 +41,14 @@ def with_statistics(docs: DataFrame, keep: list[Column], text: str = "text") ->
     """The columns `keep` (named apart from the statistics) and every statistic, as bigint."""
     df = docs.select(F.struct(*keep).alias("kept"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     body = F.btrim("t", F.lit(BLANK))
-    df = df.select("kept", "t", F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, r"[\x20\x09-\x0D]+")).alias("words"), F.expr(r"filter(split(t, '\n', -1), l -> btrim(l, ' \t\n\u000b\u000c\r') <> '')").alias("lines"))
+    split = F.split(body, r"[\x20\x09-\x0D]+")
+    words = F.when(body == "", F.array().cast("array<string>")).otherwise(split)
+    lines = F.filter(F.split("t", "\n", -1), lambda line: F.btrim(line, F.lit(BLANK)) != "")
+    df = df.select("kept", "t", words.alias("words"), lines.alias("lines"))
     hashes = "transform(words, w -> xxhash64(w))"
     df = df.select("kept", "t", "words", "lines", F.expr(hashes).alias("h"))
-    windows = "if(size(h) < 3, cast(array() as array<bigint>), transform(sequence(0, size(h) - 3), i -> xxhash64(h[i], h[i + 1], h[i + 2])))"
+    windows = """if(size(h) < 3, cast(array() as array<bigint>),
+      transform(sequence(0, size(h) - 3), i -> xxhash64(h[i], h[i + 1], h[i + 2])))"""
     df = df.select(
         "kept",
         F.size("words").cast("bigint").alias("n_words"),
@@ -62,8 +69,11 @@ def with_statistics(docs: DataFrame, keep: list[Column], text: str = "text") ->
     short = "sort_array(transform(windows, (h, i) -> shiftleft(shiftright(h, bits), bits) | cast(i as bigint)))"
     once = "size(windows) = size(array_distinct(windows))"
     some = some.withColumn("many", F.expr(f"not ({once})"))
-    some = some.withColumn("near", F.expr(f"if(many and size(windows) <= 65536, {short}, cast(array() as array<bigint>))"))
-    some = some.withColumn("far", F.expr("if(many and size(windows) > 65536, array_sort(transform(windows, (h, i) -> struct(h as h, i as i))), cast(array() as array<struct<h:bigint,i:int>>))"))
+    long = "array_sort(transform(windows, (h, i) -> struct(h as h, i as i)))"
+    none = "cast(array() as array<{}>)"
+    near = f"if(many and size(windows) <= 65536, {short}, {none.format('bigint')})"
+    far = f"if(many and size(windows) > 65536, {long}, {none.format('struct<h:bigint,i:int>')})"
+    some = some.withColumn("near", F.expr(near)).withColumn("far", F.expr(far))
     near = "shiftright(near[i], bits) = shiftright(near[i {0} 1], bits)"
     both = "filter(sequence(0, size({0}) - 1), i -> (i > 0 and {1}) or (i < size({0}) - 1 and {2}))"
     low = both.format("near", near.format("-"), near.format("+"))

@@ -40,7 +40,10 @@ LIMIT = 18
 STRIDE = 1024
 REMEMBERED = 2_000_000
 BLOCK_BYTES = 1 << 20
-BLOCK = "shard int, block bigint, before bigint, doc_ids array<bigint>, n_tokens array<bigint>, bytes array<bigint>, payload binary, checkpoints array<bigint>"
+BLOCK = (
+    "shard int, block bigint, before bigint, doc_ids array<bigint>, n_tokens array<bigint>, bytes array<bigint>, "
+    "payload binary, checkpoints array<bigint>"
+)
 
 
 # ---- ids ---------------------------------------------------------------------------------------
@@ -107,12 +110,14 @@ def _tokenize(batches, shared) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text", 1 << 20):
         docs = ids.documents(batch.column("text"), tokenizer.end)
         packed = [_pack_ids(d) for d in docs]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "ids"])
+        columns = [batch.column("doc_id"), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids"])
 
 
 def _pack_ids(ids: np.ndarray) -> bytes:
     """Two bytes an id where they fit, else four; the first byte tells."""
-    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 65536 else b"\x04" + ids.astype("<u4").tobytes()
+    size = 2 if not len(ids) or ids.max() < 65536 else 4
+    return bytes([size]) + ids.astype(f"<u{size}").tobytes()
 
 
 def _unpack_ids(data: bytes) -> np.ndarray:
@@ -217,7 +222,7 @@ def unpack_bits(payload: bytes, starts: np.ndarray, sizes: np.ndarray, table: np
 # ---- files -------------------------------------------------------------------------------------
 
 
-def _count(batches, _) -> Iterator[pa.RecordBatch]:
+def _count(batches) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
         for value in batch.column("ids"):
@@ -242,7 +247,8 @@ def _encode(batches, shared) -> Iterator[pa.RecordBatch]:
             marks.append(at[::STRIDE])
             sizes.append(len(ids))
         columns = [pa.array(sizes, pa.int64()), pa.array(payload, pa.binary()), pa.array(marks, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), *columns], names=["doc_id", "shard", "n", "bits", "marks"])
+        columns = [batch.column("doc_id"), batch.column("shard"), *columns]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shard", "n", "bits", "marks"])
 
 
 def _assemble(batches) -> Iterator[pa.RecordBatch]:
@@ -255,7 +261,8 @@ def _assemble(batches) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(r[2]) for r in rows])
         base = (np.cumsum(sizes) - sizes) * 8
         marks = np.concatenate([np.array(r[3], np.int64) + b for r, b in zip(rows, base)])
-        columns = [[shard], [number], [before], [[r[0] for r in rows]], [[r[1] for r in rows]], [sizes.tolist()], [b"".join(r[2] for r in rows)], [marks.tolist()]]
+        ids, counts, payload = [r[0] for r in rows], [r[1] for r in rows], b"".join(r[2] for r in rows)
+        columns = [[x] for x in (shard, number, before, ids, counts, sizes.tolist(), payload, marks.tolist())]
         kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.list_(pa.int64())]
         names = ["shard", "block", "before", "doc_ids", "n_tokens", "bytes", "payload", "checkpoints"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
@@ -288,8 +295,9 @@ def _decode(batches, shared) -> Iterator[pa.RecordBatch]:
             before = row["before"].as_py()
             raw = ids.astype("<u4")
             each = [raw[a:b].tobytes() for a, b in zip(ends - counts, ends)]
+            doc_ids = pa.array(row["doc_ids"].as_py(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row["doc_ids"].as_py(), pa.int64()), pa.array(before + ends - counts), pa.array(counts), pa.array(each, pa.binary())],
+                [doc_ids, pa.array(before + ends - counts), pa.array(counts), pa.array(each, pa.binary())],
                 names=["doc_id", "start", "n_tokens", "ids"],
             )
 
@@ -304,11 +312,12 @@ def tokenize(docs: DataFrame, tokenizer: Tokenizer, *, doc_id: str = "doc_id", t
 def write(tokens: DataFrame, path: str) -> None:
     """Files of the documents' ids in ascending doc_id order; `tokens` is read several times."""
     spark = tokens.sparkSession
-    counted = tokens.select("ids").mapInArrow(lambda b: _count(b, None), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    got = counted.orderBy("id").toArrow()
+    counted = tokens.select("ids").mapInArrow(_count, "id bigint, n bigint")
+    got = counted.groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toArrow()
     ids = got["id"].to_numpy()
     code = Code(ids, code_lengths(got["n"].to_numpy(), LIMIT))
-    book = spark.createDataFrame(pa.table({"id": pa.array(code.ids, pa.int64()), "bits": pa.array(code.bits, pa.int32())}))
+    book = pa.table({"id": pa.array(code.ids, pa.int64()), "bits": pa.array(code.bits, pa.int32())})
+    book = spark.createDataFrame(book)
     book.coalesce(1).write.parquet(f"{path}/codebook")
     shards = shuffle_partitions(spark)
     bounds = tokens.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 10_000)).first()[0]
@@ -319,7 +328,8 @@ def write(tokens: DataFrame, path: str) -> None:
     coded = tokens.withColumn("shard", shard).mapInArrow(
         lambda b: _encode(b, shared), "doc_id bigint, shard int, n bigint, bits binary, marks array<bigint>"
     )
-    ordered = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "bits")
+    sharded = coded.repartitionById(len(bounds) + 1, F.col("shard"))
+    ordered = sharded.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "bits")
     ordered.mapInArrow(_assemble, BLOCK).write.parquet(f"{path}/blocks")
 
 
@@ -330,7 +340,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(code)
     blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
     # ids of all shards before: one row a shard
-    sizes = blocks.groupBy("shard").agg(F.max(F.col("before") + F.aggregate("n_tokens", F.lit(0).cast("bigint"), lambda a, b: a + b)))
+    own = F.aggregate("n_tokens", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    sizes = blocks.groupBy("shard").agg(F.max(F.col("before") + own))
     start, starts = 0, []
     for shard, n in sorted((r[0], r[1]) for r in sizes.collect()):
         starts.append((shard, start))
