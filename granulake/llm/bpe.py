@@ -9,7 +9,7 @@ Pieces of more than `LONG` bytes go through a second query that contracts every
 at once where that provably gives the same tokens (no merge of the new token ranks before it), in rounds of
 bounded size, so that a text without blanks neither fills the memory nor takes a step per byte.
 
-A worker keeps the tokens of at most `REMEMBERED` pieces; the rest is bounded by the block (4 MB of text, or one
+A worker keeps the tokens of at most `REMEMBERED` pieces; the rest is bounded by the block (2 MB of text, or one
 longer text). The vocabulary travels as a broadcast; its size is that of the tokenizer file, which is checked.
 
 Defined results: a NULL or empty text has no ids and decodes to no bytes; equal texts get equal ids; NULL ids decode to
@@ -34,9 +34,9 @@ from granulake.llm.pretokens import PieceStore
 from granulake.llm.words import pieces
 
 LONG = 64
-REMEMBERED = 2_000_000
-BLOCK_BYTES = 4 << 20
-CHUNK_BYTES = 500_000
+REMEMBERED = 1_500_000
+BLOCK_BYTES = 2 << 20
+CHUNK_BYTES = 300_000
 LARGEST_VOCABULARY = 1_000_000
 
 #: A row knows the position and token of its right neighbour; a word's last step holds its tokens.
@@ -114,7 +114,7 @@ class Coder:
         self.bytes = np.array([self.rank[bytes([i])] for i in range(256)], np.int32)
         self.known = np.zeros(max(vocabulary.ranks) + 1, bool)
         self.known[list(vocabulary.ranks)] = True
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self.db.execute("set preserve_insertion_order = false")
         parts = [
             (a, b, r)

@@ -163,7 +163,7 @@ def _shared(rows: pa.Table, bits: int) -> pa.Table:
 
 
 def _prefixes(rows: pa.Table, percent: int) -> pa.Table:
-    """Per set of a block that may have a partner: its shared shingles in order, and how many of them are in its prefix."""
+    """Per set of a block that may have a partner: its shared shingles in order, and how many are in its prefix."""
     rows = rows.combine_chunks()
     docs = rows.filter(pc.is_null(rows["entries"]))
     sent = rows.filter(pc.is_valid(rows["entries"]))
