@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from contextlib import closing
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -105,36 +106,48 @@ def read_vocabulary(path: str) -> Vocabulary:
 
 
 class Coder:
-    """A DuckDB connection with the merge table and the vocabulary, and the pieces seen so far."""
+    """The merge table, the vocabulary and the pieces seen so far, and a DuckDB connection while a task runs."""
 
     def __init__(self, vocabulary: Vocabulary):
-        import duckdb
-
         self.rank = dict(zip(vocabulary.tokens, vocabulary.ranks))
         self.bytes = np.array([self.rank[bytes([i])] for i in range(256)], np.int32)
         self.known = np.zeros(max(vocabulary.ranks) + 1, bool)
         self.known[list(vocabulary.ranks)] = True
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
-        self.db.execute("set preserve_insertion_order = false")
         parts = [
             (a, b, r)
             for token, r in self.rank.items()
             for i in range(1, len(token))
             if (a := self.rank.get(token[:i])) is not None and (b := self.rank.get(token[i:])) is not None
         ]
-        a, b, r = (pa.array(x, pa.int32()) for x in (zip(*parts) if parts else ((), (), ())))
-        self.query("create table plain as select * from given", given=pa.table({"a": a, "b": b, "r": r}))
-        self.db.execute(
-            "create table merges as select *, not exists (select 1 from plain n where n.a = m.r and n.r < m.r)"
-            " and not exists (select 1 from plain n where n.b = m.r and n.r < m.r) as eager from plain m"
-        )
-        table = pa.table(
+        a, b, r = (np.array(x, np.int32) for x in (zip(*parts) if parts else ((), (), ())))
+        # the earliest merge that a token takes part in; a token all of whose merges rank after it is eager
+        least = np.full(len(self.known), np.iinfo(np.int32).max)
+        for side in (a, b):
+            np.minimum.at(least, side, r)
+        self.merges = pa.table({"a": a, "b": b, "r": r, "eager": least[r] > r})
+        self.vocabulary = pa.table(
             {"id": pa.array(vocabulary.ranks, pa.int32()), "piece": [t.hex() for t in vocabulary.tokens]}
         )
-        self.query("create table vocabulary as select * from given", given=table)
+        self.db = None
         self.store = PieceStore(self.words, most=REMEMBERED)
 
+    def open(self) -> None:
+        import duckdb
+
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db.execute("set preserve_insertion_order = false")
+        self.query("create table merges as select * from given", given=self.merges)
+        self.query("create table vocabulary as select * from given", given=self.vocabulary)
+
+    def close(self) -> None:
+        """Gives back the database's memory; what was learned stays."""
+        if self.db is not None:
+            self.db.close()
+            self.db = None
+
     def query(self, sql: str, **tables: pa.Table) -> pa.Table | None:
+        if self.db is None:
+            self.open()
         for name, table in tables.items():
             self.db.register(name, table)
         got = self.db.sql(sql)
@@ -209,27 +222,27 @@ def coder(vocabulary: Vocabulary) -> Coder:
 
 
 def _encode(batches, vocabulary) -> Iterator[pa.RecordBatch]:
-    work = coder(vocabulary.value)
-    for batch in pieces(batches, "text", BLOCK_BYTES):
-        ids, first = work.encode(batch.column("text"))
-        lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column("kept"), lists], names=["kept", "ids"])
+    with closing(coder(vocabulary.value)) as work:
+        for batch in pieces(batches, "text", BLOCK_BYTES):
+            ids, first = work.encode(batch.column("text"))
+            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), lists], names=["kept", "ids"])
 
 
 def _decode(batches, vocabulary) -> Iterator[pa.RecordBatch]:
-    work = coder(vocabulary.value)
-    for batch in batches:
-        ids = batch.column("ids")
-        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
-        at = 0
-        while at < batch.num_rows:  # some 300,000 ids at a time
-            upto = max(at + 1, int(np.searchsorted(ends, ends[at] + 300_000, "right")) - 1)
-            part = batch.slice(at, upto - at)
-            flat = part.column("ids").flatten().to_numpy(zero_copy_only=False)
-            out = work.decode(flat, ends[at : at + part.num_rows + 1] - ends[at])
-            columns = [*(part.column(c) for c in part.schema.names), pa.array(out, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "decoded"])
-            at += part.num_rows
+    with closing(coder(vocabulary.value)) as work:
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy()
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            at = 0
+            while at < batch.num_rows:  # some 300,000 ids at a time
+                upto = max(at + 1, int(np.searchsorted(ends, ends[at] + 300_000, "right")) - 1)
+                part = batch.slice(at, upto - at)
+                flat = part.column("ids").flatten().to_numpy(zero_copy_only=False)
+                out = work.decode(flat, ends[at : at + part.num_rows + 1] - ends[at])
+                columns = [*(part.column(c) for c in part.schema.names), pa.array(out, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "decoded"])
+                at += part.num_rows
 
 
 def encode(
