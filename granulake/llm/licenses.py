@@ -1,12 +1,15 @@
 """Licence scan: a trained paragraph classifier whose predictions a template has to confirm.
 
-A paragraph is a line with a word. A multinomial logistic regression over its word 1- to 3-grams, fitted with a
-lasso penalty on the statements of `TEMPLATES` and on lines of the corpus that hold no template as the unknown class,
-names a licence family or `unknown`; temperature and unknown offset are calibrated on a held-out part. A prediction counts
-only if the paragraph holds at least `SHARE` of the word pairs of one statement of that family.
+A paragraph is a line with a word, alone and together with the lines after it up to a blank one (`_wide`), as far as the
+longest statement reaches, so that hard-wrapped statements are whole. A multinomial logistic regression over
+word 1- to 3-grams, fitted with a lasso penalty on the statements of `TEMPLATES` and on lines of the corpus that
+hold no template as the unknown class, names a licence family or `unknown`; temperature and unknown offset are calibrated on
+a held-out part. A prediction counts only if the paragraph holds at least `SHARE` of the word pairs of one statement
+of that family.
 
-The lines of the corpus come from at most `rows` documents chosen by the hash of their id. Words of a template that these
-lines (almost) never hold mark a paragraph as worth scoring; one without any such word is unknown.
+The lines of the corpus come from at most `rows` documents chosen by the hash of their id. Only paragraphs with a marking
+word are scored. Every statement has so many marking words that a paragraph without any of them cannot hold
+`SHARE` of its pairs; the corpus lines only say which of its words are the rarest.
 
 Scanning is made of column expressions only, one row in and one row out.
 
@@ -74,6 +77,23 @@ def holds(words: list[str], statement: str) -> bool:
     return len(own & pairs_of(words)) >= SHARE * len(own)
 
 
+def marks_of(statement: str, held: dict[str, int]) -> set[str]:
+    """Words of a statement, those that `held` counts least first, without which too few of its word pairs are left for
+    `SHARE`."""
+    pairs = pairs_of(words_of(statement))
+    left, out = pairs, set()
+    for w in sorted(set(words_of(statement)), key=lambda w: (held.get(w, 0), w.isdigit(), -len(w), w)):
+        if len(left) < SHARE * len(pairs):
+            break
+        out.add(w)
+        left = {p for p in left if w not in p.split()}
+    return out
+
+
+#: Words of the longest statement.
+LONGEST = max(len(words_of(s)) for f in TEMPLATES for s in TEMPLATES[f])
+
+
 @dataclass
 class Scanner:
     """Families, weights of each n-gram (one for each family and unknown last), offsets, and marking words."""
@@ -112,7 +132,7 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int, penalty
     return w, start
 
 
-def learn(lines: list[str], *, copies: int = 12, penalty: float = 2e-4, rare: float = 0.001) -> Scanner:
+def learn(lines: list[str], *, copies: int = 12, penalty: float = 2e-4) -> Scanner:
     """Scanner from the templates and from lines of the corpus."""
     rng = np.random.default_rng(7)
     families = sorted(TEMPLATES)
@@ -122,7 +142,7 @@ def learn(lines: list[str], *, copies: int = 12, penalty: float = 2e-4, rare: fl
     for words in corpus:
         for w in set(words) & held.keys():
             held[w] += 1
-    marks = sorted(w for w, n in held.items() if n <= rare * len(corpus) and not w.isdigit() and len(w) > 1)
+    marks = sorted({w for f in families for s in TEMPLATES[f] for w in marks_of(s, held)})
     rows, y = [], []
     for k, family in enumerate(families):
         for statement in TEMPLATES[family]:
@@ -209,16 +229,51 @@ def _judge(words: Column, scanner: Scanner) -> Column:
     return F.when(confirmed, family).otherwise(F.lit(UNKNOWN))
 
 
+def _wide(lines: Column, place: Column) -> Column:
+    """The line's place, the last line before one without a word (`LONGEST` lines further at most), and the words of the line
+    with the `LONGEST` words after it in these."""
+    after = F.slice(lines, place + 2, LONGEST)
+    blank = F.array_position(F.transform(after, lambda w: F.size(w)), 0).cast("int")
+    upto = F.when(blank > 0, blank - 1).otherwise(F.size(after))
+    words = F.concat(lines[place], F.slice(F.flatten(F.slice(after, F.lit(1), upto)), 1, LONGEST))
+    return F.struct(place.alias("line"), (place + upto).alias("upto"), F.lit(True).alias("wide"), words.alias("words"))
+
+
 def scan(docs: DataFrame, scanner: Scanner, keep: list[Column], text: str = "text") -> DataFrame:
-    """The columns `keep` with `n_paragraphs`, and `found`: line number and family of every paragraph with a marking
-    word."""
+    """The columns `keep` with `n_paragraphs`, and `found`: line number and family of every line with a marking
+    word, and first line and family of every statement that only several lines hold; statements of one family that follow each
+    other without a blank line between them may be one."""
     lines = F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("line"), _words(x).alias("words")))
-    paragraphs = F.filter(numbered, lambda p: F.size(p["words"]) > 0)
-    rows = docs.select(F.struct(*keep).alias("kept"), paragraphs.alias("paragraphs"))
+    rows = docs.select(F.struct(*keep).alias("kept"), F.transform(lines, _words).alias("lines"))
     marks = F.array(*[F.lit(m) for m in scanner.marks]).cast("array<string>")
-    marked = F.filter("paragraphs", lambda p: F.arrays_overlap(p["words"], marks))
-    rows = rows.select("kept", F.size("paragraphs").cast("bigint").alias("n_paragraphs"), marked.alias("marked"))
-    judged = lambda p: F.struct(p["line"].alias("line"), _judge(p["words"], scanner).alias("family"))
-    found = F.transform("marked", judged)
+    filled = F.size(F.filter("lines", lambda w: F.size(w) > 0)).cast("bigint")
+    # a wide paragraph has to reach a marked line, which is at most LONGEST lines below
+    marked = F.filter(F.transform("lines", lambda w, i: F.when(F.arrays_overlap(w, marks), i)), lambda i: i.isNotNull())
+    rows = rows.select("kept", "lines", filled.alias("n_paragraphs"), marked.alias("marked"))
+    near = F.flatten(F.transform("marked", lambda i: F.sequence(F.greatest(i - LONGEST, F.lit(0)), i)))
+    alone = F.transform("marked", lambda i: F.struct(i.alias("line"), i.alias("upto"), F.lit(False).alias("wide"), F.col("lines")[i].alias("words")))
+    starts = F.filter(F.array_distinct(near), lambda i: F.size(F.col("lines")[i]) > 0)
+    wide = F.transform(starts, lambda i: _wide(F.col("lines"), i))
+    wide = F.filter(wide, lambda p: (F.size(p["words"]) > F.size(F.col("lines")[p["line"]])) & F.arrays_overlap(p["words"], marks))
+    rows = rows.select("kept", "n_paragraphs", F.concat(alone, wide).alias("paragraphs"))
+    judged = lambda p: F.struct(
+        p["line"].alias("line"), _judge(p["words"], scanner).alias("family"), p["upto"].alias("upto"), p["wide"].alias("wide")
+    )
+    rows = rows.select("kept", "n_paragraphs", F.transform("paragraphs", judged).alias("judged"))
+    rows = rows.select(
+        "kept",
+        "n_paragraphs",
+        F.filter("judged", lambda p: ~p["wide"]).alias("alone"),
+        F.filter("judged", lambda p: p["wide"] & (p["family"] != UNKNOWN)).alias("wide"),
+    )
+
+    def new(p: Column) -> Column:
+        """Neither a line that the paragraph reaches nor the paragraph before it names the family."""
+        same = lambda q: q["family"] == p["family"]
+        below = F.exists("alone", lambda q: same(q) & q["line"].between(p["line"], p["upto"]))
+        return ~below & ~F.exists("wide", lambda q: same(q) & (q["line"] == p["line"] - 1))
+
+    rows = rows.select("kept", "n_paragraphs", "alone", F.filter("wide", new).alias("wide"))
+    found = F.array_sort(F.concat("alone", "wide"))
+    found = F.transform(found, lambda p: F.struct(p["line"].alias("line"), p["family"].alias("family")))
     return rows.select("kept.*", "n_paragraphs", found.alias("found"))

@@ -51,3 +51,29 @@ def test_odd_rows(spark, odd, none, scanner):
 def test_scan_has_no_python(spark, docs, scanner):
     plan = licenses.scan(docs, scanner, [F.col("doc_id")])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_wrapped_statements_are_whole(spark, scanner):
+    import textwrap
+
+    pairs = [(s, f) for f in licenses.TEMPLATES for s in licenses.TEMPLATES[f] if len(s) > 100]
+    texts = [f"{plain.prose(i, 9)}\n\n" + "\n".join(f" * {x}" for x in textwrap.wrap(s, 40)) + "\n\nend" for i, (s, _) in enumerate(pairs)]
+    got, _ = found(spark, scanner, texts)
+    assert len(pairs) >= 4 and got == [[(2, f)] for _, f in pairs]
+
+
+def test_marking_words_lose_no_statement():
+    # the words of the statements are frequent in the corpus
+    often = [s for f in licenses.TEMPLATES for s in licenses.TEMPLATES[f]]
+    often = [" ".join(reversed(licenses.words_of(s))) for s in often] * 20
+    marks = set(licenses.learn(often).marks)
+    for f in licenses.TEMPLATES:
+        for s in licenses.TEMPLATES[f]:
+            pairs = licenses.pairs_of(licenses.words_of(s))
+            assert len([p for p in pairs if not marks & set(p.split())]) < licenses.SHARE * len(pairs)
+
+
+def test_a_line_below_a_blank_one_hides_no_wrapped_statement(spark, scanner):
+    grant = licenses.TEMPLATES["MIT"][1].replace(" a copy ", "\na copy ")
+    text = f"{grant}\n\n{licenses.TEMPLATES['MIT'][0]}"
+    assert found(spark, scanner, [text])[0] == [[(0, "MIT"), (3, "MIT")]]
