@@ -6,8 +6,6 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
-SF_DIR = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -20,4 +18,4 @@ def spark():
 def duck():
     import oracle
 
-    return oracle.connect(SF_DIR)
+    return oracle.connect(oracle.SF_DIR)

@@ -7,7 +7,7 @@ import os
 
 import oracle
 import pytest
-from conftest import SF_DIR
+from oracle import SF_DIR
 
 import __spark_entry__ as entry
 
