@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from granulake.llm.words import MASK_ALNUM, find_words, pieces, text_offsets
+from granulake.llm.words import MASK_ALNUM, find_words, kept_and_text, pieces, text_offsets
 from granulake.session import cut
 
 SPANS = "array<struct<start:bigint,words:bigint,item:string,item_start:bigint>>"
@@ -117,10 +117,10 @@ class Shard:
         return where[begin], where[end] - where[begin] + size[end], item[begin], at[begin]
 
 
-def _search(batches, tests: Tests, shard_bytes: int) -> Iterator[pa.RecordBatch]:
+def _search(batches, tests: Tests, shard_bytes: int, text) -> Iterator[pa.RecordBatch]:
     names = np.array(tests.names, dtype=object)
-    for batch in pieces(batches, "text", shard_bytes):
-        words = find_words(*text_offsets(batch.column("text")), MASK_ALNUM)
+    for batch in pieces(batches, text, shard_bytes):
+        words = find_words(*text_offsets(text(batch)), MASK_ALNUM)
         docs = batch.num_rows
         counts = np.diff(words.first)
         # one foreign word after each text keeps matches inside texts
@@ -163,14 +163,14 @@ def find_matches(
     """`kept` (a struct of the columns `keep`), `n_words` and `spans` of each document, its longest verbatim matches of
     at least a window: first word, number of words, item, first word in the item."""
     spark = docs.sparkSession
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text}`").alias("text"))
+    out, column = kept_and_text(docs, keep, text)
     out = out.withColumn("spans", F.expr(f"cast(array() as {SPANS})"))
     names, texts, size, blocks = [], [], 0, 0
 
     def look(frame: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(Tests(names, texts, window))
         schema = StructType([*frame.drop("n_words").schema, *StructType.fromDDL(f"n_words bigint, found {SPANS}")])
-        got = frame.drop("n_words").mapInArrow(lambda b: _search(b, shared.value, shard_bytes), schema)
+        got = frame.drop("n_words").mapInArrow(lambda b: _search(b, shared.value, shard_bytes, column), schema)
         return got.withColumn("spans", F.concat("spans", "found")).drop("found")
 
     # the items come one partition at a time; a block goes out before the next is gathered

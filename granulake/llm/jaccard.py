@@ -96,7 +96,7 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _blocks(batches, n: int, bits: int) -> Iterator[pa.RecordBatch]:
-    for big in pieces(batches, "text", 4 << 20):
+    for big in pieces(batches, "text", 2 << 20):
         for begin in range(0, big.num_rows, 4096):
             batch = big.slice(begin, 4096)
             entries, sizes, a, b = shingle_sets(batch.column("text"), n)

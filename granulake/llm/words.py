@@ -11,6 +11,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MASK_SPACE = np.ones(256, bool)
 MASK_SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -31,12 +34,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces(batches, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most `max_bytes` of text each; a longer text is alone in its slice."""
+def kept_and_text(docs: DataFrame, keep: tuple[str, ...], text: str):
+    """The columns `keep` as the struct `kept`, with `text` beside it only if it is not kept anyway; and a function
+    that finds the text in a batch of these rows."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text}`").alias("text"))
+    if text not in keep:
+        return rows, lambda batch: batch.column("text")
+    at = keep.index(text)
+    return rows.select("kept"), lambda batch: pc.struct_field(batch.column("kept"), [at])
+
+
+def pieces(batches, column, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most `max_bytes` of text each; a longer text is alone in its slice.
+
+    `column` is the text's name, or a function of the batch.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = text_offsets(batch.column(column))[1]
+        ends = text_offsets(column(batch) if callable(column) else batch.column(column))[1]
         at = 0
         while at < batch.num_rows:
             upto = int(np.searchsorted(ends, ends[at] + max_bytes, "right")) - 1

@@ -3,9 +3,9 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parent))
+sys.path.append(str(Path(__file__).parent))
 
-SF = "/root/testdata/sf0.001"
+from plain import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -49,7 +49,7 @@ def test_unknown_ids_are_an_error(coder):
 
 
 def test_every_document_of_the_table(spark, texts, library):
-    from conftest import SF
+    from plain import SF
 
     got = {r.doc_id: tuple(r)[1:] for r in op1(spark, SF).collect()}
     assert got == {i: expected(library, t) for i, t in texts}

@@ -18,7 +18,7 @@ def expected(rows, items):
 
 
 def test_every_document_of_the_table(spark, texts):
-    from conftest import SF
+    from plain import SF
 
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     got = sorted(map(tuple, op6(spark, SF).collect()), key=str)

@@ -18,7 +18,7 @@ def check(spark, rows, **options):
 
 
 def test_every_document_of_the_table(spark, texts):
-    from conftest import SF
+    from plain import SF
 
     expected = [(i, *c) for (i, _), c in zip(texts, plain.components(texts))]
     assert rows_of(op4(spark, SF)) == sorted(expected, key=str)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 import plain
-from conftest import SF
+from plain import SF
 from granulake.llm import quality_rules, toxicity
 from granulake.llm.fitting import fold
 

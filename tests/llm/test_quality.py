@@ -16,7 +16,7 @@ def counted(df):
 
 
 def test_statistics_of_every_document(spark, texts):
-    from conftest import SF
+    from plain import SF
 
     got = op7(spark, SF)
     assert counted(got) == sorted(((i, *plain.statistics(t)) for i, t in texts), key=str)

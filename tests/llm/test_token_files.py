@@ -85,7 +85,7 @@ def test_ids_are_those_of_the_library(tokenizer, library):
 
 
 def test_every_document_of_the_table(spark, texts, library):
-    from conftest import SF
+    from plain import SF
 
     assert sorted(map(tuple, op5(spark, SF).collect())) == expected(library, texts)
 
