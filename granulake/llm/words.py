@@ -83,8 +83,8 @@ class Words:
     hashes: np.ndarray
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
-    """Maximal runs of the bytes in class `inside` (after lower-casing), never across texts."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, and where each maximal run of bytes in class `inside` begins and ends, never across texts."""
     low = LOWER[data]
     within = inside[low]
     starts, ends = within.copy(), within.copy()
@@ -94,7 +94,12 @@ def find_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Wor
         cuts = offsets[(offsets > 0) & (offsets < len(low))]
         starts[cuts] = within[cuts]
         ends[cuts - 1] = within[cuts - 1]
-    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    return low, np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def find_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
+    """The words of the class, each with its hash."""
+    low, starts, ends = word_spans(data, offsets, inside)
     return Words(low, starts, ends, np.searchsorted(starts, offsets), hash_spans(low, starts, ends))
 
 
