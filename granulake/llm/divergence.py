@@ -34,7 +34,7 @@ SLICE_BYTES = 8 << 20
 SMALL = 1 << 14
 BLOCK = 64
 CHUNK_TERMS = 256
-TERMS_A_SHARD = 1 << 16
+TERMS_A_SHARD = 1 << 12
 #: Letters of ASCII (after lower-casing) and everything beyond ASCII.
 MASK_TERM = np.ones(256, bool)
 MASK_TERM[[*range(0x00, 0x61), *range(0x7B, 0x80)]] = False
