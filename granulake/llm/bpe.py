@@ -22,7 +22,6 @@ import base64
 from collections.abc import Iterator
 from contextlib import closing
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,7 @@ from pyspark.sql.types import StructType
 
 from granulake.llm.pretokens import PieceStore
 from granulake.llm.words import pieces
+from granulake.llm.workers import hold
 
 LONG = 64
 REMEMBERED = 1_500_000
@@ -215,10 +215,9 @@ class Coder:
         return out
 
 
-@lru_cache(maxsize=1)
 def coder(vocabulary: Vocabulary) -> Coder:
     """One coder a worker process."""
-    return Coder(vocabulary)
+    return hold(("bpe", vocabulary), lambda: Coder(vocabulary))
 
 
 def _encode(batches, vocabulary) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from granulake.llm.words import MASK_ALNUM, find_words, kept_and_text, pieces, text_offsets
+from granulake.llm.workers import let_go
 from granulake.session import cut
 
 SPANS = "array<struct<start:bigint,words:bigint,item:string,item_start:bigint>>"
@@ -118,6 +119,7 @@ class Shard:
 
 
 def _search(batches, tests: Tests, shard_bytes: int, text) -> Iterator[pa.RecordBatch]:
+    let_go()
     names = np.array(tests.names, dtype=object)
     for batch in pieces(batches, text, shard_bytes):
         words = find_words(*text_offsets(text(batch)), MASK_ALNUM)

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granulake.llm.words import MASK_SPACE, chained, find_words, mix, pieces, text_offsets
+from granulake.llm.workers import give_back, let_go
 from granulake.session import cut, shuffle_partitions
 
 _DOC_BITS = np.uint64(12)
@@ -96,6 +97,7 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _blocks(batches, n: int, bits: int) -> Iterator[pa.RecordBatch]:
+    let_go()
     for big in pieces(batches, "text", 2 << 20):
         for begin in range(0, big.num_rows, 4096):
             batch = big.slice(begin, 4096)
@@ -123,6 +125,7 @@ def _blocks(batches, n: int, bits: int) -> Iterator[pa.RecordBatch]:
                 if len(some):
                     blobs = [packed[edges[p] : edges[p + 1]].tobytes() for p in some]
                     yield _batch(part=some, block=[block] * len(some), entries=blobs)
+    give_back()
 
 
 def _shared(rows: pa.Table, bits: int) -> pa.Table:

@@ -23,7 +23,6 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -34,6 +33,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from granulake.llm.pretokens import find_pieces, library_classes
 from granulake.llm.words import hash_spans, kept_and_text, pieces, text_offsets
+from granulake.llm.workers import hold
 
 STRETCH = 1 << 20
 REMEMBERED = 2_000_000
@@ -205,10 +205,9 @@ def _strings(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(ends), pa.py_buffer(part))
 
 
-@lru_cache(maxsize=1)
 def _counter(table: MergeTable) -> Counter:
     """One counter a worker process."""
-    return Counter(table)
+    return hold(("token counts", table), lambda: Counter(table))
 
 
 def _count(batches, shared, text) -> Iterator[pa.RecordBatch]:
