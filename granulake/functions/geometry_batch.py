@@ -273,31 +273,112 @@ def _on_edge(points, edges):
     return _touching(segments, edges)
 
 
-def intersects(batch: Batch, query: Batch) -> np.ndarray:
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For items with these counts: the item of each place, and the place's number inside its item."""
+    item = np.repeat(np.arange(len(counts)), counts)
+    return item, np.arange(len(item)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _portions(counts: np.ndarray):
+    """Slices of the items with some PAIR_BLOCK places each."""
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(counts):
+        before = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, before + PAIR_BLOCK, "right")))
+        yield slice(at, upto)
+        at = upto
+
+
+def _touch(a, b):
+    """Per pair: the closed segments a[i] and b[i] share a point."""
+    ax, ay, bx, by = a.T
+    cx, cy, dx, dy = b.T
+    near = (
+        (np.minimum(ax, bx) <= np.maximum(cx, dx))
+        & (np.minimum(cx, dx) <= np.maximum(ax, bx))
+        & (np.minimum(ay, by) <= np.maximum(cy, dy))
+        & (np.minimum(cy, dy) <= np.maximum(ay, by))
+    )
+    astride_b = np.sign(_orient(cx, cy, dx, dy, ax, ay)) * np.sign(_orient(cx, cy, dx, dy, bx, by)) <= 0
+    astride_a = np.sign(_orient(ax, ay, bx, by, cx, cy)) * np.sign(_orient(ax, ay, bx, by, dx, dy)) <= 0
+    return near & astride_a & astride_b
+
+
+def _crosses(points, edges):
+    """Per pair: the ray from points[i] to +x crosses edges[i] (half-open in y)."""
+    px, py = points.T
+    x1, y1, x2, y2 = edges.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = x1 + (py - y1) * (x2 - x1) / (y2 - y1)
+    return ((y1 > py) != (y2 > py)) & (px < at)
+
+
+class Prepared:
+    """One shape's edges in horizontal slabs, made once and asked for by every batch."""
+
+    def __init__(self, shape: Batch):
+        self.shape = shape
+        self.edges, _ = shape.edges()
+        self.areal = bool(len(self.edges)) and bool(shape.areal()[0])
+        low, high = np.minimum(self.edges[:, 1], self.edges[:, 3]), np.maximum(self.edges[:, 1], self.edges[:, 3])
+        self.count = int(np.clip(len(self.edges) // 2, 1, 4096))
+        self.base = low.min() if len(low) else 0.0
+        self.height = max((high.max() - self.base) / self.count, 1e-300) if len(low) else 1.0
+        first, last = self.slab(low), self.slab(high)
+        edge, step = _spread(last - first + 1)
+        slab = first[edge] + step
+        order = np.argsort(slab, kind="stable")
+        self.members = edge[order]
+        self.begin = np.searchsorted(slab[order], np.arange(self.count + 1))
+        x = np.concatenate([self.edges[:, [0, 1]], self.edges[:, [2, 3]]])
+        self.box = (*x.min(axis=0), *x.max(axis=0)) if len(x) else (np.inf, np.inf, -np.inf, -np.inf)
+
+    def slab(self, y: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor((y - self.base) / self.height), 0, self.count - 1).astype(np.int64)
+
+    def _near(self, low: np.ndarray, high: np.ndarray):
+        """Portions of (item, edge) for items that reach from y = low to high; an edge may come up once a slab."""
+        first, last = self.slab(low), self.slab(high)
+        item, step = _spread(last - first + 1)
+        slab = first[item] + step
+        counts = self.begin[slab + 1] - self.begin[slab]
+        for part in _portions(counts):
+            which, at = _spread(counts[part])
+            yield item[part][which], self.members[self.begin[slab[part]][which] + at]
+
+    def touched(self, edges: np.ndarray) -> np.ndarray:
+        """Per edge: it shares a point with an edge of the shape."""
+        found = np.zeros(len(edges), bool)
+        for item, mine in self._near(np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])):
+            found[item[_touch(edges[item], self.edges[mine])]] = True
+        return found
+
+    def inside(self, points: np.ndarray) -> np.ndarray:
+        """Per point: it is inside the shape (even-odd rule)."""
+        odd = np.zeros(len(points), np.int64)
+        for item, mine in self._near(points[:, 1], points[:, 1]):
+            odd += np.bincount(item[_crosses(points[item], self.edges[mine])], minlength=len(points))
+        return odd % 2 == 1
+
+
+def intersects(batch: Batch, query: Batch | Prepared) -> np.ndarray:
     """Per row: shares at least one point with the one geometry in `query` (edges included)."""
+    query = query if isinstance(query, Prepared) else Prepared(query)
     found = np.zeros(batch.rows, dtype=bool)
     edges, rows = batch.edges()
-    q_edges, _ = query.edges()
-    if not len(edges) or not len(q_edges):
+    if not len(edges) or not len(query.edges):
         return found
-    low = np.minimum(q_edges[:, :2], q_edges[:, 2:]).min(axis=0)
-    high = np.maximum(q_edges[:, :2], q_edges[:, 2:]).max(axis=0)
+    low, high = np.array(query.box[:2]), np.array(query.box[2:])
     near = (
         (np.minimum(edges[:, :2], edges[:, 2:]) <= high) & (np.maximum(edges[:, :2], edges[:, 2:]) >= low)
     ).all(axis=1)
-    picked = np.flatnonzero(near)
-    for block in _blocks(len(picked), len(q_edges)):
-        index = picked[block]
-        hit = _touching(edges[index], q_edges).any(axis=1)
-        found[rows[index[hit]]] = True
-    if query.areal()[0]:
+    found[rows[near][query.touched(edges[near])]] = True
+    if query.areal:
         points, point_rows = batch.first_vertices()
         open_points = np.flatnonzero(~found[point_rows])
-        for block in _blocks(len(open_points), len(q_edges)):
-            index = open_points[block]
-            inside = _crosses_ray(points[index], q_edges).sum(axis=1) % 2 == 1
-            found[point_rows[index[inside]]] = True
-    q_points, _ = query.first_vertices()
+        found[point_rows[open_points[query.inside(points[open_points])]]] = True
+    q_points, _ = query.shape.first_vertices()
     open_edges = np.flatnonzero(~found[rows] & batch.areal()[rows])
     if len(open_edges):
         for point in q_points:
@@ -307,6 +388,56 @@ def intersects(batch: Batch, query: Batch) -> np.ndarray:
     return found
 
 
+class _ByRow:
+    """The edges of a batch, those of a row together."""
+
+    def __init__(self, batch: Batch):
+        edges, rows = batch.edges()
+        order = np.argsort(rows, kind="stable")
+        self.edges, self.rows = edges[order], rows[order]
+        self.begin = np.searchsorted(self.rows, np.arange(batch.rows + 1))
+        self.low, self.high = np.full((batch.rows, 2), np.inf), np.full((batch.rows, 2), -np.inf)
+        np.minimum.at(self.low, rows, np.minimum(edges[:, :2], edges[:, 2:]))
+        np.maximum.at(self.high, rows, np.maximum(edges[:, :2], edges[:, 2:]))
+
+    def reaching(self, other: "_ByRow") -> "_ByRow":
+        """Without the edges that lie beside the box of the other side's row."""
+        low, high = np.minimum(self.edges[:, :2], self.edges[:, 2:]), np.maximum(self.edges[:, :2], self.edges[:, 2:])
+        near = ((low <= other.high[self.rows]) & (high >= other.low[self.rows])).all(axis=1)
+        out = object.__new__(_ByRow)
+        out.edges, out.rows, out.low, out.high = self.edges[near], self.rows[near], self.low, self.high
+        out.begin = np.searchsorted(out.rows, np.arange(len(self.begin)))
+        return out
+
+    def meeting(self, rows: np.ndarray):
+        """Portions of (item, edge): every item with the edges of its row."""
+        counts = self.begin[rows + 1] - self.begin[rows]
+        for part in _portions(counts):
+            which, at = _spread(counts[part])
+            yield part.start + which, self.begin[rows[part]][which] + at
+
+    def inside(self, points: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Per point: it is inside the shape of its row (even-odd rule)."""
+        odd = np.zeros(len(points), np.int64)
+        for item, edge in self.meeting(rows):
+            odd += np.bincount(item[_crosses(points[item], self.edges[edge])], minlength=len(points))
+        return odd % 2 == 1
+
+
+def intersects_pairs(left: Batch, right: Batch) -> np.ndarray:
+    """Per row: the left and the right geometry share a point (edges included); all rows at once."""
+    found = np.zeros(left.rows, dtype=bool)
+    a, b = _ByRow(left), _ByRow(right)
+    near_a, near_b = a.reaching(b), b.reaching(a)
+    for item, edge in near_b.meeting(near_a.rows):
+        found[near_a.rows[item[_touch(near_a.edges[item], near_b.edges[edge])]]] = True
+    for batch, other, areal in ((left, b, right.areal()), (right, a, left.areal())):
+        points, rows = batch.first_vertices()
+        some = np.flatnonzero(~found[rows] & areal[rows])
+        found[rows[some[other.inside(points[some], rows[some])]]] = True
+    return found
+
+
 def _where_points(edges, rows, count, areal, points):
     """(inside, on_edge) matrices (rows x points) of points against the rows' own rings."""
     inside = np.zeros((count, len(points)), dtype=bool)
@@ -445,17 +576,18 @@ def encode_wkb(kind: Column, rings: Column) -> Column:
     return encode(_geometry_struct(kind, rings))
 
 
-def _predicate(test, query_wkb: bytes):
-    query_shape = read_wkb(query_wkb)
-    if query_shape is None:
+def literal(wkb: bytes) -> Batch:
+    """A batch of one literal shape."""
+    shape = read_wkb(wkb)
+    if shape is None:
         raise ValueError("the query shape cannot be read")
-    kind, rings = query_shape
+    kind, rings = shape
+    return Batch._pack([kind], [r[2] for r in rings], [0] * len(rings), [r[0] for r in rings], [r[1] for r in rings], 1)
 
+
+def _predicate(test, query):
     @F.arrow_udf("boolean")
     def run(v: pa.Array) -> pa.Array:
-        query = Batch._pack(
-            [kind], [r[2] for r in rings], [0] * len(rings), [r[0] for r in rings], [r[1] for r in rings], 1
-        )
         is_binary = pa.types.is_binary(v.type) or pa.types.is_large_binary(v.type)
         batch = Batch.from_wkb(v) if is_binary else Batch.from_rings(v)
         found = test(batch, query)
@@ -467,12 +599,12 @@ def _predicate(test, query_wkb: bytes):
 
 def st_intersects(geometry: Column, query_wkb: bytes) -> Column:
     """Closed intersects of a WKB or (kind, rings) column with one literal shape; NULL for NULL."""
-    return _predicate(intersects, query_wkb)(geometry)
+    return _predicate(intersects, Prepared(literal(query_wkb)))(geometry)
 
 
 def st_contains(geometry: Column, query_wkb: bytes) -> Column:
     """The column's geometry contains the literal shape."""
-    return _predicate(contains, query_wkb)(geometry)
+    return _predicate(contains, literal(query_wkb))(geometry)
 
 
 def pair_intersects(left: Column, right: Column) -> Column:
@@ -481,13 +613,8 @@ def pair_intersects(left: Column, right: Column) -> Column:
     @F.arrow_udf("boolean")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         lefts, rights = Batch.from_rings(a), Batch.from_rings(b)
-        out = [
-            None
-            if lefts.kinds[i] is None or rights.kinds[i] is None
-            else bool(intersects(lefts.single(i), rights.single(i))[0])
-            for i in range(lefts.rows)
-        ]
-        return pa.array(out, pa.bool_())
+        missing = np.array([x is None or y is None for x, y in zip(lefts.kinds, rights.kinds)], dtype=bool)
+        return pa.array(intersects_pairs(lefts, rights), pa.bool_(), mask=missing)
 
     return run(left, right)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granulake.functions import geometry_batch as gb
+from granulake.functions import raster, staging
 from granulake.functions.wkt import read_literal
 from granulake.operators.layout import BOX, flat_bin_filter, overlaps
 from granulake.operators.ordering import row_positions, sort_limit, top_k_per_group
@@ -85,11 +86,28 @@ def intersects(
 ) -> DataFrame:
     """Rows whose geometry shares a point with the shape.
 
-    The box test runs first in the JVM and prunes row groups; only rows it keeps reach the exact
-    test, which stands in its own filter.
+    The box test runs first in the JVM and prunes row groups. The raster of the shape then decides rows by
+    their box; only geometries on its border reach the exact test, which stands in its own filter.
+    `columns` must bound the geometry.
     """
-    near = df if columns is None else df.where(overlaps(shape_box(wkb), columns))
-    return near.where(gb.st_intersects(F.col(geometry), wkb))
+    if columns is None:
+        return df.where(gb.st_intersects(F.col(geometry), wkb))
+    near = _marked(df.where(overlaps(shape_box(wkb), columns)), wkb, columns)
+    return near.where(raster.intersects(F.col(_MARK), F.col(geometry), wkb)).drop(_MARK)
+
+
+_MARK = "_raster_mark"
+
+
+def _marked(near: DataFrame, wkb: bytes, columns: tuple[str, str, str, str]) -> DataFrame:
+    """Rows that the raster does not decide to lie outside, with its mark, computed once a row."""
+    return staging.once(near, _MARK, raster.Raster(wkb).mark(columns)).where(raster.may_intersect(F.col(_MARK)))
+
+
+def raster_marks(df: DataFrame, wkb: bytes, columns: tuple[str, str, str, str] = BOX, name: str = "mark") -> DataFrame:
+    """Rows near the shape with what its raster says of their box: `inside`, `border` or `outside`."""
+    near = df.where(overlaps(shape_box(wkb), columns))
+    return staging.once(near, name, raster.label(raster.Raster(wkb).mark(columns)))
 
 
 def contains(
@@ -120,11 +138,11 @@ def interior_or_exact(
     """
     near = df.where(overlaps(shape_box(wkb), columns))
     sure = F.coalesce(overlaps(tuple(interior), interior_columns), F.lit(False))
-    guarded = near.withColumn("_sure", sure).withColumn(
-        "_open", F.when(~F.col("_sure"), F.col(geometry))
-    )
-    tested = guarded.withColumn("_exact", gb.st_intersects(F.col("_open"), wkb))
-    return tested.where(F.col("_sure") | F.col("_exact")).drop("_sure", "_open", "_exact")
+    near = near.withColumn("_sure", sure)
+    mark = F.when(~F.col("_sure"), raster.Raster(wkb).mark(columns))
+    near = staging.once(near, _MARK, mark).where(F.col("_sure") | raster.may_intersect(F.col(_MARK)))
+    tested = near.withColumn("_exact", raster.intersects(F.col(_MARK), F.col(geometry), wkb))
+    return tested.where(F.col("_sure") | F.col("_exact")).drop("_sure", "_exact", _MARK)
 
 
 # Values that mark a bound as one of the whole globe.
@@ -198,19 +216,26 @@ def predicate(df: DataFrame, step: Predicate, range_mode: str = "covers") -> tup
             return time_range(step.value, range_mode), None
         raise SpecError(f"unknown time option {step.option!r}")
     wkb = _wkb_of(step.value)
-    box = shape_box(wkb)
-    native = None
+    native = _near(df, wkb)
+    if step.option in ("intersects", None):
+        if _one_of(df, BOX):
+            return native, raster.intersects(raster.Raster(wkb).mark(BOX), F.col("geometry"), wkb)
+        return native, gb.st_intersects(F.col("geometry"), wkb)
+    if step.option == "contains":
+        return native, gb.st_contains(F.col("geometry"), wkb)
+    raise SpecError(f"unknown geometry option {step.option!r}")
+
+
+def _near(df: DataFrame, wkb: bytes) -> Column | None:
+    """Native test of the box and bin columns that the table has."""
+    box, native = shape_box(wkb), None
     if _one_of(df, BOX):
         native = overlaps(box)
     elif "bbox" in df.columns:
         native = box_struct(*box)
     if "hashbin" in df.columns:
         native = flat_bin_filter(box) if native is None else native & flat_bin_filter(box)
-    if step.option in ("intersects", None):
-        return native, gb.st_intersects(F.col("geometry"), wkb)
-    if step.option == "contains":
-        return native, gb.st_contains(F.col("geometry"), wkb)
-    raise SpecError(f"unknown geometry option {step.option!r}")
+    return native
 
 
 def _whole(parts: tuple[Column | None, Column | None]) -> Column:
@@ -222,9 +247,13 @@ def filter_operations(df: DataFrame, operations: Sequence[Operation], range_mode
 
     Native tests go into one filter, exact tests follow in filters of their own.
     """
-    native, exact = [], []
+    native, exact, marked = [], [], []
     for operation in operations:
         for step in operation.ands:
+            if step.type_of == "geometry" and step.option in ("intersects", None) and _one_of(df, BOX):
+                native.append(_near(df, _wkb_of(step.value)))
+                marked.append(_wkb_of(step.value))
+                continue
             quick, costly = predicate(df, step, range_mode)
             native += [] if quick is None else [quick]
             exact += [] if costly is None else [costly]
@@ -236,6 +265,9 @@ def filter_operations(df: DataFrame, operations: Sequence[Operation], range_mode
             (exact if step.type_of == "geometry" else native).append(none)
     if native:
         df = df.where(reduce(lambda a, b: a & b, native))
+    for wkb in marked:
+        df = _marked(df, wkb, BOX)
+        df = df.where(raster.intersects(F.col(_MARK), F.col("geometry"), wkb)).drop(_MARK)
     for test in exact:
         df = df.where(test)
     return df
@@ -314,9 +346,14 @@ def _flags(df: DataFrame, suite: Suite, range_mode: str) -> tuple[DataFrame, lis
         df = df.withColumn(name, F.coalesce(native, F.lit(False)))
         for step, _ in exact:
             wkb = _wkb_of(step.value)
-            test = gb.st_contains if step.option == "contains" else gb.st_intersects
             df = df.withColumn("_open", F.when(F.col(name), F.col("geometry")))
-            df = df.withColumn("_exact", F.coalesce(test(F.col("_open"), wkb), F.lit(False)))
+            if step.option == "contains":
+                test = gb.st_contains(F.col("_open"), wkb)
+            elif _one_of(df, BOX):
+                test = raster.intersects(raster.Raster(wkb).mark(BOX), F.col("_open"), wkb)
+            else:
+                test = gb.st_intersects(F.col("_open"), wkb)
+            df = df.withColumn("_exact", F.coalesce(test, F.lit(False)))
             df = df.withColumn(name, F.col(name) & F.col("_exact")).drop("_open", "_exact")
         names.append(name)
     return df, names

@@ -38,6 +38,13 @@ def shape_wkb(*rings) -> bytes:
     return gb.write_wkb("Polygon" if len(rings) == 1 else "MultiPolygon", points)
 
 
+HOLE_RING = ((0, -5), (20, -5), (20, 12), (0, 12), (0, -5))
+HOLED_SHAPE = gb.write_wkb(
+    "MultiPolygon",
+    [(part, hole, np.array(r, dtype=float)) for part, hole, r in ((0, False, QUERY_RING), (0, True, HOLE_RING), (1, False, SECOND_RING))],
+)
+
+
 @query("project_columns", using("granules") + "select GranuleUR, StartTime, MBRWest from granules")
 def project_columns(spark, sf_dir):
     return inputs.granules(spark, sf_dir).select("GranuleUR", "StartTime", "MBRWest")
@@ -127,6 +134,38 @@ def st_intersects(spark, sf_dir):
     return search.intersects(boxes, shape_wkb(QUERY_RING)).select("GranuleUR")
 
 
+@query(
+    "st_intersects_holes",
+    using("granules", edges=edges_sql(QUERY_RING, HOLE_RING, SECOND_RING))
+    + f"""select GranuleUR, MBRWest, MBRNorth from granules, edges
+          group by GranuleUR, MBRWest, MBRSouth, MBREast, MBRNorth having {box_meets_edges_sql()}""",
+)
+def st_intersects_holes(spark, sf_dir):
+    """A two-part shape whose first part has a hole."""
+    boxes = inputs.granule_boxes(spark, sf_dir)
+    return search.intersects(boxes, HOLED_SHAPE).select("GranuleUR", "MBRWest", "MBRNorth")
+
+
+_MEETS = f"""select GranuleUR, {box_meets_edges_sql()} as meets
+  from granules, edges where MBREast >= -30 and MBRWest <= 120 and MBRNorth >= -35 and MBRSouth <= 45
+  group by GranuleUR, MBRWest, MBRSouth, MBREast, MBRNorth"""
+
+
+@query(
+    "raster_decides",
+    using("granules", edges=edges_sql(QUERY_RING, HOLE_RING, SECOND_RING))
+    + f"select meets, count(*) as rows, 0::bigint as wrong from ({_MEETS}) g group by meets",
+)
+def raster_decides(spark, sf_dir):
+    """Granules near the shape by the exact result, with the number that the raster decided otherwise (none)."""
+    boxes = inputs.granule_boxes(spark, sf_dir)
+    marked = search.raster_marks(boxes, HOLED_SHAPE)
+    meets = gb.st_intersects(F.col("geometry"), HOLED_SHAPE)
+    tested = marked.select("mark", meets.alias("meets"))
+    wrong = (F.col("mark") == "inside") & ~F.col("meets") | (F.col("mark") == "outside") & F.col("meets")
+    return tested.groupBy("meets").agg(F.count("*").alias("rows"), F.count_if(wrong).alias("wrong"))
+
+
 @query(
     "st_intersects_points",
     using("points", edges=edges_sql(QUERY_RING, SECOND_RING))

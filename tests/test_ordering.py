@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from granulake.functions import shapes
 from granulake.operators import aggregates, joins, layout, ordering
 
 random.seed(3)
@@ -105,7 +106,7 @@ def _boxes(count, largest):
 
 @pytest.mark.parametrize("broadcast_limit", [20_000, 0])
 def test_shape_join_finds_every_pair_once(spark, monkeypatch, broadcast_limit):
-    monkeypatch.setattr(joins, "BROADCAST_SHAPES", broadcast_limit)
+    monkeypatch.setattr(joins, "BROADCAST_CELLS", broadcast_limit)
     left, right = _boxes(400, 60), _boxes(60, 30)
     g = spark.createDataFrame(left, "id int, MBRWest double, MBRSouth double, MBREast double, MBRNorth double")
     q = spark.createDataFrame(right, "shape int, xmin double, ymin double, xmax double, ymax double")
@@ -134,3 +135,23 @@ def test_verification_rules(spark):
     got = {r.name: r.passed for r in aggregates.verify(results, rules).collect()}
     assert got == {"a": True, "b": True, "c": True, "d": False, "e": True}
     assert tuple(aggregates.tally(aggregates.verify(results, rules)).first()) == (4, 1)
+
+
+def test_world_wide_shapes_stay_a_small_broadcast(spark):
+    box = [F.lit(v) for v in (-180.0, -90.0, 180.0, 90.0)]
+    cells = lambda levels: spark.range(1).select(sum((joins._cell_count(s, box) for s in levels), F.lit(0))).first()[0]
+    assert cells(joins.GRID_LEVELS) > 500 and 20_000 * cells(joins.COARSE_LEVELS) <= joins.BROADCAST_CELLS
+    q = spark.range(20_000).select("id", *[v.alias(n) for v, n in zip(box, ("xmin", "ymin", "xmax", "ymax"))])
+    g = spark.createDataFrame([(i, x, x / 2, x + 1, x / 2 + 1) for i, x in enumerate((-170.0, 0.0, 150.0))], "g int, MBRWest double, MBRSouth double, MBREast double, MBRNorth double")
+    assert joins.shape_join(g, q).count() == 60_000
+
+
+def test_exact_join_of_wide_and_small_shapes(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    left, right = _boxes(60, 40), [*_boxes(20, 30), (90, -180.0, -90.0, 180.0, 90.0), (91, -100.0, -80.0, 100.0, 80.0)]
+    rings = lambda *c: F.struct(F.lit("Polygon").alias("kind"), shapes.box_rings(*[F.col(x) for x in c]).alias("rings"))
+    g = spark.createDataFrame(left, "id int, MBRWest double, MBRSouth double, MBREast double, MBRNorth double")
+    q = spark.createDataFrame(right, "shape_id int, xmin double, ymin double, xmax double, ymax double")
+    g, q = g.withColumn("geometry", rings(*joins.BOX)), q.withColumn("shape", rings("xmin", "ymin", "xmax", "ymax"))
+    got = sorted((r.id, r.shape_id) for r in joins.shape_join(g, q, exact=True).select("id", "shape_id").collect())
+    assert got == sorted((a[0], b[0]) for a in left for b in right if a[1] <= b[3] and a[3] >= b[1] and a[2] <= b[4] and a[4] >= b[2])
