@@ -13,11 +13,11 @@ the border need their geometry.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granulake.functions import geometry_batch as gb
-from granulake.functions.staging import let
+from granulake.functions.staging import let, once
 
 OUTSIDE, BORDER, INSIDE = 0, 1, 2
 DEPTH = 6
@@ -87,40 +87,46 @@ class Raster:
             out.append(np.stack([_merged(g) for g in groups], axis=-1).ravel())
         return np.concatenate(out).astype(np.uint8).tobytes()
 
-    def mark(self, columns: tuple[str, str, str, str]) -> Column:
-        """Mark of a row by its box columns (west, south, east, north), as one byte; NULL for a NULL box."""
+    def _level(self, w: Column, s: Column, e: Column, n: Column) -> Column:
+        """The level whose cells are as large as the box."""
+        dx, dy = map(float, self.size)
+        return F.ceil(F.log2(F.greatest((e - w) / dx, (n - s) / dy, F.lit(1.0)))).cast("int")
+
+    def _looked_up(self, w: Column, s: Column, e: Column, n: Column, level: Column) -> Column:
         (x0, y0), (dx, dy) = map(float, self.low), map(float, self.size)
-        cells = float(len(self.levels[0]))
+        finest = len(self.levels[0])
         sizes = [(len(marks) + 2) ** 2 * 4 for marks in self.levels]
         offsets = F.lit([sum(sizes[:k]) for k in range(len(sizes))])
-        table = F.lit(bytearray(self.bytes()))
-
-        def placed(box: Column) -> Column:
-            """Level whose cells are as large as the box, and the number of cells at that level; then the cells it touches."""
-            w, s, e, n = (box[c] for c in "wsen")
-            level = F.ceil(F.log2(F.greatest((e - w) / dx, (n - s) / dy, F.lit(1.0)))).cast("int")
-            return let(level, lambda k: let(F.pow(F.lit(2.0), k), lambda scale: F.struct(
-                k.alias("k"), (F.lit(cells) / scale).alias("most"),
-                *[(F.floor((v - F.lit(low)) / (F.lit(step) * scale)).cast("double")).alias(name)
-                  for name, v, low, step in (("x1", w, x0, dx), ("x2", e, x0, dx), ("y1", s, y0, dy), ("y2", n, y0, dy))],
-            )))
-
-        def looked_up(at: Column) -> Column:
-            most = at["most"]
-            inside = lambda v: F.greatest(F.lit(-1.0), F.least(most, v))
-            cell = F.struct(*[inside(at[c]).alias(c) for c in ("x1", "x2", "y1", "y2")])
-            return let(cell, lambda c: F.when(
-                # a level too fine by rounding, or a box that turns around
-                (c["x2"] - c["x1"]).isin(0.0, 1.0) & (c["y2"] - c["y1"]).isin(0.0, 1.0),
-                ((c["x1"] + 1) * (most + 2) + c["y1"] + 1) * 4 + (c["x2"] - c["x1"]) * 2 + (c["y2"] - c["y1"]) + F.get(offsets, at["k"]),
-            ))
-
-        w, s, e, n = (F.col(c) for c in columns)
-        box = F.struct(w.alias("w"), s.alias("s"), e.alias("e"), n.alias("n"))
-        known = let(box, lambda b: let(placed(b), lambda at: F.substring(table, looked_up(at).cast("int") + 1, F.lit(1))))
+        most = F.call_function("shiftright", F.lit(finest), level)
+        scale = F.call_function("shiftleft", F.lit(1), level)
+
+        def cell(value: Column, low: float, step: float) -> Column:
+            at = F.floor((value - F.lit(low)) / (F.lit(step) * scale))
+            return F.greatest(F.lit(-1), F.least(most, at))
+
+        x, y = cell(w, x0, dx), cell(s, y0, dy)
+        wide, high = cell(e, x0, dx) - x, cell(n, y0, dy) - y
+        at = ((x + 1) * (most + 2) + y + 1) * 4 + wide * 2 + high + F.get(offsets, level)
+        # not where the level is too fine by rounding, or the box turns around
+        where = F.when(wide.between(0, 1) & high.between(0, 1), at.cast("int"))
+        known = F.substring(F.lit(bytearray(self.bytes())), where + 1, F.lit(1))
         boxed = w.isNotNull() & s.isNotNull() & e.isNotNull() & n.isNotNull()
         return F.when(boxed, F.coalesce(known, _byte(BORDER)))
 
+    def _box(self, columns: tuple[str, str, str, str]) -> Column:
+        box = [F.col(c) for c in columns]
+        return F.struct(*[v.alias(k) for k, v in zip("wsen", box)], self._level(*box).alias("level"))
+
+    def mark(self, columns: tuple[str, str, str, str]) -> Column:
+        """Mark of a row by its box columns (west, south, east, north), as one byte; NULL for a NULL box."""
+        return let(self._box(columns), lambda b: self._looked_up(*(b[k] for k in (*"wsen", "level"))))
+
+    def with_mark(self, df: DataFrame, columns: tuple[str, str, str, str], name: str) -> DataFrame:
+        """The mark as a column: computed once a row and inside generated code, which `mark` is not."""
+        boxed = once(df, f"{name}_box", self._box(columns))
+        value = self._looked_up(*(F.col(f"{name}_box.{k}") for k in (*"wsen", "level")))
+        return once(boxed, name, value).drop(f"{name}_box")
+
 
 def _merged(parts: list[np.ndarray]) -> np.ndarray:
     """The common mark of cells, or border."""

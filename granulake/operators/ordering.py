@@ -9,6 +9,7 @@ with one row per partition.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,46 +174,55 @@ def with_previous(
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probabilities: Sequence[float], groups: Sequence[str] = (), prefix: str = "p"
+    df: DataFrame,
+    value: str,
+    probabilities: Sequence[float],
+    groups: Sequence[str] = (),
+    prefix: str = "p",
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation between neighbours, one row per group.
 
-    Values are counted first (partial counts on the map side), then ranked by running counts;
-    a group's values spread over the range partitions, so no task holds a whole group.
-    Columns are named `p50`, `p95`, ... and `n`.
+    The first pass makes a mergeable sketch of each group, whose ranks are off by a share of 1/accuracy at most, and
+    from it a bracket around each quantile. The second pass counts what lies below a bracket and the different values inside
+    it; only these, some 6/accuracy of the rows, are ranked by running counts. A group of up to `accuracy` rows is its own
+    bracket. Both passes read `df`. Columns are named `p50`, `p95`, ... and `n`.
     """
     keys = list(groups)
-    counted = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    ranked = running_total(counted, [value], {"_to": F.col("_n")}, keys)
-    sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    slack = 3 / accuracy
+    lows, highs = ([min(1.0, max(0.0, p + side)) for p in probabilities] for side in (-slack, slack))
+    near = F.percentile_approx("_v", [*lows, *highs], accuracy)
+    sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), near.alias("_near"))
+    edges = []
+    for i, (low, high) in enumerate(zip(lows, highs)):
+        small = F.col("n") <= accuracy
+        begin = F.when(small | F.lit(low == 0.0), F.col("_min")).otherwise(F.col("_near")[i])
+        end = F.when(small | F.lit(high == 1.0), F.col("_max")).otherwise(F.col("_near")[len(lows) + i])
+        edges.append(F.struct(F.lit(i).alias("i"), begin.alias("low"), end.alias("high")))
+    brackets = sketch.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.struct("n", F.array(*edges).alias("edges")).alias("_b"))
     if keys:
-        right = sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "n")
-        on = None
-        for key in keys:
-            same = F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-            on = same if on is None else on & same
-        with_n = ranked.join(right, on).drop(*[f"_k_{k}" for k in keys])
+        match = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+        found = rows.join(brackets, match).drop(*[f"_k_{k}" for k in keys])
     else:
-        with_n = ranked.withColumn("n", sizes.scalar())
-    picks = []
-    for p in probabilities:
-        at = (F.col("n") - 1) * F.lit(float(p))
-        low, high = F.floor(at), F.ceil(at)
-        covers = lambda pos: (F.col("_to") - F.col("_n") <= pos) & (pos < F.col("_to"))
-        lower = F.max(F.when(covers(low), F.col(value)))
-        upper = F.max(F.when(covers(high), F.col(value)))
-        picks.append((p, lower, upper))
-    aggs = [F.max("n").alias("n")]
-    for i, (_, lower, upper) in enumerate(picks):
-        aggs += [lower.alias(f"_l{i}"), upper.alias(f"_u{i}")]
-    out = with_n.groupBy(*keys).agg(*aggs)
-    names = {}
-    for i, (p, _, _) in enumerate(picks):
+        found = rows.withColumn("_b", brackets.select("_b").scalar())
+    # a value below a bracket is counted there without its value
+    met = F.filter("_b.edges", lambda e: F.col("_v") <= e["high"])
+    met = F.transform(met, lambda e: F.struct(e["i"].alias("i"), F.when(F.col("_v") >= e["low"], F.col("_v")).alias("v")))
+    counted = (
+        found.select(*keys, F.col("_b.n").alias("n"), F.explode(met).alias("_e"))
+        .groupBy(*keys, "n", F.col("_e.i").alias("_i"), F.col("_e.v").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    ranked = running_total(counted, [F.col("_v").asc_nulls_first()], {"_to": F.col("_n")}, [*keys, "_i"])
+    aggs, names = [F.max("n").alias("n")], {}
+    for i, p in enumerate(probabilities):
         at = (F.col("n") - 1) * F.lit(float(p))
+        covers = lambda pos: (F.col("_i") == i) & (F.col("_to") - F.col("_n") <= pos) & (pos < F.col("_to"))  # noqa: E731, B023
+        aggs += [F.max(F.when(covers(f(at)), F.col("_v"))).alias(f"_{side}{i}") for side, f in (("l", F.floor), ("u", F.ceil))]
         share = at - F.floor(at)
         names[quantile_name(p, prefix)] = F.col(f"_l{i}") + (F.col(f"_u{i}") - F.col(f"_l{i}")) * share
+    out = ranked.groupBy(*keys).agg(*aggs)
     return out.select(*keys, "n", *[column.alias(name) for name, column in names.items()])
 
 
@@ -236,13 +246,38 @@ def ecdf(
     table = running_total(counted, [value], {"_to": F.col("_n")})
     share = F.col("_to") / counted.agg(F.sum("_n")).scalar()
     share = share if digits is None else F.round(share, digits)
-    lookup = table.select(F.col(value).alias("_v"), F.lit(0).alias("_spread"), share.alias(name))
+    return _looked_up(df, F.col(value), table.select(F.col(value).alias("_v"), share.alias(name)))
+
+
+def _looked_up(df: DataFrame, value: Column, lookup: DataFrame) -> DataFrame:
+    """The other columns of `lookup` by its column `_v`, NULL where `value` is NULL."""
     # rows without a value find nothing: spread them instead of sending them all to one task
     others = [F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     salt = F.pmod(F.xxhash64(*others), F.lit(1024)).cast("int")
-    spread = df.withColumn("_s", F.when(F.col(value).isNull(), salt + 1).otherwise(F.lit(0)))
-    on = (F.col(value) == F.col("_v")) & (F.col("_s") == F.col("_spread"))
-    return spread.join(lookup, on, "left").drop("_v", "_s", "_spread")
+    spread = df.withColumn("_s", F.when(value.isNull(), salt + 1).otherwise(F.lit(0)))
+    on = (value == F.col("_v")) & (F.col("_s") == F.col("_spread"))
+    return spread.join(lookup.withColumn("_spread", F.lit(0)), on, "left").drop("_v", "_s", "_spread")
+
+
+def ecdfs(df: DataFrame, columns: dict[str, tuple[str, Column | None, int | None]]) -> DataFrame:
+    """Several distributions from one pass: name -> (value, base, digits) as for `ecdf`. Values are compared as doubles."""
+    entries = [
+        F.struct(F.lit(name).alias("_kind"), F.col(value).cast("double").alias("_v"), (F.lit(True) if base is None else base).alias("_base"))
+        for name, (value, base, _) in columns.items()
+    ]
+    counted = (
+        df.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*").where(F.col("_v").isNotNull())
+        .groupBy("_kind", "_v").agg(F.count(F.when(F.col("_base"), F.lit(1))).alias("_n"))
+    )
+    table = running_total(counted, ["_v"], {"_to": F.col("_n")}, ["_kind"])
+    # one row per distribution
+    sizes = table.groupBy(F.col("_kind").alias("_of")).agg(F.sum("_n").alias("_size"))
+    shares = table.join(F.broadcast(sizes), F.col("_kind") == F.col("_of")).select("_kind", "_v", (F.col("_to") / F.col("_size")).alias("_share"))
+    for name, (value, _, digits) in columns.items():
+        share = F.col("_share") if digits is None else F.round("_share", digits)
+        lookup = shares.where(F.col("_kind") == name).select("_v", share.alias(name))
+        df = _looked_up(df, F.col(value).cast("double"), lookup)
+    return df
 
 
 def ecdf_lookup(df: DataFrame, value: str, probes: DataFrame, probe: str = "x", name: str = "pctile") -> DataFrame:

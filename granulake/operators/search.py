@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granulake.functions import geometry_batch as gb
-from granulake.functions import raster, staging
+from granulake.functions import raster
 from granulake.functions.wkt import read_literal
 from granulake.operators.layout import BOX, flat_bin_filter, overlaps
 from granulake.operators.ordering import row_positions, sort_limit, top_k_per_group
@@ -101,13 +101,13 @@ _MARK = "_raster_mark"
 
 def _marked(near: DataFrame, wkb: bytes, columns: tuple[str, str, str, str]) -> DataFrame:
     """Rows that the raster does not decide to lie outside, with its mark, computed once a row."""
-    return staging.once(near, _MARK, raster.Raster(wkb).mark(columns)).where(raster.may_intersect(F.col(_MARK)))
+    return raster.Raster(wkb).with_mark(near, columns, _MARK).where(raster.may_intersect(F.col(_MARK)))
 
 
 def raster_marks(df: DataFrame, wkb: bytes, columns: tuple[str, str, str, str] = BOX, name: str = "mark") -> DataFrame:
     """Rows near the shape with what its raster says of their box: `inside`, `border` or `outside`."""
     near = df.where(overlaps(shape_box(wkb), columns))
-    return staging.once(near, name, raster.label(raster.Raster(wkb).mark(columns)))
+    return raster.Raster(wkb).with_mark(near, columns, name).withColumn(name, raster.label(F.col(name)))
 
 
 def contains(
@@ -138,10 +138,9 @@ def interior_or_exact(
     """
     near = df.where(overlaps(shape_box(wkb), columns))
     sure = F.coalesce(overlaps(tuple(interior), interior_columns), F.lit(False))
-    near = near.withColumn("_sure", sure)
-    mark = F.when(~F.col("_sure"), raster.Raster(wkb).mark(columns))
-    near = staging.once(near, _MARK, mark).where(F.col("_sure") | raster.may_intersect(F.col(_MARK)))
-    tested = near.withColumn("_exact", raster.intersects(F.col(_MARK), F.col(geometry), wkb))
+    near = raster.Raster(wkb).with_mark(near.withColumn("_sure", sure), columns, _MARK)
+    near = near.where(F.col("_sure") | raster.may_intersect(F.col(_MARK)))
+    tested = near.withColumn("_exact", raster.intersects(F.when(~F.col("_sure"), F.col(_MARK)), F.col(geometry), wkb))
     return tested.where(F.col("_sure") | F.col("_exact")).drop("_sure", "_exact", _MARK)
 
 

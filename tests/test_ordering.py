@@ -155,3 +155,28 @@ def test_exact_join_of_wide_and_small_shapes(spark, monkeypatch):
     g, q = g.withColumn("geometry", rings(*joins.BOX)), q.withColumn("shape", rings("xmin", "ymin", "xmax", "ymax"))
     got = sorted((r.id, r.shape_id) for r in joins.shape_join(g, q, exact=True).select("id", "shape_id").collect())
     assert got == sorted((a[0], b[0]) for a in left for b in right if a[1] <= b[3] and a[3] >= b[1] and a[2] <= b[4] and a[4] >= b[2])
+
+
+def test_quantiles_inside_sketch_brackets(spark):
+    rows = [("hot" if i % 3 else "cold", random.choice([5.0, random.gauss(0, 100), float(i % 50)])) for i in range(6000)]
+    rows += [("one", 7.0), ("two", 1.0), ("two", 3.0), (None, 2.0), (None, 9.0), ("gone", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    probabilities = [0.0, 0.01, 0.5, 0.95, 0.999, 1.0]
+    for groups in (["k"], []):
+        got = ordering.exact_quantiles(df, "v", probabilities, groups, accuracy=100).collect()
+        assert {r["k"] for r in got} == {"hot", "cold", "one", "two", None} if groups else len(got) == 1
+        for r in got:
+            mine = [v for k, v in rows if v is not None and (not groups or k == r["k"])]
+            want = np.quantile(mine, probabilities)
+            assert r["n"] == len(mine)
+            assert np.allclose([r[ordering.quantile_name(p)] for p in probabilities], want)
+    ranged = ordering.exact_quantiles(df, "v", [0.5], ["k"], accuracy=1000)
+    assert ranged.where("k = 'hot'").first()["p50"] == np.quantile([v for k, v in rows if k == "hot"], 0.5)
+
+
+def test_distributions_of_one_pass_are_those_of_their_own(spark):
+    rows = [(i, i % 7 if i % 4 else None, float(i % 11) / 3 if i % 5 else None, i % 3 == 0) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, a int, b double, some boolean")
+    both = ordering.ecdfs(df, {"pa": ("a", F.col("some"), 6), "pb": ("b", None, None)})
+    alone = ordering.ecdf(ordering.ecdf(df, "a", "pa", base=F.col("some"), digits=6), "b", "pb")
+    assert sorted(map(str, both.collect())) == sorted(map(str, alone.select(*both.columns).collect()))
