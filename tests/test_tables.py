@@ -123,3 +123,15 @@ def test_dedup_over_batches(spark, tmp_path):
         frames = spark.readStream.schema("GranuleUR string, StartTime string").parquet(f"{path}/in")
         streams.dedup_granules(frames, "GranuleUR", "StartTime", f"{path}/out", f"{path}/state").awaitTermination()
     assert sorted(r.GranuleUR for r in spark.read.parquet(f"{path}/out").collect()) == ["a", "b"]
+
+
+def test_largest_shapes_across_batches(spark, tmp_path):
+    path = str(tmp_path)
+    rows = [("a", 1, 5.0, "2024-01-01T00:00:00"), ("b", 1, None, "2024-01-01T00:00:00"), ("a", 2, 9.0, "2024-01-02T00:00:00"),
+            ("a", 3, 9.0, "2024-01-03T00:00:00"), ("c", 7, 1.0, "2024-06-01T00:00:00"), ("a", 4, 2.0, "2024-06-02T00:00:00"),
+            ("c", 8, 50.0, "2024-01-01T00:00:00")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "g string, no bigint, area double, at string, i int")
+    frames = streams.replay(spark, df, F.col("i"), len(rows), f"{path}/in")
+    streams.largest_shapes(frames, "g", "at", "area", "no", f"{path}/out", f"{path}/state", keep="10 days").awaitTermination()
+    got = {r.g: (r.no, r.area) for r in streams.largest_of(spark, f"{path}/out", "g", "area", "no").collect()}
+    assert got == {"a": (2, 9.0), "b": (1, None), "c": (7, 1.0)}  # the last shape came after its period was over
