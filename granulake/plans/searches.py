@@ -27,6 +27,7 @@ from granulake.plans.inputs import (
 from granulake.plans.registry import query
 from granulake.session import scratch
 from granulake.sinks import tables as sinks
+from granulake.sources import zones
 from granulake.sources.spec import Operation, Predicate, Search
 
 BOX_SQL = "(MBREast >= -30 and MBRWest <= 60 and MBRNorth >= -35 and MBRSouth <= 45)"
@@ -293,6 +294,62 @@ def search_binned(spark, sf_dir):
     return search.search(table, spec)
 
 
+# ---- zone maps -----------------------------------------------------------------------------------
+
+ZONED = ("StartTime", "EndTime", *search.BOX)
+_NEAR = Predicate("geometry", option="intersects", value=QUERY_POLYGON)
+_LATE = Predicate("time", option="greater-then", value="1998-03-01T00:00")
+
+
+def _banded(spark, sf_dir):
+    """Granules in files by bands of latitude and years, neither known to the reader of the files."""
+    path = scratch(spark, "banded")
+    g = inputs.granules(spark, sf_dir).withColumn("cell", F.expr(CELL_SQL["spark"]))
+    g.repartition("cell").write.partitionBy("cell").parquet(path)
+    zones.write_zone_map(spark, path, ZONED)
+    return path
+
+
+def _as_geometry(df):
+    rings = shapes.box_rings(*[F.col(c) for c in search.BOX])
+    return df.withColumn("geometry", F.struct(F.lit("Polygon").alias("kind"), rings.alias("rings")))
+
+
+# The cell of a granule: a band of ten degrees and a year, boxes of the globe apart.
+CELL_SQL = {
+    "spark": "case when k % 101 = 0 or k % 97 = 0 then -1 else cast(floor((MBRSouth + 90) / 10) as int) * 100 + year % 100 end",
+    "duckdb": "case when k % 101 = 0 or k % 97 = 0 then -1 else cast(floor((MBRSouth + 90) / 10) as int) * 100 + year % 100 end",
+}
+
+
+@query(
+    "search_zoned",
+    using("granules", edges=edges_sql(QUERY_RING))
+    + f"""select GranuleUR, StartTime from granules, edges where StartTime >= '1998-03-01T00:00' and {BOX_SQL}
+          group by GranuleUR, StartTime, MBRWest, MBRSouth, MBREast, MBRNorth having {box_meets_edges_sql()}
+          order by GranuleUR limit 2000""",
+)
+def search_zoned(spark, sf_dir):
+    """Shape and time over stored granules; a zone map names the files that the scan opens."""
+    spec = Search(columns=("GranuleUR", "StartTime"), sortby="GranuleUR", operations=(Operation(ands=(_NEAR, _LATE)),))
+    return zones.search_zoned(spark, _banded(spark, sf_dir), spec, prepare=_as_geometry)
+
+
+@query(
+    "zone_choice",
+    using("granules")
+    + f"""select cell, count(*) as rows, max(StartTime) >= '1998-03-01T00:00' and max(MBREast) >= -30 and min(MBRWest) <= 60
+            and max(MBRNorth) >= -35 and min(MBRSouth) <= 45 as opened
+          from (select *, {CELL_SQL["duckdb"]} as cell from granules) c group by cell""",
+)
+def zone_choice(spark, sf_dir):
+    """Which files that search opens, and the rows they hold."""
+    spec = Search(operations=(Operation(ands=(_NEAR, _LATE)),))
+    files = zones.choice(spark, _banded(spark, sf_dir), spec)
+    cell = F.regexp_extract("path", "/cell=([^/]*)/", 1).cast("int")
+    return files.groupBy(cell.alias("cell")).agg(F.sum("rows").alias("rows"), F.bool_or("opened").alias("opened"))
+
+
 @query(
     "drop_global_bounds",
     using("granules")
