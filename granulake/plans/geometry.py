@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granulake.functions import curves, geohash, geometry_batch, shapes, wkt
+from granulake.functions import curves, geohash, geometry_batch, meridian, shapes, wkt
 from granulake.functions.staging import once
 from granulake.operators import layout
 from granulake.plans import inputs
@@ -556,6 +556,43 @@ def antimeridian_split(spark, sf_dir):
     return shapes.split_antimeridian(crossing, "w", "e", F.col("over")).drop("over")
 
 
+@query(
+    "antimeridian_rings",
+    using("granule_shapes")
+    + """select GranuleUR, shape_no, case when k % 2 = 0 then 'Polygon' else 'MultiPolygon' end as kind,
+           (case when k % 2 = 0 then 4 else 9 end + case when partkey % 3 <> 0 then 0 when k % 2 = 0 then 4 else 7 end)::bigint as vertices,
+           round(dx * dy / 2 * case when partkey % 3 = 0 then 0.75e0 else 1e0 end, 9) as area,
+           case when k % 2 = 0 then 0e0 else round(dx * dy / 2 * case when partkey % 3 = 0 then 0.75e0 else 1e0 end
+             * power((3 - partkey % 3) / 4e0, 2), 9) end as east_area
+         from granule_shapes""",
+)
+def antimeridian_rings(spark, sf_dir):
+    """Triangles with holes: every second one is moved so that a quarter, half or three quarters lie before 180.
+
+    The cut runs through the hole too, so its border becomes part of both shells.
+    """
+    t = inputs.triangles(spark, sf_dir)
+    shift = F.when(F.col("k") % 2 == 1, 180 - F.col("dx") * (1 + F.col("partkey") % 3) / 4 - F.col("w")).otherwise(F.lit(0.0))
+
+    def moved(r):
+        xs = F.transform(r["xs"], lambda x: F.when(x + F.col("shift") > 180, x + F.col("shift") - 360).otherwise(x + F.col("shift")))
+        return F.struct(r["part"].alias("part"), r["hole"].alias("hole"), xs.alias("xs"), r["ys"].alias("ys"))
+
+    t = t.withColumn("shift", shift).withColumn("rings", F.transform("rings", moved))
+    t = t.withColumn("g", meridian.split(F.col("kind"), F.col("rings")))
+    rings = F.col("g.rings")
+    east = F.when(F.col("k") % 2 == 1, F.filter(rings, lambda r: F.array_max(r["xs"]) < 0)).otherwise(F.array().cast(shapes.RINGS_DDL))
+    cut = t.select(
+        "GranuleUR",
+        "shape_no",
+        F.col("g.kind").alias("kind"),
+        shapes.vertex_count(rings).cast("bigint").alias("vertices"),
+        shapes.area(F.col("g.kind"), rings).alias("area"),
+        shapes.area(F.col("g.kind"), east).alias("east_area"),
+    )
+    return inputs.rounded(cut, "area", "east_area", digits=9)
+
+
 @query(
     "geom_normalize",
     using("granule_shapes")
