@@ -520,8 +520,32 @@ def _nearly_on(points, edges, tolerance=1e-12):
 # ---- simplification ------------------------------------------------------------------------
 
 
-def simplify_points(points: np.ndarray, tolerance: float, fewest: int) -> np.ndarray:
-    """Keep the vertices that lie further than `tolerance` from the line through kept ones."""
+class Obstacles:
+    """Vertices of one geometry, which its simplified edges must not sweep over."""
+
+    def __init__(self, points: np.ndarray):
+        self.points = points[np.argsort(points[:, 0], kind="stable")]
+
+    def swept(self, chain: np.ndarray) -> bool:
+        """Some vertex that is not of the chain lies on or between the chain and its chord."""
+        low, high = chain.min(axis=0), chain.max(axis=0)
+        first, last = np.searchsorted(self.points[:, 0], [low[0], np.nextafter(high[0], np.inf)])
+        near = self.points[first:last]
+        near = near[(near[:, 1] >= low[1]) & (near[:, 1] <= high[1])]
+        near = near[~np.isin(near @ [1, 1j], chain @ [1, 1j])]
+        edges = np.column_stack([chain, np.roll(chain, -1, axis=0)])
+        for some in _blocks(len(near), len(edges)):
+            inside = _crosses_ray(near[some], edges).sum(axis=1) % 2 == 1
+            if (inside | _on_edge(near[some], edges).any(axis=1)).any():
+                return True
+        return False
+
+
+def simplify_points(points: np.ndarray, tolerance: float, fewest: int, obstacles: Obstacles | None = None) -> np.ndarray:
+    """Keep the vertices that lie further than `tolerance` from the line through kept ones.
+
+    With `obstacles`, a stretch also keeps its furthest vertex where its removal would sweep over one of them.
+    """
     count = len(points)
     if count <= fewest:
         return points
@@ -539,7 +563,7 @@ def simplify_points(points: np.ndarray, tolerance: float, fewest: int) -> np.nda
         t = np.clip(offset @ chord / size, 0, 1) if size else np.zeros(len(between))
         gap = np.hypot(*(offset - t[:, None] * chord).T)
         far = int(gap.argmax())
-        if gap[far] > tolerance:
+        if gap[far] > tolerance or (obstacles is not None and obstacles.swept(points[low : high + 1])):
             keep[low + 1 + far] = True
             spans += [(low, low + 1 + far), (low + 1 + far, high)]
     out = points[keep]
@@ -619,16 +643,23 @@ def pair_intersects(left: Column, right: Column) -> Column:
     return run(left, right)
 
 
-def simplify(kind: Column, rings: Column, tolerance: float = 0.01) -> Column:
-    """Rings with fewer vertices; a ring never falls below four, a line below two."""
+def simplify(kind: Column, rings: Column, tolerance: float = 0.01, topology: bool = True) -> Column:
+    """Rings with fewer vertices; a ring never falls below four, a line below two.
+
+    With `topology` no removed stretch sweeps over another vertex of the geometry, so valid shapes stay valid: rings
+    do not cross themselves or each other, and holes stay inside. Without it only the distance counts.
+    """
 
     @F.arrow_udf(shapes.GEOMETRY_DDL)
     def run(v: pa.Array) -> pa.Array:
         batch = Batch.from_rings(v)
-        pieces = []
+        pieces, seen, obstacles = [], None, None
         for i, row in enumerate(batch.ring_row):
             fewest = 4 if batch.kinds[row] in shapes.AREAL else 2
-            pieces.append(simplify_points(batch.xy[batch.ring_at[i] : batch.ring_at[i + 1]], tolerance, fewest))
+            if topology and row != seen:
+                first, last = np.searchsorted(batch.ring_row, [row, row + 1])
+                seen, obstacles = row, Obstacles(batch.xy[batch.ring_at[first] : batch.ring_at[last]])
+            pieces.append(simplify_points(batch.xy[batch.ring_at[i] : batch.ring_at[i + 1]], tolerance, fewest, obstacles))
         return Batch._pack(
             batch.kinds, pieces, batch.ring_row, batch.ring_part, batch.ring_hole, batch.rows
         ).to_arrow()

@@ -201,6 +201,33 @@ def geom_simplify(spark, sf_dir):
     )
 
 
+@query(
+    "geom_simplify_topology",
+    using("granules")
+    + """select GranuleUR, case when k % 2 = 0 then 10 else 6 end as before, case when k % 2 = 0 then 10 else 5 end as after,
+           5 as plain_shell from granules""",
+)
+def geom_simplify_topology(spark, sf_dir):
+    """Boxes with a flat bulge below; a hole inside every second bulge keeps it, which plain reduction takes away."""
+    x = F.col("MBRWest")
+    shell = shapes.polygon_rings([(x, 0), (x + 5, -0.008), (x + 10, 0), (x + 10, 10), (x, 10), (x, 0)])
+    hole_x, hole_y = F.array(x + 4.9, x + 5, x + 5.1, x + 4.9), F.array(*[F.lit(y) for y in (-0.002, -0.004, -0.002, -0.002)])
+    rings = F.when(F.col("k") % 2 == 0, F.concat(shell, F.array(shapes.ring(hole_x, hole_y, hole=True)))).otherwise(shell)
+    g = inputs.granules(spark, sf_dir).select("GranuleUR", F.lit("Polygon").alias("kind"), rings.alias("rings"))
+    slim = g.withColumns(
+        {
+            "slim": geometry_batch.simplify(F.col("kind"), F.col("rings"), 0.01),
+            "plain": geometry_batch.simplify(F.col("kind"), F.col("rings"), 0.01, topology=False),
+        }
+    )
+    return slim.select(
+        "GranuleUR",
+        shapes.vertex_count(F.col("rings")).alias("before"),
+        shapes.vertex_count(F.col("slim")).alias("after"),
+        F.size(F.get("plain", 0)["xs"]).alias("plain_shell"),
+    )
+
+
 _INSET = "(0.5e0 * sqrt(dx * dx / 9 + dy * dy / 9))"
 
 
