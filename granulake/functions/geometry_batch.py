@@ -57,16 +57,79 @@ class Batch:
 
     @classmethod
     def from_wkb(cls, blobs: pa.Array) -> "Batch":
-        kinds, pieces, ring_row, ring_part, ring_hole = [], [], [], [], []
-        for row, blob in enumerate(blobs.to_pylist()):
+        """Plain points, lines and polygons are read by offsets into the column's buffer, other values one by one."""
+        batch, plain = _read_plain(blobs)
+        rest = np.flatnonzero(~plain & np.asarray(blobs.is_valid()))
+        if not len(rest):
+            return batch
+        kinds, pieces, ring_row, ring_part, ring_hole = batch.kinds, [], [], [], []
+        for row, blob in zip(rest.tolist(), blobs.take(pa.array(rest)).to_pylist()):
             shape = read_wkb(blob)
-            kinds.append(shape[0] if shape else None)
+            kinds[row] = shape[0] if shape else None
             for part, hole, points in shape[1] if shape else ():
                 pieces.append(points)
                 ring_row.append(row)
                 ring_part.append(part)
                 ring_hole.append(hole)
-        return cls._pack(kinds, pieces, ring_row, ring_part, ring_hole, len(blobs))
+        other = cls._pack(kinds, pieces, ring_row, ring_part, ring_hole, len(blobs))
+        both = [np.concatenate(x) for x in zip(batch._rings(), other._rings())]
+        order = np.argsort(both[1], kind="stable")
+        sizes, ring_row, ring_part, ring_hole = (x[order] for x in both)
+        begin = (np.cumsum(both[0]) - both[0])[order]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        xy = np.concatenate([batch.xy, other.xy])[np.repeat(begin - at[:-1], sizes) + np.arange(at[-1])]
+        return cls(kinds, xy, at, ring_row, ring_part, ring_hole, len(blobs))
+
+    def _rings(self):
+        return np.diff(self.ring_at), self.ring_row, self.ring_part, self.ring_hole
+
+    def to_wkb(self) -> pa.Array:
+        """Little-endian WKB; points, lines and polygons are laid out by offsets, other kinds one by one."""
+        sizes, counts = np.diff(self.ring_at), np.bincount(self.ring_row, minlength=self.rows)
+        codes = np.array([WKB_CODES.get(k, 0) for k in self.kinds], dtype=np.int64)
+        lone = np.bincount(self.ring_row, sizes, minlength=self.rows)
+        plain = ((codes == 1) & (counts == 1) & (lone == 1)) | ((codes == 2) & (counts == 1)) | (codes == 3)
+        others = np.flatnonzero(~plain & (codes > 0))
+        written = {}
+        if len(others):
+            ends = np.searchsorted(self.ring_row, [others, others + 1])
+            for row, first, last in zip(others.tolist(), *ends.tolist()):
+                rings = [(self.ring_part[i], self.ring_hole[i], self.xy[self.ring_at[i] : self.ring_at[i + 1]]) for i in range(first, last)]
+                written[row] = write_wkb(self.kinds[row], rings)
+        areal, pointed = codes == 3, codes == 1
+        length = np.where(plain, np.where(pointed, 5, 9), 0)
+        length += np.where(plain, np.bincount(self.ring_row, 16 * sizes + 4 * areal[self.ring_row], self.rows), 0).astype(np.int64)
+        for row, value in written.items():
+            length[row] = len(value)
+        at = np.concatenate([[0], np.cumsum(length)])
+        out = np.zeros(at[-1], np.uint8)
+
+        def put(places, values, dtype):
+            if len(places):
+                raw = np.ascontiguousarray(values, dtype=dtype).view(np.uint8).reshape(len(places), -1)
+                out[places[:, None] + np.arange(raw.shape[1])] = raw
+
+        rows = np.flatnonzero(plain)
+        out[at[:-1][rows]] = 1
+        put(at[:-1][rows] + 1, codes[rows], "<u4")
+        counted = rows[~pointed[rows]]
+        put(at[:-1][counted] + 5, np.where(areal, counts, lone)[counted], "<u4")
+        ring = np.flatnonzero(plain[self.ring_row])
+        row, size = self.ring_row[ring], sizes[ring]
+        took = 16 * size + 4 * areal[row]
+        before = np.cumsum(took) - took
+        begin = before - before[np.searchsorted(row, row)] + at[:-1][row] + np.where(pointed[row], 5, 9) + 4 * areal[row]
+        put(begin[areal[row]] - 4, size[areal[row]], "<u4")
+        point = np.repeat(self.ring_at[:-1][ring] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        place = np.repeat(begin - 16 * (np.cumsum(size) - size), size) + 16 * np.arange(size.sum())
+        put(place, self.xy[point], "<f8")
+        for row, value in written.items():
+            out[at[row] : at[row + 1]] = np.frombuffer(value, np.uint8)
+        if at[-1] > 2**31 - 1:
+            raise ValueError("a batch of geometries exceeds 2 GB")
+        return pa.Array.from_buffers(
+            pa.binary(), self.rows, [_validity(codes > 0), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(out)]
+        )
 
     @classmethod
     def from_rings(cls, column: pa.StructArray) -> "Batch":
@@ -154,6 +217,72 @@ class Batch:
 # ---- WKB -----------------------------------------------------------------------------------
 
 
+def _validity(known: np.ndarray):
+    return pa.py_buffer(np.packbits(known, bitorder="little"))
+
+
+def _read_plain(blobs: pa.Array) -> tuple[Batch, np.ndarray]:
+    """Rows that are little-endian points, lines or polygons of two dimensions, and which they are; the rest is left empty.
+
+    Polygons are walked ring by ring, all rows at once, so the rounds are as many as the rings of the row with most.
+    """
+    blobs = blobs.cast(pa.large_binary())
+    rows = len(blobs)
+    _, offsets, data = blobs.buffers()
+    at = np.frombuffer(offsets, np.int64, rows + 1, 8 * blobs.offset) if rows else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    begin, end = at[:-1], at[1:]
+
+    def numbers(places):
+        return raw[places[:, None] + np.arange(4)].view("<u4")[:, 0].astype(np.int64)
+
+    some = np.flatnonzero(np.asarray(blobs.is_valid()) & (end - begin >= 9))
+    some = some[raw[begin[some]] == 1]
+    code = np.zeros(rows, np.int64)
+    code[some] = numbers(begin[some] + 1)
+    plain = (code == 1) & (end - begin == 21)
+    ring_row, ring_at, ring_size, ring_no = [np.flatnonzero(plain)], [begin[plain] + 5], [np.ones(plain.sum(), np.int64)], []
+    ring_no.append(np.zeros(plain.sum(), np.int64))
+    lines = np.flatnonzero(code == 2)
+    count = numbers(begin[lines] + 5)
+    whole = (end - begin)[lines] == 9 + 16 * count
+    plain[lines[whole]] = True
+    filled = whole & (count > 0)
+    for parts, values in zip((ring_row, ring_at, ring_size, ring_no), (lines, begin[lines] + 9, count, 0 * count)):
+        parts.append(values[filled])
+    left = np.flatnonzero(code == 3)
+    rings, place, number = numbers(begin[left] + 5), begin[left] + 9, 0
+    while len(left):
+        done = rings == number
+        plain[left[done & (place == end[left])]] = True
+        going = ~done & (place + 4 <= end[left])
+        left, rings, place = left[going], rings[going], place[going]
+        size = numbers(place)
+        fits = place + 4 + 16 * size <= end[left]
+        left, rings, place, size = left[fits], rings[fits], place[fits], size[fits]
+        for parts, values in zip((ring_row, ring_at, ring_size, ring_no), (left, place + 4, size, np.full(len(left), number))):
+            parts.append(values)
+        place, number = place + 4 + 16 * size, number + 1
+    row, start, size, number = (np.concatenate(x) for x in (ring_row, ring_at, ring_size, ring_no))
+    keep = plain[row]
+    # a point of NaN is empty
+    order = np.flatnonzero(keep)[np.lexsort((number[keep], row[keep]))]
+    row, start, size, number = row[order], start[order], size[order], number[order]
+    places = np.repeat(start - 16 * (np.cumsum(size) - size), size) + 16 * np.arange(size.sum())
+    xy = raw[places[:, None] + np.arange(16)].view("<f8").astype(float) if len(places) else np.empty((0, 2))
+    ring_at = np.concatenate([[0], np.cumsum(size)])
+    empty = np.zeros(len(row), bool)
+    single = np.flatnonzero(code[row] == 1)
+    empty[single] = np.isnan(xy[ring_at[:-1][single]]).all(axis=1)
+    if empty.any():
+        xy = xy[~np.repeat(empty, size)]
+        row, size, number = row[~empty], size[~empty], number[~empty]
+        ring_at = np.concatenate([[0], np.cumsum(size)])
+    names = np.array([None, "Point", "LineString", "Polygon"], object)
+    kinds = names[np.where(plain, code, 0)].tolist()
+    return Batch(kinds, xy, ring_at, row, np.zeros_like(row), number > 0, rows), plain
+
+
 def read_wkb(blob):
     """(kind, [(part, hole, points)]) of one WKB or EWKB value; None when it cannot be read."""
     if blob is None:
@@ -590,12 +719,7 @@ def decode_wkb(blob: Column) -> Column:
 def encode_wkb(kind: Column, rings: Column) -> Column:
     @F.arrow_udf("binary")
     def encode(v: pa.Array) -> pa.Array:
-        batch = Batch.from_rings(v)
-        rings_of = [[] for _ in range(batch.rows)]
-        for i, row in enumerate(batch.ring_row):
-            points = batch.xy[batch.ring_at[i] : batch.ring_at[i + 1]]
-            rings_of[row].append((int(batch.ring_part[i]), bool(batch.ring_hole[i]), points))
-        return pa.array([write_wkb(k, r) for k, r in zip(batch.kinds, rings_of)], pa.binary())
+        return Batch.from_rings(v).to_wkb()
 
     return encode(_geometry_struct(kind, rings))
 
