@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -24,6 +26,10 @@ def _region(w: float, s: float, e: float, n: float) -> str:
     return sides[0] if len(sides) == 1 else names[tuple(sides)]
 
 
+#: Region by the bits west, south, east, north of the sides that are reached.
+_REGIONS = [_region(-b[0], -b[1], b[2], b[3]) for b in itertools.product((0, 1), repeat=4)]
+
+
 def register_hashbin(spark: SparkSession, name: str = "hashbin_wkb") -> None:
     """`hashbin_wkb(BINARY, BIGINT) -> STRING`: the flat bin of a WKB value.
 
@@ -41,16 +47,13 @@ def register_hashbin(spark: SparkSession, name: str = "hashbin_wkb") -> None:
         np.maximum.at(high, rows, batch.xy)
         x1, x2 = _cells(low[:, 0], -180, 360, 3), _cells(high[:, 0], -180, 360, 3)
         y1, y2 = _cells(low[:, 1], -90, 180, 2), _cells(high[:, 1], -90, 180, 2)
-        middle = lambda x, y: ((x + 0.5) * 45 - 180, (y + 0.5) * 45 - 90)
-        out = []
-        for i in range(batch.rows):
-            if not np.isfinite(low[i]).all():
-                out.append(None)
-            elif x1[i] == x2[i] and y1[i] == y2[i]:
-                out.append(CHUNK_LETTERS[x1[i] * 4 + y1[i]])
-            else:
-                (w, s), (e, n) = middle(x1[i], y1[i]), middle(x2[i], y2[i])
-                out.append(_region(w, s, e, n))
-        return pa.array(out, pa.string())
+        some = np.isfinite(low).all(axis=1) & np.isfinite(high).all(axis=1)
+        # centres of the corner cells, whose sides of the axes name the region
+        w, e = (x1 + 0.5) * 45 - 180 < 0, (x2 + 0.5) * 45 - 180 > 0
+        s, n = (y1 + 0.5) * 45 - 90 < 0, (y2 + 0.5) * 45 - 90 > 0
+        letters, regions = np.array(list(CHUNK_LETTERS)), np.array(_REGIONS)
+        region = regions[w * 8 + s * 4 + e * 2 + n * 1]
+        found = np.where((x1 == x2) & (y1 == y2), letters[x1 * 4 + y1], region)
+        return pa.array(found.astype(object), pa.string(), mask=~some)
 
     spark.udf.register(name, hashbin)

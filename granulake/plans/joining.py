@@ -10,6 +10,8 @@ from granulake.plans import inputs
 from granulake.plans.inputs import using
 from granulake.plans.registry import query
 from granulake.plans.sinks import flat_bins, flat_bins_sql
+from granulake.session import scratch, shuffle_partitions
+from granulake.sinks import tables as sinks
 
 
 @query(
@@ -22,6 +24,22 @@ def join_bins(spark, sf_dir):
     return joins.join_bins(g, flat_bins(spark, sf_dir), only="All")
 
 
+@query(
+    "join_bins_bucketed",
+    using("granules", bins=flat_bins_sql())
+    + "select hashbin, count(*) as n, min(StartTime) as first_start from granules g join bins using (GranuleUR) group by 1",
+)
+def join_bins_bucketed(spark, sf_dir):
+    """Granules and their bins stored in the same buckets: the join moves no row of either table."""
+    g = inputs.granules(spark, sf_dir).select("GranuleUR", "StartTime")
+    both = []
+    for label, df in (("granules", g), ("bins", flat_bins(spark, sf_dir))):
+        path = scratch(spark, f"bucketed-{label}")
+        both.append(sinks.save_bucketed(df, sinks.table_name(path), "GranuleUR", shuffle_partitions(spark), path))
+    joined = joins.join_bins(both[0], both[1].hint("merge"))
+    return joined.groupBy("hashbin").agg(F.count(F.lit(1)).alias("n"), F.min("StartTime").alias("first_start"))
+
+
 @query(
     "update_from",
     """select o_orderkey, case when o_custkey % 3 = 0 then o_totalprice else -1 end as price from orders""",

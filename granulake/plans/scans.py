@@ -7,7 +7,7 @@ import gzip
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from granulake.functions import shapes
+from granulake.functions import geometry_batch, shapes, table_functions
 from granulake.operators import logs, ordering, search
 from granulake.plans import inputs
 from granulake.plans.inputs import using
@@ -525,3 +525,54 @@ def ords_to_rows(spark, sf_dir):
     return harvested.where(F.col("geometry").isNotNull()).groupBy("CollectionConceptId").agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("GranuleUR").alias("granules")
     )
+
+
+# ---- table functions --------------------------------------------------------------------------------
+
+
+@query(
+    "xml_table_function",
+    using("granules", forms=_ECHO10_SHAPES)
+    + """select kind, count(*) as shapes, count(distinct GranuleUR) as granules, min(StartTime) as first_start,
+           sum(vertices)::bigint as vertices from granules join forms on k % 6 = kind6 group by 1""",
+)
+def xml_table_function(spark, sf_dir):
+    """Documents to rows in plain SQL text."""
+    table_functions.register(spark)
+    rows = spark.sql(
+        "select GranuleID, StartTime, kind, geometry from xml_to_rows(table(select metadata from {landed}))",
+        landed=spark.read.parquet(landed_echo10(spark, sf_dir)),
+    )
+    decoded = rows.withColumn("g", geometry_batch.decode_wkb(F.col("geometry")))
+    return decoded.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("shapes"),
+        F.countDistinct("GranuleID").alias("granules"),
+        F.min("StartTime").alias("first_start"),
+        F.sum(shapes.vertex_count(F.col("g.rings"))).cast("bigint").alias("vertices"),
+    )
+
+
+@query(
+    "ords_table_function",
+    using("granules", forms=_ORD_SHAPES)
+    + f"""select GranuleUR, kind, vertices, round(minx, 7) as minx, round(maxy, 7) as maxy from (
+            select GranuleUR, case when kind in ('Hole', 'Rectangle') then 'Polygon' else kind end as kind, vertices,
+              case when k % 9 = 0 and code = 4 then MBREast else MBRWest end as minx,
+              case when k % 9 = 0 and code = 4 then MBRNorth when code = 4 then MBRSouth else MBRNorth end as maxy
+            from granules join forms on k % 9 = kind9 where {SHAPED_ROWS}) t""",
+)
+def ords_table_function(spark, sf_dir):
+    """Coordinate lists to rows in plain SQL text, with vertices and bounds of the geometries."""
+    table_functions.register(spark)
+    rows = spark.sql(
+        "select GranuleUR, kind, geometry from ords_to_rows(table(select GranuleUR, ords, ords_info from {hits}))",
+        hits=hits.read_hits(spark, landed_hits(spark, sf_dir)),
+    )
+    rings = F.col("g.rings")
+    return rows.withColumn("g", geometry_batch.decode_wkb(F.col("geometry"))).select(
+        "GranuleUR",
+        "kind",
+        shapes.vertex_count(rings).cast("int").alias("vertices"),
+        F.round(shapes.xmin(rings), 7).alias("minx"),
+        F.round(shapes.ymax(rings), 7).alias("maxy"),
+    )

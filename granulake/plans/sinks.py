@@ -38,21 +38,23 @@ def write_covering_bbox(spark, sf_dir):
 @query(
     "write_geo_metadata",
     using("granules")
-    + """select count(*) as rows, '1.1.0' as version, 'geometry' as primary_column, min(MBRWest) as xmin, min(MBRSouth) as ymin,
-           max(MBREast) as xmax, max(MBRNorth) as ymax, true as same from granules""",
+    + """select count(*) as rows, '1.1.0' as version, 'geometry' as primary_column, 'OGC:CRS84' as crs, min(MBRWest) as xmin,
+           min(MBRSouth) as ymin, max(MBREast) as xmax, max(MBRNorth) as ymax, true as same from granules""",
 )
 def write_geo_metadata(spark, sf_dir):
     """Files with the `geo` footer entry; the entry is read back from every footer."""
     path = scratch(spark, "geo")
     boxed = sinks.with_covering_box(inputs.granule_boxes(spark, sf_dir, wkb=True)).withColumn("kind", F.lit("Polygon"))
     sinks.write_geo(boxed, path)
-    entry = "struct<version:string,primary_column:string,columns:map<string,struct<bbox:array<double>>>>"
+    column = "struct<bbox:array<double>,crs:struct<id:struct<authority:string,code:string>>>"
+    entry = f"struct<version:string,primary_column:string,columns:map<string,{column}>>"
     geo = footers.file_schemas(spark, path).groupBy("path").agg(F.first(F.col("metadata")["geo"]).alias("geo"))
     parsed = geo.select(F.from_json("geo", entry).alias("g"), "geo")
-    box = F.col("g.columns")["geometry"]["bbox"]
+    box, crs = F.col("g.columns")["geometry"]["bbox"], F.col("g.columns")["geometry"]["crs"]["id"]
     facts = parsed.agg(
         F.min("g.version").alias("version"),
         F.min("g.primary_column").alias("primary_column"),
+        F.min(F.concat_ws(":", crs["authority"], crs["code"])).alias("crs"),
         *[F.min(F.get(box, F.lit(i))).alias(n) for i, n in enumerate(("xmin", "ymin", "xmax", "ymax"))],
         (F.min("geo") == F.max("geo")).alias("same"),
     )

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import json
 import math
-import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from contextlib import contextmanager
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granulake.functions import shapes
 from granulake.operators.layout import BOX, spread_for_write, with_tree_columns
 from granulake.session import cut
-from granulake.sources.footers import file_system
+from granulake.sinks import geo_files
+from granulake.sources.footers import file_rows, row_groups
 
 
 @contextmanager
@@ -131,6 +130,19 @@ def save_table(df: DataFrame, name: str, order_by: Sequence[str] = (), path: str
     return df.sparkSession.sql(f"DESCRIBE TABLE {name}")
 
 
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Create or replace a stored table whose rows lie in `buckets` files or groups of files by `key`, sorted in each.
+
+    Tables with the same key, type and number of buckets join and aggregate by that key without a shuffle. Rows are
+    brought together by bucket before they are written, so there is one file a bucket and not one a task and bucket.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
+    return df.sparkSession.read.table(name)
+
+
 def table_name(path: str) -> str:
     """Table name from a file name."""
     stem = path.rstrip("/").rsplit("/", 1)[-1].split(".", 1)[0]
@@ -151,9 +163,34 @@ def time_path(start: Column, end: Column) -> Column:
 # ---- geo footer ------------------------------------------------------------------------------
 
 
-def geo_metadata(primary: str, kinds: Sequence[str], box: Sequence[float], covering: bool = False) -> str:
-    """The `geo` footer entry, version 1.1.0, longitude / latitude on WGS 84 (the default CRS)."""
-    column = {"encoding": "WKB", "geometry_types": sorted(kinds), "bbox": [float(v) for v in box]}
+#: Longitude and latitude on WGS 84 as PROJJSON.
+CRS84 = {
+    "$schema": "https://proj.org/schemas/v0.7/projjson.schema.json",
+    "type": "GeographicCRS",
+    "name": "WGS 84 (CRS84)",
+    "datum": {
+        "type": "GeodeticReferenceFrame",
+        "name": "World Geodetic System 1984",
+        "ellipsoid": {"name": "WGS 84", "semi_major_axis": 6378137, "inverse_flattening": 298.257223563},
+    },
+    "coordinate_system": {
+        "subtype": "ellipsoidal",
+        "axis": [
+            {"name": "Geodetic longitude", "abbreviation": "Lon", "direction": "east", "unit": "degree"},
+            {"name": "Geodetic latitude", "abbreviation": "Lat", "direction": "north", "unit": "degree"},
+        ],
+    },
+    "id": {"authority": "OGC", "code": "CRS84"},
+}
+
+
+def geo_metadata(
+    primary: str, kinds: Sequence[str], box: Sequence[float] | None, covering: bool = False, crs: dict | None = CRS84
+) -> str:
+    """The `geo` footer entry, version 1.1.0; `crs` is PROJJSON (None: not known), `box` is left out where there is none."""
+    column = {"encoding": "WKB", "geometry_types": sorted(kinds), "crs": crs}
+    if box is not None:
+        column["bbox"] = [float(v) for v in box]
     if covering:
         column["covering"] = {"bbox": {k: ["bbox", k] for k in ("xmin", "ymin", "xmax", "ymax")}}
     return json.dumps({"version": "1.1.0", "primary_column": primary, "columns": {primary: column}})
@@ -166,41 +203,23 @@ def write_geo(
     geometry: str = "geometry",
     box: Sequence[str] = BOX,
     group_rows: int = 100_000,
+    crs: dict | None = CRS84,
+    mode: str = "append",
 ) -> DataFrame:
-    """Write one Parquet file per partition with the `geo` entry in its footer; returns (path, rows).
+    """Write one Parquet file per partition with the `geo` entry in its footer; returns (path, rows) of the folder's files.
 
-    Spark has no hook for footer entries, so tasks write with Arrow, batch by batch. The rows come
-    from a written copy, a file's name is its partition number, and a file appears under that name
-    only when complete, so a task that runs again replaces its own file with the same rows.
+    The entry holds the box of the whole table, so the rows come from a written copy whose box is known before; files
+    appear together when the job is committed (`geo_files`).
     """
+    spark = df.sparkSession
     xmin, ymin, xmax, ymax = box
     fixed = cut(df, "geo")
     facts = fixed.agg(
         F.min(xmin), F.min(ymin), F.max(xmax), F.max(ymax), F.collect_set(kind)
     ).first()  # one row; kinds are at most six names
-    covering = "bbox" in df.columns
-    entry = geo_metadata(geometry, facts[4], [v if v is not None else 0.0 for v in facts[:4]], covering)
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.parquet as pq
-        from pyspark import TaskContext
-
-        system, folder = file_system(path)
-        system.create_dir(folder, recursive=True)
-        name = f"{folder}/part-{TaskContext.get().partitionId():05d}.parquet"
-        partial = f"{folder}/_partial-{uuid.uuid4().hex}"
-        writer, rows = None, 0
-        for batch in batches:
-            if writer is None:
-                schema = batch.schema.with_metadata({**(batch.schema.metadata or {}), b"geo": entry.encode()})
-                writer = pq.ParquetWriter(partial, schema, filesystem=system, compression="snappy")
-            table = pa.Table.from_batches([batch]).cast(schema)
-            writer.write_table(table, row_group_size=group_rows)
-            rows += batch.num_rows
-        if writer is None:
-            return
-        writer.close()
-        system.move(partial, name)
-        yield pa.RecordBatch.from_pydict({"path": [name], "rows": [rows]})
-
-    return cut(fixed.drop(kind).mapInArrow(write, "path string, rows bigint"), "geo-files")
+    bounds = None if None in facts[:4] else facts[:4]
+    entry = geo_metadata(geometry, facts[4], bounds, "bbox" in df.columns, crs)
+    spark.dataSource.register(geo_files.GeoFiles)
+    out = fixed.drop(kind).write.format(geo_files.SHORT_NAME).mode(mode)
+    out.option("geo", entry).option("group_rows", str(group_rows)).save(path)
+    return file_rows(row_groups(spark, path)).select("path", "rows")

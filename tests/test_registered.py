@@ -22,7 +22,8 @@ not_any search search_shape shape_join_search shape_join_exact topk_per_part_mer
 order_check join_bins update_from set_diff suite_cross_source bin_count_summary percentile_by_group in_quantile histogram_by_type
 run_stats verify_counts distinct_on_largest describe json_fields_nested row_ids ecdf_percentile ecdf_lookup load_in_window
 time_slices_month io_stats_parse log_table category_code coverage_ratio variant_matrix suite_run suite_lifecycle
-stream_ingest_logs stream_daily_counts stream_late_rows stream_largest_shapes st_intersects_holes raster_decides search_zoned zone_choice antimeridian_rings geom_simplify_topology""".split()
+stream_ingest_logs stream_daily_counts stream_late_rows stream_largest_shapes st_intersects_holes raster_decides search_zoned zone_choice antimeridian_rings geom_simplify_topology
+xml_table_function ords_table_function xml_to_rows write_geo_metadata join_bins_bucketed""".split()
 
 CHOSEN = sorted(QUERIES) if os.environ.get("GRANULAKE_ALL") else QUICK
 
