@@ -10,4 +10,4 @@ from granulake.llm.registry import query, table
 def op3(spark, sf_dir):
     """Masked pseudo-likelihood of every document."""
     docs = table(spark, sf_dir, "documents")
-    return scoring.score(docs, scoring.fit(docs)).select("kept.doc_id", "n_words", "log_likelihood", "per_word")
+    return scoring.fit_score(docs).select("kept.doc_id", "n_words", "log_likelihood", "per_word")

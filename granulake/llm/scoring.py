@@ -6,8 +6,9 @@ a probability to each of `CLASSES` frequency classes, and inside a class a word
 corpus count. Words are counted over the whole corpus by their full 64-bit hash; the table of counts and classes stays on
 Spark, whatever its size, and meets the texts in a join: each block of texts asks for the words it holds.
 
-The network is trained in numpy on the words of at most `rows` documents chosen by the hash of their id, of at most
-`longest` characters each. Every word of every text is counted and scored.
+The network is trained on every word of every text (`train_on_spark`). The texts are dealt over `ROUNDS` rounds and, inside a
+round, over shards of about `SHARD` words; tasks train on the shards from the same weights, and the mean of what they reach
+begins the next round. Every word of every text is counted, learned and scored.
 
 Defined results: a NULL, empty or wordless text has 0 words, a sum of 0 and 0 a word; a word at an edge sees
 padding; a word that the fitted corpus does not hold counts as half a word of the last class; equal texts get equal
@@ -30,6 +31,8 @@ from pyspark.sql.types import StructField, StructType
 from granulake.llm.words import MASK_SPACE, find_words, pieces, text_offsets
 from granulake.session import cut
 
+ROUNDS = 8
+SHARD = 1 << 18  # words
 BITS = 18  # of the table in memory that `train` takes
 CLASSES = 256
 SIDE = 3
@@ -101,24 +104,34 @@ class Network:
     outer: np.ndarray  # hidden x class
     outer_start: np.ndarray
 
-    def _hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.start + self.inner[0][context[:, 0]]
+    def _hidden(self, context: list[np.ndarray]) -> np.ndarray:
+        total = self.inner[0].take(context[0], axis=0)
+        total += self.start
         for k in range(1, len(_OFFSETS)):
-            total += self.inner[k][context[:, k]]
-        return np.tanh(total)
+            total += self.inner[k].take(context[k], axis=0)
+        return np.tanh(total, out=total)
 
     def _logits(self, hidden: np.ndarray) -> np.ndarray:
-        return hidden @ self.outer + self.outer_start
+        logits = hidden @ self.outer
+        logits += self.outer_start
+        return logits
+
+    def _shifted(self, logits: np.ndarray) -> np.ndarray:
+        """Rows shifted by their maximum, in place, if float32 could not hold their exponentials otherwise: a hidden unit is
+        at most 1, so the weights bound every logit."""
+        if not (np.abs(self.outer).sum(axis=0) + np.abs(self.outer_start)).max() < 80:
+            logits -= logits.max(axis=1, keepdims=True)
+        return logits
 
     def class_scores(self, kinds: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Conditional log-probability of every word's class."""
-        context = context_of(kinds, first)
-        out = np.empty(len(kinds))
-        for at in range(0, len(kinds), 8192):
-            logits = self._logits(self._hidden(context[at : at + 8192]))
-            most = logits.max(axis=1)
-            norm = np.log(np.exp(logits - most[:, None]).sum(axis=1)) + most
-            out[at : at + 8192] = logits[np.arange(len(logits)), kinds[at : at + 8192]] - norm
+        around, place = _padded(kinds, first)
+        out, ones = np.empty(len(kinds)), np.ones(CLASSES, np.float32)
+        for at in range(0, len(kinds), 2048):
+            own = place[at : at + 2048]
+            logits = self._shifted(self._logits(self._hidden([around[own + k] for k in _OFFSETS])))
+            chosen = logits[np.arange(len(own)), around[own]]
+            out[at : at + 2048] = chosen - np.log(np.exp(logits, out=logits) @ ones)
         return out
 
 
@@ -201,7 +214,7 @@ def train_network(
     for step in range(1, steps + 1):
         rows = rng.integers(0, len(target), batch)
         c, y = context[rows], target[rows]
-        h = model._hidden(c)
+        h = model._hidden(list(c.T))
         p = model._logits(h)
         p = np.exp(p - p.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -219,6 +232,118 @@ def train_network(
     return model
 
 
+def _padded(kinds: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes with padding around every text, and the place of every word among them."""
+    place = np.arange(len(kinds)) + SIDE * (1 + np.repeat(np.arange(len(first) - 1), np.diff(first)))
+    out = np.full(len(kinds) + SIDE * len(first), CLASSES, np.int16)
+    out[place] = kinds
+    return out, place
+
+
+def _gradient(model: Network, context: list[np.ndarray], target: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Mean gradient of the words' negative log-probability, for each array of the network."""
+    rows = np.arange(len(target))
+    h = model._hidden(context)
+    p = model._shifted(model._logits(h))
+    np.exp(p, out=p)
+    p *= (1 / (len(target) * (p @ np.ones(CLASSES, np.float32))))[:, None]
+    p[rows, target] -= np.float32(1 / len(target))
+    d = (p @ model.outer.T) * (1 - h * h)
+    inner = np.zeros_like(model.inner)
+    for k, kinds in enumerate(context):
+        order = np.argsort(kinds, kind="stable")
+        begin = np.flatnonzero(np.diff(kinds[order], prepend=-1))
+        inner[k][kinds[order[begin]]] = np.add.reduceat(d.take(order, axis=0), begin, axis=0)
+    ones = np.ones(len(target), np.float32)
+    return inner, ones @ d, h.T @ p, ones @ p
+
+
+def _train_shard(model: Network, kinds: np.ndarray, first: np.ndarray, seed: int, turn: int, steps: int, batch: int, rate: float) -> None:
+    """Adam over all words of a shard in random order: one pass, or on a small shard so many that there are about `steps` steps."""
+    rng = np.random.default_rng([11, turn, seed & 0xFFFFFFFF])
+    around, place = _padded(kinds, first)
+    arrays = [model.inner, model.start, model.outer, model.outer_start]
+    moments = [(np.zeros_like(a), np.zeros_like(a)) for a in arrays]
+    a_pass = -(-len(place) // batch)
+    passes = max(1, round(steps / a_pass))
+    step = 0
+    for _ in range(passes):
+        mixed = rng.permutation(place)
+        for at in range(0, len(mixed), batch):
+            step += 1
+            own = mixed[at : at + batch]
+            grads = _gradient(model, [around[own + k] for k in _OFFSETS], around[own])
+            now = rate * (1 - (turn + step / (passes * a_pass + 1)) / ROUNDS)
+            for a, g, (m, v) in zip(arrays, grads, moments):
+                m += np.float32(0.1) * (g - m)
+                v += np.float32(0.01) * (g * g - v)
+                a -= np.float32(now / (1 - 0.9**step)) * m / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+
+
+def _packed(model: Network) -> bytes:
+    return b"".join(np.asarray(a, "<f4").tobytes() for a in (model.inner, model.start, model.outer, model.outer_start))
+
+
+def _unpacked(data: bytes) -> Network:
+    whole = np.frombuffer(data, "<f4").astype(np.float32)
+    width = len(_OFFSETS) * (CLASSES + 1) + 1 + CLASSES  # numbers for each hidden unit
+    hidden = (len(whole) - CLASSES) // width
+    shapes = [(len(_OFFSETS), CLASSES + 1, hidden), (hidden,), (hidden, CLASSES), (CLASSES,)]
+    ends = np.cumsum([np.prod(x) for x in shapes])
+    return Network(*[part.reshape(x) for part, x in zip(np.split(whole, ends[:-1]), shapes)])
+
+
+def _mean(rows: pa.Table) -> pa.Table:
+    """The mean of weights, each as often as it has words, in a fixed order."""
+    rows = rows.sort_by([("shard", "ascending")])
+    n = rows["n"].to_numpy()
+    total = sum(k * np.frombuffer(w.as_py(), "<f4").astype(float) for k, w in zip(n, rows["weights"]))
+    packed = (total / n.sum()).astype("<f4").tobytes()
+    return pa.table({"shard": rows["shard"][:1], "n": pa.array([n.sum()], pa.int64()), "weights": pa.array([packed], pa.binary())})
+
+
+def _trainer(start, turn: int, steps: int, batch: int, rate: float):
+    """A function that gives the weights which a shard reaches from the broadcast ones, and its number of words."""
+
+    def trained(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("mark", "ascending"), ("kinds", "ascending")])
+        model = _unpacked(start.value)
+        kinds, first = _kinds(rows["kinds"])
+        shard = rows["shard"][0].as_py()
+        _train_shard(model, kinds, first, shard, turn, steps, batch, rate)
+        columns = [pa.array([shard], pa.int32()), pa.array([len(kinds)], pa.int64()), pa.array([_packed(model)], pa.binary())]
+        return pa.Table.from_arrays(columns, names=["shard", "n", "weights"])
+
+    return trained
+
+
+def train_on_spark(texts: DataFrame, totals: np.ndarray, *, steps: int = 150, batch: int = 2048, rate: float = 0.015) -> Network:
+    """Network fitted to all words of `texts` (`kept`, `kinds`): a shard takes every word of its texts once, or in as many
+    passes as make about `steps` steps. A shard is one row of weights; they are averaged by tasks first, so the driver sees
+    the square root of their number.
+
+    Texts are dealt by the hash of all their columns and sorted in their shard: the result does not depend on how the rows lie.
+    """
+    spark = texts.sparkSession
+    model = train_network(np.zeros(0, np.int64), np.zeros(1, np.int64), totals)
+    every = texts.where(F.length("kinds") > 0)
+    words = every.agg(F.sum(F.length("kinds"))).first()[0] or 0
+    shards = max(1, int(words // (ROUNDS * SHARD)))
+    every = every.select(F.xxhash64("kept", "kinds").alias("mark"), "kinds")
+    every = every.withColumn("shard", F.pmod(F.xxhash64("mark"), F.lit(shards)).cast("int"))
+    parts = int(np.ceil(np.sqrt(shards)))
+    schema = "shard int, n bigint, weights binary"
+    for turn in range(ROUNDS if words else 0):
+        start = spark.sparkContext.broadcast(_packed(model))
+        own = every.where(F.pmod("mark", F.lit(ROUNDS)) == turn)
+        got = own.groupBy("shard").applyInArrow(_trainer(start, turn, steps, batch, rate), schema)
+        got = got.groupBy(F.pmod("shard", F.lit(parts)).alias("part")).applyInArrow(_mean, schema).toArrow()
+        if got.num_rows:
+            model = _unpacked(_mean(got)["weights"][0].as_py())
+        start.destroy()
+    return model
+
+
 def _blocks(batches, size: int) -> Iterator[pa.RecordBatch]:
     """Blocks of texts: a row with the different words of the block, and a row for each text with the places of its
     words among them."""
@@ -287,19 +412,26 @@ def _kinds(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.uint8), *texts]).astype(np.int64), first
 
 
-def fit(docs: DataFrame, *, rows: int = 600, longest: int = 20_000) -> Fitted:
-    """Counts over all documents and a network from a bounded sample of them."""
-    words = cut(classed_words(cut(count_words(docs), "counts")), "words")
+def _counted(docs: DataFrame, text: str) -> tuple[DataFrame, np.ndarray]:
+    """The words of all documents with their classes, and the total count of each class."""
+    words = cut(classed_words(cut(count_words(docs, text), "counts")), "words")
     totals = np.zeros(CLASSES)
     for r in words.groupBy("kind").agg(F.sum("n").alias("n")).collect():
         totals[r["kind"]] = r["n"]
     totals[CLASSES - 1] += 0.5  # for the words that are not in the table
-    some = docs.where("text is not null and doc_id is not null").where(F.length("text") <= longest)
-    hashed = some.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct()
-    chosen = hashed.orderBy("h", "doc_id").limit(rows).select("doc_id")
-    texts = some.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = classed(texts, words, totals).orderBy("kept.doc_id", "kinds").select("kinds").toArrow()["kinds"]
-    return Fitted(train_network(*_kinds(got), totals), words, totals)
+    return words, totals
+
+
+def fit(docs: DataFrame, *, rows: int | None = None) -> Fitted:
+    """Counts over all documents and a network from all of them; only on request from the `rows` with the smallest hash of the id."""
+    words, totals = _counted(docs, "text")
+    some = docs
+    if rows is not None:
+        some = docs.where("text is not null and doc_id is not null")
+        hashed = some.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct()
+        chosen = hashed.orderBy("h", "doc_id").limit(rows).select("doc_id")
+        some = some.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return Fitted(train_on_spark(cut(classed(some, words, totals), "classes"), totals), words, totals)
 
 
 def _score(batches, shared) -> Iterator[pa.RecordBatch]:
@@ -318,10 +450,20 @@ def _score(batches, shared) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["kept", "n_words", "log_likelihood", "per_word"])
 
 
-def score(docs: DataFrame, model: Fitted, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`kept` (a struct of the columns `keep`), number of words, summed log-probability, and that a word."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.network)
-    rows = classed(docs, model.words, model.totals, text=text, keep=keep)
+def _scored(rows: DataFrame, network: Network) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(network)
     added = StructType.fromDDL("n_words bigint, log_likelihood double, per_word double")
     schema = StructType([*rows.select("kept").schema, *added])
     return rows.mapInArrow(lambda b: _score(b, shared), schema)
+
+
+def score(docs: DataFrame, model: Fitted, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`kept` (a struct of the columns `keep`), number of words, summed log-probability, and that a word."""
+    return _scored(classed(docs, model.words, model.totals, text=text, keep=keep), model.network)
+
+
+def fit_score(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """What `score` gives for the documents that the model is fitted on; their classes are found once."""
+    words, totals = _counted(docs, text)
+    texts = cut(classed(docs, words, totals, text=text, keep=keep), "classes")
+    return _scored(texts, train_on_spark(texts, totals))

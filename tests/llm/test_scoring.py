@@ -85,3 +85,44 @@ def test_shares_of_a_class_are_those_of_its_words(spark, texts):
         assert list(n) == [counts[w] for w in plain.SPACE_WORDS.findall(plain.low(text))]
         expected = (np.log(n / fitted.totals[kinds]) + fitted.network.class_scores(kinds, first)).sum()
         assert abs(got[doc_id].log_likelihood - expected) < 1e-3 * max(1, len(n)) ** 0.5
+
+
+def test_the_network_learns_from_every_document(spark):
+    # long texts, and more of them than a sample of 600 short ones would hold: words follow each other in them alone
+    rows = [(i, plain.prose(i % 7, 20)) for i in range(700)] + [(1000 + i, "ping pong " * 2500) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = scoring.fit(docs)
+    got = {r.kept.doc_id: r for r in scoring.score(docs, model).collect()}
+    both = {r.kept.doc_id: r for r in scoring.fit_score(docs).collect()}
+    assert all(abs(both[i].per_word - r.per_word) < 1e-6 for i, r in got.items())
+    assert len(got) == len(rows) and got[1001].n_words == 5000
+    alone = np.log(10_000 / sum(r.n_words for r in got.values()))  # what the count of either word says
+    assert got[1001].per_word > alone / 2
+
+
+def test_how_rows_lie_does_not_change_the_network(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SHARD", 200)
+    rows = [(i, plain.prose(i, 40)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (scoring.fit(d).network for d in (docs.repartition(5), docs.orderBy(docs.doc_id.desc()).coalesce(1)))
+    assert np.allclose(a.inner, b.inner) and np.allclose(a.outer, b.outer)
+
+
+def test_gradient_is_the_slope_of_the_loss():
+    rng = np.random.default_rng(1)
+    net = scoring.train_network(np.zeros(0, np.int64), np.zeros(1, np.int64), np.ones(scoring.CLASSES))
+    first = np.array([0, 30, 30, 64])
+    kinds = rng.integers(0, scoring.CLASSES, 64)
+    around, place = scoring._padded(kinds, first)
+    context = [around[place + k] for k in scoring._OFFSETS]
+    assert (np.column_stack(context) == scoring.context_of(kinds, first)).all()
+    grads = scoring._gradient(net, context, around[place])
+    for array, grad in zip((net.inner, net.start, net.outer, net.outer_start), grads):
+        way = rng.standard_normal(array.shape).astype(np.float32)
+        at = array.copy()
+        loss = []
+        for step in (1e-2, -1e-2):
+            array[...] = at + np.float32(step) * way
+            loss.append(-net.class_scores(kinds, first).mean())
+        array[...] = at
+        assert abs((loss[0] - loss[1]) / 2e-2 - (grad * way).sum()) < 2e-2
