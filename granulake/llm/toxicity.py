@@ -9,10 +9,11 @@ A text is judged by the difference of both log-likelihoods per word, over the wh
 toxic stretch of `stretch` words, so that a long text is not excused by its length. A logistic calibration, fitted
 on scores from models that did not see the scored half, turns both into a probability.
 
-The models are fitted on at most `rows` ordinary and toxic documents (`labelled_sample`), one row an id, whole texts of any
-length. Spark counts their words and pairs (`gather`); only pairs that stay with a class, the different words and sums
-come to the driver, never a text. Every word of every text is scored, as often as it is there; only the models
-count a pair of a text once.
+The models are fitted on every labelled document, whole texts of any length. Spark counts their words and pairs
+(`count_tables`) and makes the models a table of them (`model_table`). Its rows are counted: up to `most` rows the models are
+broadcast, a larger one stays on Spark and is joined to blocks of texts, which ask for the words and pairs they hold. Every
+word of every text is scored, as often as it is there; only the models count a pair of a text once. Of rows with the
+same id every text is learned, each expression once; the calibration takes one of them.
 
 Defined results: a NULL, empty or wordless text gets the share of toxic rows among the labelled; without labels of both
 classes every text gets that share (0 without any labels); equal rows get equal scores; other columns are kept out.
@@ -20,16 +21,18 @@ classes every text gets that share (0 without any labels); equal rows get equal
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from granulake.llm.fitting import labelled_sample, logistic, sigmoid
+from granulake.llm.fitting import logistic, sigmoid
 from granulake.llm.words import MASK_ALNUM, find_words, hash_spans, kept_and_text, mix, pieces, text_offsets
 from granulake.llm.workers import give_back, let_go
 from granulake.session import cut, shuffle_partitions
@@ -112,58 +115,160 @@ class Counts:
 
 
 def _expressions(batches) -> Iterator[pa.RecordBatch]:
+    """The different expressions of the texts; `mark` has bit 2 * label + half."""
     let_go()
     for batch in batches:
-        for label in (0, 1):
-            for half in (0, 1):
-                own = (batch["label"].to_numpy() == label) & (batch["half"].to_numpy() == half)
-                for piece in pieces([batch.filter(pa.array(own))], lambda b: b["text"]):
-                    before, word, stems, _, three, _ = _pairs(piece["text"])
-                    at = np.unique(three, return_index=True)[1]
-                    columns = [x[at].view(np.int64) for x in (three, before, word, *stems)]
-                    marks = [np.full(len(at), label, np.int8), np.full(len(at), 1 << half, np.int8)]
-                    names = ["label", "halves", "three", "before", "word", *(f"stem{i}" for i in range(len(STEMS)))]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*marks, *columns)], names=names)
+        marks = 2 * batch["label"].to_numpy() + batch["half"].to_numpy()
+        for mark in range(4):
+            for piece in pieces([batch.filter(pa.array(marks == mark))], lambda b: b["text"]):
+                before, word, _, _, three, _ = _pairs(piece["text"])
+                at = np.unique(three, return_index=True)[1]
+                columns = [pa.array(x[at].view(np.int64)) for x in (before, word, three)]
+                marked = pa.array(np.full(len(at), 1 << mark, np.int8))
+                yield pa.RecordBatch.from_arrays([*columns, marked], names=["before", "word", "three", "mark"])
     give_back()
 
 
-def gather(sample: DataFrame, least: int) -> list[Counts]:
-    """Counts of the texts of half 0, of half 1 and of both; `sample` has text, label and half.
+def _forms(batches) -> Iterator[pa.RecordBatch]:
+    """The different words of the texts with their stems."""
+    let_go()
+    for piece in pieces(batches, lambda b: b["text"]):
+        found = find_words(*text_offsets(piece["text"]), MASK_ALNUM)
+        words, at = np.unique(found.hashes, return_index=True)
+        starts, ends = found.starts[at], found.ends[at]
+        stems = [hash_spans(found.data, starts, np.minimum(ends, starts + n)) for n in STEMS]
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (words, *stems)], names=["word", *_STEMS])
+    give_back()
+
 
-    A context of a pair counts once however often it is there. What comes to the driver are pairs with `least` contexts and the
-    different words of the sample.
+_STEMS = [f"stem{i}" for i in range(len(STEMS))]
+#: Counts of half 0, of half 1 and of both, toxic first in each.
+_VIEWS = [(f"a{v}", f"b{v}") for v in range(3)]
+_COLUMNS = [c for view in _VIEWS for c in view]
+
+
+def count_tables(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts of the texts; `sample` has text, label and half.
+
+    The first table has rows of four kinds: 'pair' (before, word, contexts), 'size' (before, contexts of all pairs with that word
+    before), 'types' (word, words before it), and 'rare' with 1 and 2 as `word`: how many pairs have so many contexts.
+    Its columns a0, b0 count half 0 of the toxic and the ordinary texts, a1, b1 half 1, a2, b2 both. The second has the stems of
+    every word. A context of a pair counts once however often it is there.
     """
-    stems = [f"stem{i}" for i in range(len(STEMS))]
-    ddl = "label tinyint, halves tinyint, three bigint, before bigint, word bigint, " + ", ".join(f"{s} bigint" for s in stems)
-    seen = cut(sample.select("label", "half", "text").mapInArrow(_expressions, ddl), "expressions")
-    whole = seen.groupBy("label", "before", "word", "three").agg(F.bit_or("halves").alias("halves"))
-    parts = [F.col("halves").bitwiseAND(1), F.shiftright("halves", 1).bitwiseAND(1), F.lit(1)]
-    sums = [F.sum(p.cast("bigint")).alias(f"n{v}") for v, p in enumerate(parts)]
-    pairs = cut(whole.groupBy("label", "before", "word").agg(*sums), "pairs")
-    numbers = [f"n{v}" for v in range(3)]
-    rare = pairs.groupBy("label").agg(*[F.count_if(F.col(n) == c).alias(f"{n}_{c}") for n in numbers for c in (1, 2)])
-    rare = {r["label"]: r for r in rare.collect()}
-    sizes = pairs.groupBy("label", "before").agg(*[F.sum(n).alias(f"size{v}") for v, n in enumerate(numbers)])
-    strong = pairs.where(F.col("n2") >= least).join(sizes, ["label", "before"]).toArrow()
-    kinds = [F.count_if((F.col("label") == k) & (F.col(n) > 0)).alias(f"{n}_{k}") for n in numbers for k in (0, 1)]
-    forms = seen.groupBy("word").agg(*[F.first(s).alias(s) for s in stems])
-    forms = pairs.groupBy("word").agg(*kinds).join(forms, "word").toArrow()
+    seen = sample.select("label", "half", "text").mapInArrow(_expressions, "before bigint, word bigint, three bigint, mark tinyint")
+    # one shuffle by pair, in which contexts and then pairs are counted
+    seen = seen.repartition(shuffle_partitions(sample.sparkSession), "before", "word")
+    seen = seen.groupBy("before", "word", "three").agg(F.bit_or("mark").alias("mark"))
+    bits = [bit << shift for bit in (1, 2, 3) for shift in (2, 0)]
+    counts = [F.count_if(F.col("mark").bitwiseAND(F.lit(bit)) != 0).alias(c) for c, bit in zip(_COLUMNS, bits)]
+    pairs = seen.groupBy("before", "word").agg(*counts)
+    none = F.lit(None).cast("bigint")
+    as_size = F.struct(F.lit("size").alias("kind"), F.col("before").alias("key"), *_COLUMNS)
+    as_type = F.struct(F.lit("types").alias("kind"), F.col("word").alias("key"), *[(F.col(c) > 0).cast("bigint").alias(c) for c in _COLUMNS])
+    sums = pairs.select(F.explode(F.array(as_size, as_type)).alias("x")).groupBy("x.kind", "x.key")
+    sums = sums.agg(*[F.sum(f"x.{c}").alias(c) for c in _COLUMNS])
+    size = F.col("kind") == "size"
+    sums = sums.select("kind", F.when(size, F.col("key")).alias("before"), F.when(~size, F.col("key")).alias("word"), *_COLUMNS)
+    few = pairs.agg(*[F.count_if(F.col(c) == n).alias(f"{c}_{n}") for c in _COLUMNS for n in (1, 2)])
+    few = few.select(F.explode(F.array(*[F.struct(F.lit(n).cast("bigint").alias("n"), *[F.col(f"{c}_{n}").alias(c) for c in _COLUMNS]) for n in (1, 2)])).alias("x"))
+    few = few.select(F.lit("rare").alias("kind"), none.alias("before"), F.col("x.n").alias("word"), *[F.col(f"x.{c}").alias(c) for c in _COLUMNS])
+    strong = pairs.where(F.greatest("a2", "b2") > 1).select(F.lit("pair").alias("kind"), "before", "word", *_COLUMNS)
+    forms = sample.select("text").mapInArrow(_forms, ", ".join(f"{c} bigint" for c in ("word", *_STEMS)))
+    forms = forms.groupBy("word").agg(*[F.min(c).alias(c) for c in _STEMS])
+    return cut(strong.unionByName(sums).unionByName(few), "counts"), cut(forms, "forms")
+
+
+def gather(sample: DataFrame, least: int) -> list[Counts]:
+    """What `count_tables` counts of half 0, half 1 and both, in memory, for a sample that fits there."""
+    counts, forms = count_tables(sample)
+    kind = lambda name: counts.where(F.col("kind") == name)
+    sizes = kind("size").select("before", *[F.col(c).alias(f"{c}_size") for c in _COLUMNS])
+    strong = kind("pair").where(F.greatest("a2", "b2") >= least).join(sizes, "before").toArrow()
+    types = kind("types").drop("before").join(forms, "word").orderBy(F.col("word")).toArrow()
+    rare = kind("rare").orderBy("word").toArrow()
     column = lambda table, name: table[name].to_numpy()
     key = lambda table, name: column(table, name).astype(np.int64).view(np.uint64)
-    words, order = np.unique(key(forms, "word"), return_index=True)
     out = []
-    for v, n in enumerate(numbers):
+    for view in _VIEWS:
         own = []
-        for k in (1, 0):
-            at = np.flatnonzero((column(strong, "label") == k) & (column(strong, n) >= least))
-            own.append((key(strong, "before")[at], key(strong, "word")[at], column(strong, n)[at], column(strong, f"size{v}")[at]))
-        types = [column(forms, f"{n}_{k}")[order] for k in (1, 0)]
-        some = (types[0] > 0) | (types[1] > 0)
-        few = [(rare[k][f"{n}_1"], rare[k][f"{n}_2"]) if k in rare else (0, 0) for k in (1, 0)]
-        out.append(Counts(own, few, words[some], [key(forms, s)[order][some] for s in stems], [x[some] for x in types]))
+        for c in view:
+            at = np.flatnonzero(column(strong, c) >= least)
+            own.append((key(strong, "before")[at], key(strong, "word")[at], column(strong, c)[at], column(strong, f"{c}_size")[at]))
+        few = [tuple(column(rare, c).tolist()) for c in view]
+        order = np.argsort(key(types, "word"))
+        numbers = [column(types, c)[order] for c in view]
+        some = (numbers[0] > 0) | (numbers[1] > 0)
+        out.append(Counts(own, few, key(types, "word")[order][some], [key(types, x)[order][some] for x in _STEMS], [x[some] for x in numbers]))
     return out
 
 
+def _pair_names(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = _joined(*(batch[c].to_numpy().view(np.uint64) for c in ("before", "word")))
+        yield batch.append_column("key", pa.array(keys.view(np.int64)))
+
+
+def model_table(sample: DataFrame, least: int) -> tuple[DataFrame, list[np.ndarray]]:
+    """Both class models as rows: what `Models` computes of counts in memory, for half 0, half 1 and both.
+
+    `kind` is 0 to 3 for words and their shorter and shorter stems, 4 for pairs, 5 for contexts; a0, b0 and so on are the numbers
+    of the toxic and ordinary model, NULL where the half does not have the row. Beside it the mass of unknown words.
+    """
+    counts, forms = count_tables(sample)
+    kind = lambda name: counts.where(F.col("kind") == name)
+    rare = {r["word"]: r for r in kind("rare").collect()}
+    sizes = kind("size").select("before", *[F.col(c).alias(f"{c}_size") for c in _COLUMNS])
+    pairs = kind("pair").where(F.greatest("a2", "b2") >= least).join(sizes, "before")
+    held = []
+    for view in _VIEWS:
+        for c in view:
+            part = F.when(F.col(c) >= least, (F.col(c) - _discount(rare[1][c], rare[2][c])) / F.col(f"{c}_size")).otherwise(0.0)
+            held.append(F.when(F.greatest(*view) >= least, part).alias(c))
+    pairs = cut(pairs.select("before", "word", *held), "pairs")
+    contexts = pairs.groupBy("before").agg(*[(1 - F.sum(c)).alias(c) for c in _COLUMNS]).withColumnRenamed("before", "key")
+    schema = StructType([*pairs.schema, StructField("key", LongType())])
+    rows = [pairs.mapInArrow(_pair_names, schema).select(F.lit(4).alias("kind"), "key", *_COLUMNS)]
+    rows.append(contexts.select(F.lit(5).alias("kind"), "key", *_COLUMNS))
+    # from words to the shortest stems: the number of longer forms, and the shared counts of them
+    there = [(F.col(a) > 0) | (F.col(b) > 0) for a, b in _VIEWS]
+    shared = [F.when(t, F.least(a, b) + 0.5) for t, (a, b) in zip(there, _VIEWS)]
+    level = kind("types").drop("kind", "before").join(forms, "word").withColumnRenamed("word", "key")
+    levels, scalars = [], []
+    for i in range(len(STEMS) + 1):
+        levels.append(cut(level, f"forms{i}"))
+        big = lambda c: F.when(F.col(c) >= least, F.col(c))
+        wanted = {"sum": F.sum, "once": lambda c: F.count_if(F.col(c) == 1), "twice": lambda c: F.count_if(F.col(c) == 2)}
+        wanted |= {"big": lambda c: F.coalesce(F.sum(big(c)), F.lit(0)), "bigs": lambda c: F.count(big(c))}
+        sums = [f(c).alias(f"{c}_{name}") for c in _COLUMNS for name, f in wanted.items()]
+        scalars.append(levels[-1].agg(*sums, *[F.coalesce(F.sum(x), F.lit(0.0)).alias(f"shared{v}") for v, x in enumerate(shared)]).first())
+        if i < len(STEMS):
+            up = levels[-1].groupBy(F.col(_STEMS[i]).alias("key"))
+            below = [F.sum(x).alias(f"below{v}") for v, x in enumerate(shared)]
+            level = up.agg(*[F.count_if(F.col(c) > 0).alias(c) for c in _COLUMNS], *below, *[F.min(x).alias(x) for x in _STEMS[i + 1 :]])
+    number = lambda i, c, name: scalars[i][f"{c}_{name}"] or 0
+    discount = lambda i, c: _discount(number(i, c, "once"), number(i, c, "twice"))
+    spare = lambda i, c: 1 - (number(i, c, "big") - discount(i, c) * number(i, c, "bigs")) / max(1, number(i, c, "sum"))
+    over = {c: np.cumprod([1.0, *(spare(i, c) for i in range(len(levels)))]) for c in _COLUMNS}
+    above = None
+    for i in reversed(range(len(levels))):
+        level = levels[i]
+        if above is not None:
+            level = level.join(above, level[_STEMS[i]] == above["above_key"])
+        own = []
+        for v, view in enumerate(_VIEWS):
+            for c in view:
+                kept = F.when(F.col(c) >= least, (F.col(c) - discount(i, c)) / max(1, number(i, c, "sum"))).otherwise(0.0)
+                rest = shared[v] / (scalars[i][f"shared{v}"] + 0.5) if above is None else F.col(f"above_{c}") * shared[v] / (F.col(f"above_below{v}") + 0.5)
+                own.append(F.when(there[v], kept + spare(i, c) * rest).alias(c))
+        below = [f"below{v}" for v in range(3) if i]
+        done = cut(level.select("key", *own, *below), f"level{i}")
+        rows.append(done.select(F.lit(i).alias("kind"), "key", *[(F.col(c) * float(over[c][i])).alias(c) for c in _COLUMNS]))
+        above = done.select(*[F.col(c).alias(f"above_{c}") for c in ("key", *_COLUMNS, *below)])
+    every = reduce(DataFrame.unionByName, rows)
+    every = cut(every.select("kind", "key", *[F.col(c).cast("float").alias(c) for c in _COLUMNS]), "model")
+    return every, [np.array([over[c][-1] for c in view]) for view in _VIEWS]
+
+
 class Models:
     """Both class models: P(w | v) = held(v, w) + back(v) * word(w), each for toxic and ordinary.
 
@@ -216,6 +321,20 @@ class Models:
         self.pairs = Lookup(every, np.column_stack(held), [0, 0])
         self.contexts = Lookup(contexts, np.column_stack(back), [1, 1])
 
+    @classmethod
+    def of_rows(cls, rows: pa.Table, view: int, unseen: np.ndarray) -> Models:
+        """Models of one view from rows of `model_table`, or from those of them that a block of texts asks for."""
+        kind, key = rows["kind"].to_numpy(), rows["key"].to_numpy().astype(np.int64).view(np.uint64)
+        values = np.column_stack([rows[c].to_numpy() for c in _VIEWS[view]])
+        looks = []
+        for k, default in enumerate([*[[np.nan, np.nan]] * (len(STEMS) + 1), [0, 0], [1, 1]]):
+            at = np.flatnonzero((kind == k) & ~np.isnan(values[:, 0]))
+            looks.append(Lookup(key[at], values[at], default))
+        out = cls.__new__(cls)
+        *out.forms, out.pairs, out.contexts = looks
+        out.unseen = unseen
+        return out
+
     def evidence(self, column: pa.Array, stretch: int) -> tuple[np.ndarray, np.ndarray]:
         """Per text the log-likelihood difference a word, over the text and over its most toxic stretch of
         consecutive words; and the number of its words."""
@@ -243,58 +362,115 @@ class Models:
 
 @dataclass
 class Toxicity:
+    """Fitted models: in memory, or as `rows` on Spark if they are too many; neither without labels of both classes."""
+
     models: Models | None
     weights: np.ndarray
     share: float
     stretch: int
+    rows: DataFrame | None = None
+    unseen: np.ndarray | None = None
 
     def score(self, column: pa.Array) -> np.ndarray:
         if self.models is None:
             return np.full(len(column), self.share)
-        x, size = self.models.evidence(column, self.stretch)
+        return self.rated(*self.models.evidence(column, self.stretch))
+
+    def rated(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
         return np.where(size > 0, sigmoid(x @ self.weights[:-1] + self.weights[-1]), self.share)
 
 
+def _asking(batches, text, size: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of texts: the rows, and one more with every key that they may need."""
+    for piece in pieces(batches, text, size):
+        before, word, stems, pair, _, _ = _pairs(text(piece), every=True)
+        keys = np.unique(np.concatenate([before, word, *stems, pair])).view(np.int64)
+        kept, n = piece.column("kept"), piece.num_rows
+        texts = pa.array(text(piece), pa.string())
+        # named by its texts: blocks that are equal in them ask alike, and the rows of both get the answers of either
+        name = int.from_bytes(hashlib.sha256(b"\0".join((x.as_py() or "").encode() for x in texts)).digest()[:8], "little", signed=True)
+        names = ["block", "kept", "text", "keys"]
+        yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), kept, texts, pa.nulls(n, pa.list_(pa.int64()))], names=names)
+        asked = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.array(keys))
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.nulls(1, kept.type), pa.nulls(1, pa.string()), asked], names=names)
+
+
+def joined_evidence(
+    docs: DataFrame, model: DataFrame, unseen: list[np.ndarray], views: tuple[int, ...], stretch: int, *, text: str, keep: tuple[str, ...], size: int = 8 << 20
+) -> DataFrame:
+    """`kept`, the number of words, and mean and most toxic stretch (`Models.evidence`) of each view, with the models on Spark."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text}`").alias("text"))
+    kept = StructField("kept", rows.schema["kept"].dataType)
+    sent = StructType([StructField("block", LongType()), kept, *StructType.fromDDL("text string, keys array<bigint>")])
+    blocks = cut(rows.mapInArrow(lambda b: _asking(b, lambda x: x.column("text"), size), sent), "blocks")
+    asked = blocks.where("keys is not null").select("block", F.explode("keys").alias("key"))
+    given = asked.join(model, "key").withColumnRenamed("block", "at")
+
+    def found(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        column = texts["text"].combine_chunks()
+        got = [Models.of_rows(answers, v, unseen[v]).evidence(column, stretch) for v in views]
+        columns = {"kept": texts["kept"], "size": pa.array(got[0][1], pa.int64())}
+        for v, (x, _) in zip(views, got):
+            columns |= {f"mean{v}": pa.array(x[:, 0]), f"most{v}": pa.array(x[:, 1])}
+        return pa.table(columns)
+
+    added = StructType.fromDDL(", ".join(["size bigint", *(f"mean{v} double, most{v} double" for v in views)]))
+    texts = blocks.where("keys is null").select("block", "kept", "text")
+    return texts.groupBy("block").cogroup(given.groupBy("at")).applyInArrow(found, StructType([kept, *added]))
+
+
+def _cross(batches, shared, stretch: int) -> Iterator[pa.RecordBatch]:
+    """Evidence of labelled texts, every half by the models of the other one."""
+    let_go()
+    for batch in pieces(batches, lambda b: b["text"]):
+        found = [m.evidence(batch["text"], stretch)[0] for m in shared.value]
+        own = np.where(batch["half"].to_numpy()[:, None] == 0, *found)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array(own[:, 0]), pa.array(own[:, 1])], names=["doc_id", "label", "mean", "most"])
+    give_back()
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     where: Column | None = None,
     *,
-    rows: tuple[int, int] = (6000, 1500),
     stretch: int = 12,
     least: int = 4,
+    most: int = 6 << 20,
 ) -> Toxicity:
-    """Models and calibration from the labels among the rows `where` (a condition on doc_id)."""
+    """Models and calibration from all labels among the rows `where` (a condition on doc_id). Rows without id, label or text
+    are not labelled; of several labels of an id the smallest holds."""
     spark = docs.sparkSession
     known = labels if where is None else labels.where(where)
-    rates = known.where(F.col("toxic").isin(0, 1)).agg(F.avg("toxic"), F.count("toxic")).first()
+    known = known.where(F.col("toxic").isin(0, 1))
+    rates = known.agg(F.avg("toxic"), F.count("toxic")).first()
     share = float(rates[0] or 0.0)
-    got = labelled_sample(docs, known, "toxic", rows)
-    got = got.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    known = known.where("doc_id is not null").groupBy("doc_id").agg(F.min("toxic").cast("int").alias("label"))
+    known = F.broadcast(known) if rates[1] <= 2 << 20 else known  # 16 bytes a row; texts stay where they are
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
-    sample = cut(got.select("text", "label", half.alias("half")).repartition(shuffle_partitions(spark)), "labelled")
-    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    sample = docs.select("doc_id", "text").where("text is not null").join(known, "doc_id").withColumn("half", half)
+    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.countDistinct("doc_id").alias("n")).collect()}
     if min(sizes.get(v, 0) for v in (0, 1)) < 4:
         return Toxicity(None, np.zeros(3), share, stretch)
-    *halves, both = [Models(c, least) for c in gather(sample, least)]
-    # every half is scored by the models of the other one
-    shared = spark.sparkContext.broadcast(halves[::-1])
-
-    def evidence(batches) -> Iterator[pa.RecordBatch]:
-        let_go()
-        for batch in pieces(batches, lambda b: b["text"]):
-            found = [m.evidence(batch["text"], stretch)[0] for m in shared.value]
-            own = np.where(batch["half"].to_numpy()[:, None] == 0, *found)
-            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(own[:, 0]), pa.array(own[:, 1])], names=["label", "mean", "most"])
-        give_back()
-
-    scores = sample.mapInArrow(evidence, "label int, mean double, most double").toArrow()
+    rows, unseen = model_table(sample, least)
+    small = rows.count() <= most
+    if small:
+        model = lambda v: Models.of_rows(rows.select("kind", "key", *_VIEWS[v]).where(F.col(_VIEWS[v][0]).isNotNull()).toArrow(), v, unseen[v])
+        shared = spark.sparkContext.broadcast([model(1), model(0)])
+        scores = sample.mapInArrow(lambda b: _cross(b, shared, stretch), StructType([sample.schema["doc_id"], *StructType.fromDDL("label int, mean double, most double")]))
+    else:
+        scores = joined_evidence(sample, rows, unseen, (0, 1), stretch, text="text", keep=("doc_id", "label", "half"))
+        other = lambda name: F.when(F.col("kept.half") == 0, F.col(f"{name}1")).otherwise(F.col(f"{name}0")).alias(name)
+        scores = scores.select("kept.doc_id", "kept.label", other("mean"), other("most"))
+    # one row an id
+    scores = scores.groupBy("doc_id").agg(F.min(F.struct("label", "mean", "most")).alias("x")).select("x.*").toArrow()
     scores = scores.sort_by([(c, "ascending") for c in scores.column_names])
-    shared.destroy()
+    if small:
+        shared.destroy()
     y = scores["label"].to_numpy()
     x = np.column_stack([scores["mean"].to_numpy(), scores["most"].to_numpy()])
     weight = np.where(y == 1, share / (y == 1).mean(), (1 - share) / (y == 0).mean())
-    return Toxicity(both, logistic(x, y, weight), share, stretch)
+    return Toxicity(model(2) if small else None, logistic(x, y, weight), share, stretch, None if small else rows, unseen[2])
 
 
 def _score(batches, model: Toxicity, text) -> Iterator[pa.RecordBatch]:
@@ -305,11 +481,21 @@ def _score(batches, model: Toxicity, text) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def _rate(batches, model: Toxicity) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = np.column_stack([batch["mean2"].to_numpy(), batch["most2"].to_numpy()])
+        yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(model.rated(x, batch["size"].to_numpy()))], names=["kept", "score"])
+
+
 def score(docs: DataFrame, model: Toxicity, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` and `score`, the probability that the text is toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     rows, column = kept_and_text(docs, keep, text)
     schema = StructType([rows.schema["kept"], StructField("score", DoubleType())])
+    if model.rows is not None:
+        found = joined_evidence(docs, model.rows, [model.unseen] * 3, (2,), model.stretch, text=text, keep=keep)
+        alone = replace(model, rows=None)
+        return found.mapInArrow(lambda b: _rate(b, alone), schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     return rows.mapInArrow(lambda b: _score(b, shared.value, column), schema)
 
 

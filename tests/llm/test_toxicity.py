@@ -126,3 +126,38 @@ def test_every_word_of_a_text_counts_as_often_as_it_is_there(spark):
     sums = np.concatenate([[0.0], alone[:, 0] * np.arange(1, 221)])
     runs = (sums[12:] - sums[:-12]) / 12
     assert abs(alone[-1, 1] - runs.max()) < 1e-6
+
+
+def test_every_labelled_document_is_learned(spark):
+    # 9000 ordinary and 1800 toxic texts; a word of four toxic ones with ids anywhere among them is known
+    rows = [(i, f"{plain.prose(i % 50, 6)} {'vile rotten' if i % 6 == 0 else 'fine'} mark{i}", int(i % 6 == 0)) for i in range(10_800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    found = toxicity.find_words(*toxicity.text_offsets(pa.array([" ".join(f"mark{i}" for i in range(10_800))])), toxicity.MASK_ALNUM)
+    assert np.isin(found.hashes, model.models.forms[0].keys).all()
+
+
+def test_models_on_spark_are_those_in_memory(spark, odd):
+    docs = corpus(spark, 120)
+    texts, labels = docs.select("doc_id", "text"), docs.select("doc_id", "toxic").where("doc_id % 3 <> 0")
+    small, large = (toxicity.fit(texts, labels, most=most) for most in (1 << 20, 0))
+    assert small.models is not None and large.models is None and large.rows is not None
+    assert np.allclose(small.weights, large.weights, rtol=1e-4)
+    for some in (texts, odd.select("doc_id", "text"), texts.union(texts)):
+        one, two = (sorted((r.doc_id or -1, round(r.score, 4)) for r in toxicity.scored(some, m).collect()) for m in (small, large))
+        assert len(one) == some.count() and np.allclose(one, two, atol=2e-4)
+    kept = toxicity.drop_toxic(docs, large)
+    assert kept.columns == docs.columns and kept.count() == toxicity.drop_toxic(docs, small).count()
+
+
+def test_the_table_of_the_models_is_what_counts_in_memory_give(spark):
+    parts = [pa.array([plain.prose(i, 300) + bad for i in range(s, s + 20)]) for s, bad in ((0, " vile rotten" * 3), (100, ""))]
+    rows = [(t, label, i % 2) for label, part in zip((1, 0), parts) for i, t in enumerate(part.to_pylist())]
+    sample = spark.createDataFrame(rows, "text string, label int, half int")
+    table, unseen = toxicity.model_table(sample, 2)
+    table = table.toArrow()
+    for v, counts in enumerate(toxicity.gather(sample, 2)):
+        here, there = toxicity.Models(counts, 2), toxicity.Models.of_rows(table, v, unseen[v])
+        assert np.allclose(here.unseen, there.unseen)
+        for a, b in zip((*here.forms, here.pairs, here.contexts), (*there.forms, there.pairs, there.contexts)):
+            assert (a.keys == b.keys).all() and np.allclose(a.rows, b.rows, rtol=1e-4, equal_nan=True)
