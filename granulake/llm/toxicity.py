@@ -22,6 +22,7 @@ classes every text gets that share (0 without any labels); equal rows get equal
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from granulake.llm.fitting import logistic, sigmoid
-from granulake.llm.words import MASK_ALNUM, find_words, hash_spans, kept_and_text, mix, pieces, text_offsets
+from granulake.llm.words import MASK_ALNUM, Words, find_words, first_bytes, hash_spans, kept_and_text, mix, pieces, text_offsets
 from granulake.llm.workers import give_back, let_go
 from granulake.session import cut, shuffle_partitions
 
@@ -41,29 +42,22 @@ STEMS = (7, 5, 4)  # bytes
 _BEGIN = np.uint64(0x5BD1E9955BD1E995)
 
 
-def _pairs(column: pa.Array, every: bool = False) -> tuple[np.ndarray, ...]:
-    """The different word pairs of each text in order (or, with `every`, the pair at each word): the word before (a mark
-    at the beginning of a text), the word, its stems, the hash of both words, the hash of the three words that end
-    there, and where each text begins."""
+def _read(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words of the texts, for each the one before it (a mark at the beginning of a text), and the first word of each
+    text that has one."""
     found = find_words(*text_offsets(column), MASK_ALNUM)
-    words, first = found.hashes, found.first
+    begins = found.first[:-1][np.diff(found.first) > 0]
+    before = np.empty_like(found.hashes)
+    before[1:] = found.hashes[:-1]
+    before[begins] = _BEGIN
+    return found, before, begins
+
+
+def _pairs(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """The pair at each word: the word before, the word, its stems, the hash of both words, and where each text begins."""
+    found, before, _ = _read(column)
     stems = [hash_spans(found.data, found.starts, np.minimum(found.ends, found.starts + n)) for n in STEMS]
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    before[first[:-1][np.diff(first) > 0]] = _BEGIN
-    text = np.repeat(np.arange(len(column)), np.diff(first))
-    pair = _joined(before, words)
-    with np.errstate(over="ignore"):
-        three = pair.copy()  # at the beginning of a text the pair itself
-        three[1:] = mix(pair[:-1] * np.uint64(0xA0761D6478BD642F) ^ pair[1:])
-        begins = first[:-1][np.diff(first) > 0]
-        three[begins] = pair[begins]
-        if every:
-            return before, words, stems, pair, three, first
-        at = np.unique(mix(pair + text.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), return_index=True)[1]
-    at.sort()
-    begin = np.searchsorted(text[at], np.arange(len(column) + 1))
-    return before[at], words[at], [x[at] for x in stems], pair[at], three[at], begin
+    return before, found.hashes, stems, _joined(before, found.hashes), found.first
 
 
 def _joined(before: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -114,77 +108,213 @@ class Counts:
     types: list[np.ndarray]
 
 
-def _expressions(batches) -> Iterator[pa.RecordBatch]:
-    """The different expressions of the texts; `mark` has bit 2 * label + half."""
+_STEMS = [f"stem{i}" for i in range(len(STEMS))]
+#: Counts of half 0, of half 1 and of both, toxic first in each.
+_VIEWS = [(f"a{v}", f"b{v}") for v in range(3)]
+_COLUMNS = [c for view in _VIEWS for c in view]
+_BLOCK = 4 << 20  # bytes of text that are packed together
+_COUNTED = pa.schema([("kind", pa.string()), *[(c, pa.int64()) for c in ("before", "word", "head", *_COLUMNS)]])
+
+
+@dataclass
+class Codebook:
+    """Short numbers of frequent words, by their rank: no word, the mark of a beginning, then the words. Any other
+    word is sent by its hash, so the choice of words only changes how much is sent."""
+
+    names: np.ndarray
+    heads: np.ndarray
+
+    def __post_init__(self):
+        self.order = np.argsort(self.names)
+        self.ranked = self.names[self.order]
+
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        """The numbers of the words, -1 for those without one."""
+        at = np.minimum(np.searchsorted(self.ranked, words), len(self.ranked) - 1)
+        return np.where(self.ranked[at] == words, self.order[at], -1)
+
+
+def _frequent(batches) -> Iterator[pa.RecordBatch]:
+    """The words that a block of texts has four times or more, and as word 0 the number of all its words."""
     let_go()
-    for batch in batches:
-        marks = 2 * batch["label"].to_numpy() + batch["half"].to_numpy()
-        for mark in range(4):
-            for piece in pieces([batch.filter(pa.array(marks == mark))], lambda b: b["text"]):
-                before, word, _, _, three, _ = _pairs(piece["text"])
-                at = np.unique(three, return_index=True)[1]
-                columns = [pa.array(x[at].view(np.int64)) for x in (before, word, three)]
-                marked = pa.array(np.full(len(at), 1 << mark, np.int8))
-                yield pa.RecordBatch.from_arrays([*columns, marked], names=["before", "word", "three", "mark"])
+    for piece in pieces(batches, "text", _BLOCK):
+        found = find_words(*text_offsets(piece["text"]), MASK_ALNUM)
+        words, at, n = np.unique(found.hashes, return_index=True, return_counts=True)
+        often = n >= 4
+        heads = first_bytes(found.data, found.starts[at[often]], found.ends[at[often]], STEMS[0])
+        columns = [np.append(np.uint64(0), x).view(np.int64) for x in (words[often], heads)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, np.append(n.sum(), n[often]))], names=["word", "head", "n"])
     give_back()
 
 
-def _forms(batches) -> Iterator[pa.RecordBatch]:
-    """The different words of the texts with their stems."""
+def codebook(sample: DataFrame, most: int = 1 << 17) -> tuple[Codebook, int]:
+    """Numbers for at most `most` frequent words, and how many words all texts have."""
+    found = sample.select("text").mapInArrow(_frequent, "word bigint, head bigint, n bigint")
+    found = found.groupBy("word").agg(F.min("head").alias("head"), F.sum("n").alias("n"))
+    found = found.orderBy(F.desc("n"), "word").limit(most + 1).toArrow()
+    words, heads = (found[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("word", "head"))
+    some = words != 0
+    fixed = np.array([0, _BEGIN], np.uint64)
+    return Codebook(np.append(fixed, words[some]), np.append(np.zeros(2, np.uint64), heads[some])), int(found["n"].to_numpy()[~some].sum())
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
+
+def _expressions(batches, shared, side: int) -> Iterator[pa.RecordBatch]:
+    """The different expressions (a word, the one before it and the one before that) of blocks of texts, packed by
+    part: the word before chooses one of `side` rows of a grid, the word one of its columns, so that the sums of a word come from
+    `side` parts only. `codes` are the numbers of the three words and a mark, byte by byte; `words` and `heads` name
+    words without a number. The mark has bit 2 * label + half."""
     let_go()
-    for piece in pieces(batches, lambda b: b["text"]):
-        found = find_words(*text_offsets(piece["text"]), MASK_ALNUM)
-        words, at = np.unique(found.hashes, return_index=True)
-        starts, ends = found.starts[at], found.ends[at]
-        stems = [hash_spans(found.data, starts, np.minimum(ends, starts + n)) for n in STEMS]
-        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (words, *stems)], names=["word", *_STEMS])
+    book, side = shared.value, np.uint64(side)
+    known = len(book.names)
+    for piece in pieces(batches, "text", _BLOCK):
+        found, before, begins = _read(piece["text"])
+        word = found.hashes
+        ahead = np.empty_like(before)
+        ahead[1:] = before[:-1]
+        ahead[begins] = 0
+        text = np.repeat(np.arange(piece.num_rows), np.diff(found.first))
+        pair = _joined(before, word)
+        # a text's pair counts once, with its first context
+        at = np.unique(_joined(text.astype(np.uint64), pair), return_index=True)[1]
+        mark = (1 << (2 * piece["label"].to_numpy() + piece["half"].to_numpy())).astype(np.uint8)[text[at]]
+        three = _joined(ahead[at], pair[at])
+        order = np.argsort(three)
+        first = _runs(three[order])
+        mark = np.bitwise_or.reduceat(mark[order], first) if len(first) else mark
+        at = at[order][first]
+        # numbers of the block's words: those of the book, then others
+        own, there = np.unique(word, return_index=True)
+        heads = first_bytes(found.data, found.starts[there], found.ends[there], STEMS[0])
+        number = book(own)
+        new = number < 0
+        number[new] = known + np.arange(new.sum())
+        own, heads, names = own[new], heads[new], own
+        code = lambda x: number[np.minimum(np.searchsorted(names, x), max(len(names) - 1, 0))]  # noqa: E731, B023
+        codes = [np.where((x == 0) | (x == _BEGIN), (x == _BEGIN).astype(np.int64), code(x)) for x in (before[at], word[at], ahead[at])]
+        part = (mix(before[at]) % side * side + mix(word[at]) % side).astype(np.int64)
+        order = np.lexsort((*codes[::-1], part))
+        edges = np.searchsorted(part[order], np.arange(int(side) ** 2 + 1))
+        out = {c: [] for c in ("part", "n", "codes", "words", "heads")}
+        for p in np.flatnonzero(np.diff(edges)):
+            here = order[edges[p] : edges[p + 1]]
+            sent = np.concatenate([x[here] for x in codes])
+            others = np.unique(sent[sent >= known])
+            sent = np.where(sent >= known, known + np.searchsorted(others, sent), sent).reshape(3, -1)
+            sent[0, 1:] = np.diff(sent[0])
+            # a block has less than 2^24 words
+            planes = [*sent.astype("<u4")[:, :, None].view(np.uint8)[:, :, :3].transpose(0, 2, 1).reshape(9, -1), mark[here]]
+            out["part"].append(p)
+            out["n"].append(len(here))
+            out["codes"].append([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in planes])
+            out["words"].append(own[others - known].tobytes())
+            out["heads"].append(pa.compress(heads[others - known].tobytes(), codec="zstd", asbytes=True))
+        types = (pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), types)], names=list(out))
     give_back()
 
 
-_STEMS = [f"stem{i}" for i in range(len(STEMS))]
-#: Counts of half 0, of half 1 and of both, toxic first in each.
-_VIEWS = [(f"a{v}", f"b{v}") for v in range(3)]
-_COLUMNS = [c for view in _VIEWS for c in view]
+def _unpacked(rows: pa.Table, book: Codebook) -> tuple[np.ndarray, ...]:
+    """Word before, word, the one before both, head of the word and mark of every expression that was sent."""
+    out = []
+    for row in rows.to_batches():
+        for n, planes, words, heads in zip(*[row[c].to_pylist() for c in ("n", "codes", "words", "heads")]):
+            planes = np.stack([np.frombuffer(pa.decompress(x, n, codec="zstd", asbytes=True), np.uint8) for x in planes])
+            numbers = (planes[:9].reshape(3, 3, n).astype(np.int64) << np.array([0, 8, 16])[:, None]).sum(axis=1)
+            numbers[0] = np.cumsum(np.append(numbers[0, :1], numbers[0, 1:]))
+            names = np.append(book.names, np.frombuffer(words, np.uint64))
+            heads = np.append(book.heads, np.frombuffer(pa.decompress(heads, len(words), codec="zstd", asbytes=True), np.uint64))
+            out.append((*names[numbers], heads[numbers[1]], planes[9]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _counted(rows: pa.Table, shared, least: int) -> pa.Table:
+    """The rows of `count_tables` that one part of the grid gives."""
+    let_go()
+    before, word, ahead, head, mark = _unpacked(rows, shared.value)
+    order = np.lexsort((ahead, word, before))
+    before, word, ahead, head, mark = (x[order] for x in (before, word, ahead, head, mark))
+    # contexts, then pairs
+    at = _runs(before, word, ahead)
+    mark = np.bitwise_or.reduceat(mark, at)
+    before, word, head = before[at], word[at], head[at]
+    bits = [bit << shift for bit in (1, 2, 3) for shift in (2, 0)]
+    at = _runs(before, word)
+    counts = np.add.reduceat(np.column_stack([mark & bit != 0 for bit in bits]).astype(np.int64), at)
+    before, word, head = before[at], word[at], head[at]
+    out = []
+
+    def put(kind: str, counts: np.ndarray, **columns):
+        arrays = [columns[c].view(np.int64) if c in columns else None for c in ("before", "word", "head")]
+        arrays = [pa.nulls(len(counts), pa.int64()) if x is None else pa.array(x) for x in arrays]
+        out.append(pa.Table.from_arrays([pa.array([kind] * len(counts), pa.string()), *arrays, *map(pa.array, counts.T.copy())], schema=_COUNTED))
+
+    some = counts[:, -2:].max(axis=1) >= least
+    put("pair", counts[some], before=before[some], word=word[some])
+    at = _runs(before)
+    put("size", np.add.reduceat(counts, at), before=before[at])
+    order = np.argsort(word, kind="stable")
+    at = _runs(word[order])
+    put("types", np.add.reduceat((counts > 0)[order].astype(np.int64), at), word=word[order][at], head=head[order][at])
+    put("rare", np.stack([(counts == n).sum(axis=0) for n in (1, 2)]), word=np.array([1, 2]))
+    give_back()
+    return pa.concat_tables(out)
 
 
-def count_tables(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
+def count_tables(sample: DataFrame, least: int) -> DataFrame:
     """Counts of the texts; `sample` has text, label and half.
 
-    The first table has rows of four kinds: 'pair' (before, word, contexts), 'size' (before, contexts of all pairs with that word
-    before), 'types' (word, words before it), and 'rare' with 1 and 2 as `word`: how many pairs have so many contexts.
-    Its columns a0, b0 count half 0 of the toxic and the ordinary texts, a1, b1 half 1, a2, b2 both. The second has the stems of
-    every word. A context of a pair counts once however often it is there.
+    Rows of four kinds: 'pair' (before, word, contexts) for pairs in at least `least` contexts, 'size' (before, contexts of all
+    pairs with that word before), 'types' (word, its first bytes, words before it), and 'rare' with 1 and 2 as `word`: how many
+    pairs have so many contexts. The columns a0, b0 count half 0 of the toxic and the ordinary texts, a1, b1 half 1, a2, b2 both.
+    A context of a pair counts once however often it is there.
     """
-    seen = sample.select("label", "half", "text").mapInArrow(_expressions, "before bigint, word bigint, three bigint, mark tinyint")
-    # one shuffle by pair, in which contexts and then pairs are counted
-    seen = seen.repartition(shuffle_partitions(sample.sparkSession), "before", "word")
-    seen = seen.groupBy("before", "word", "three").agg(F.bit_or("mark").alias("mark"))
-    bits = [bit << shift for bit in (1, 2, 3) for shift in (2, 0)]
-    counts = [F.count_if(F.col("mark").bitwiseAND(F.lit(bit)) != 0).alias(c) for c, bit in zip(_COLUMNS, bits)]
-    pairs = seen.groupBy("before", "word").agg(*counts)
-    none = F.lit(None).cast("bigint")
-    as_size = F.struct(F.lit("size").alias("kind"), F.col("before").alias("key"), *_COLUMNS)
-    as_type = F.struct(F.lit("types").alias("kind"), F.col("word").alias("key"), *[(F.col(c) > 0).cast("bigint").alias(c) for c in _COLUMNS])
-    sums = pairs.select(F.explode(F.array(as_size, as_type)).alias("x")).groupBy("x.kind", "x.key")
-    sums = sums.agg(*[F.sum(f"x.{c}").alias(c) for c in _COLUMNS])
-    size = F.col("kind") == "size"
-    sums = sums.select("kind", F.when(size, F.col("key")).alias("before"), F.when(~size, F.col("key")).alias("word"), *_COLUMNS)
-    few = pairs.agg(*[F.count_if(F.col(c) == n).alias(f"{c}_{n}") for c in _COLUMNS for n in (1, 2)])
-    few = few.select(F.explode(F.array(*[F.struct(F.lit(n).cast("bigint").alias("n"), *[F.col(f"{c}_{n}").alias(c) for c in _COLUMNS]) for n in (1, 2)])).alias("x"))
-    few = few.select(F.lit("rare").alias("kind"), none.alias("before"), F.col("x.n").alias("word"), *[F.col(f"x.{c}").alias(c) for c in _COLUMNS])
-    strong = pairs.where(F.greatest("a2", "b2") > 1).select(F.lit("pair").alias("kind"), "before", "word", *_COLUMNS)
-    forms = sample.select("text").mapInArrow(_forms, ", ".join(f"{c} bigint" for c in ("word", *_STEMS)))
-    forms = forms.groupBy("word").agg(*[F.min(c).alias(c) for c in _STEMS])
-    return cut(strong.unionByName(sums).unionByName(few), "counts"), cut(forms, "forms")
+    spark = sample.sparkSession
+    sample = sample.select("label", "half", "text")
+    book, words = codebook(sample)
+    shared = spark.sparkContext.broadcast(book)
+    # every expression is sent once, packed, to the part of its pair; a part has about 2^20 of them at most
+    side = math.isqrt(max(shuffle_partitions(spark), words >> 20) - 1) + 1
+    sent = sample.mapInArrow(lambda b: _expressions(b, shared, side), "part int, n int, codes array<binary>, words binary, heads binary")
+    schema = "kind string, " + ", ".join(f"{c} bigint" for c in _COUNTED.names[1:])
+    counts = sent.groupBy("part").applyInArrow(lambda rows: _counted(rows, shared, least), schema)
+    sums = [F.sum(c).alias(c) for c in _COLUMNS]
+    out = cut(counts.groupBy("kind", "before", "word").agg(F.min("head").alias("head"), *sums), "counts")
+    shared.destroy()
+    return out
+
+
+def _add_stems(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        heads = batch["head"].to_numpy().astype("<u8")
+        starts, sizes = np.arange(len(heads)) * 8, (heads >> np.uint64(56)).astype(np.int64)
+        stems = [hash_spans(heads.view(np.uint8), starts, starts + np.minimum(sizes, n)) for n in STEMS]
+        kept = [c for c in batch.schema.names if c != "head"]
+        arrays = [*[batch[c] for c in kept], *[pa.array(x.view(np.int64)) for x in stems]]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *_STEMS])
+
+
+def word_types(counts: DataFrame) -> DataFrame:
+    """Every word with its counts and stems."""
+    types = counts.where(F.col("kind") == "types").select("word", "head", *_COLUMNS)
+    return types.mapInArrow(_add_stems, ", ".join(f"{c} bigint" for c in ("word", *_COLUMNS, *_STEMS)))
 
 
 def gather(sample: DataFrame, least: int) -> list[Counts]:
     """What `count_tables` counts of half 0, half 1 and both, in memory, for a sample that fits there."""
-    counts, forms = count_tables(sample)
+    counts = count_tables(sample, least)
     kind = lambda name: counts.where(F.col("kind") == name)
     sizes = kind("size").select("before", *[F.col(c).alias(f"{c}_size") for c in _COLUMNS])
-    strong = kind("pair").where(F.greatest("a2", "b2") >= least).join(sizes, "before").toArrow()
-    types = kind("types").drop("before").join(forms, "word").orderBy(F.col("word")).toArrow()
+    strong = kind("pair").join(sizes, "before").toArrow()
+    types = word_types(counts).toArrow()
     rare = kind("rare").orderBy("word").toArrow()
     column = lambda table, name: table[name].to_numpy()
     key = lambda table, name: column(table, name).astype(np.int64).view(np.uint64)
@@ -214,28 +344,27 @@ def model_table(sample: DataFrame, least: int) -> tuple[DataFrame, list[np.ndarr
     `kind` is 0 to 3 for words and their shorter and shorter stems, 4 for pairs, 5 for contexts; a0, b0 and so on are the numbers
     of the toxic and ordinary model, NULL where the half does not have the row. Beside it the mass of unknown words.
     """
-    counts, forms = count_tables(sample)
+    counts = count_tables(sample, least)
     kind = lambda name: counts.where(F.col("kind") == name)
     rare = {r["word"]: r for r in kind("rare").collect()}
     sizes = kind("size").select("before", *[F.col(c).alias(f"{c}_size") for c in _COLUMNS])
-    pairs = kind("pair").where(F.greatest("a2", "b2") >= least).join(sizes, "before")
+    pairs = kind("pair").join(sizes, "before")
     held = []
     for view in _VIEWS:
         for c in view:
             part = F.when(F.col(c) >= least, (F.col(c) - _discount(rare[1][c], rare[2][c])) / F.col(f"{c}_size")).otherwise(0.0)
             held.append(F.when(F.greatest(*view) >= least, part).alias(c))
-    pairs = cut(pairs.select("before", "word", *held), "pairs")
-    contexts = pairs.groupBy("before").agg(*[(1 - F.sum(c)).alias(c) for c in _COLUMNS]).withColumnRenamed("before", "key")
-    schema = StructType([*pairs.schema, StructField("key", LongType())])
-    rows = [pairs.mapInArrow(_pair_names, schema).select(F.lit(4).alias("kind"), "key", *_COLUMNS)]
-    rows.append(contexts.select(F.lit(5).alias("kind"), "key", *_COLUMNS))
+    pairs = pairs.select("before", "word", *held)
+    pairs = cut(pairs.mapInArrow(_pair_names, StructType([*pairs.schema, StructField("key", LongType())])).drop("word"), "pairs")
+    contexts = pairs.groupBy(F.col("before").alias("key")).agg(*[(1 - F.sum(c)).alias(c) for c in _COLUMNS])
+    rows = [x.select(F.lit(k).alias("kind"), "key", *_COLUMNS) for k, x in ((4, pairs), (5, cut(contexts, "contexts")))]
     # from words to the shortest stems: the number of longer forms, and the shared counts of them
     there = [(F.col(a) > 0) | (F.col(b) > 0) for a, b in _VIEWS]
     shared = [F.when(t, F.least(a, b) + 0.5) for t, (a, b) in zip(there, _VIEWS)]
-    level = kind("types").drop("kind", "before").join(forms, "word").withColumnRenamed("word", "key")
+    level = word_types(counts).withColumnRenamed("word", "key")
     levels, scalars = [], []
     for i in range(len(STEMS) + 1):
-        levels.append(cut(level, f"forms{i}"))
+        levels.append(cut(level, f"forms{i}") if i else level)
         big = lambda c: F.when(F.col(c) >= least, F.col(c))
         wanted = {"sum": F.sum, "once": lambda c: F.count_if(F.col(c) == 1), "twice": lambda c: F.count_if(F.col(c) == 2)}
         wanted |= {"big": lambda c: F.coalesce(F.sum(big(c)), F.lit(0)), "bigs": lambda c: F.count(big(c))}
@@ -261,11 +390,14 @@ def model_table(sample: DataFrame, least: int) -> tuple[DataFrame, list[np.ndarr
                 rest = shared[v] / (scalars[i][f"shared{v}"] + 0.5) if above is None else F.col(f"above_{c}") * shared[v] / (F.col(f"above_below{v}") + 0.5)
                 own.append(F.when(there[v], kept + spare(i, c) * rest).alias(c))
         below = [f"below{v}" for v in range(3) if i]
-        done = cut(level.select("key", *own, *below), f"level{i}")
-        rows.append(done.select(F.lit(i).alias("kind"), "key", *[(F.col(c) * float(over[c][i])).alias(c) for c in _COLUMNS]))
-        above = done.select(*[F.col(c).alias(f"above_{c}") for c in ("key", *_COLUMNS, *below)])
-    every = reduce(DataFrame.unionByName, rows)
-    every = cut(every.select("kind", "key", *[F.col(c).cast("float").alias(c) for c in _COLUMNS]), "model")
+        done = level.select("key", *own, *below)
+        if i:
+            done = cut(done, f"level{i}")
+            above = done.select(*[F.col(c).alias(f"above_{c}") for c in ("key", *_COLUMNS, *below)])
+        done = done.select(F.lit(i).alias("kind"), "key", *[(F.col(c) * float(over[c][i])).cast("float").alias(c) for c in _COLUMNS])
+        rows.append(done if i else cut(done, "level0"))
+    # the tables as they are written; no copy of them all
+    every = reduce(DataFrame.unionByName, [x.select("kind", "key", *[F.col(c).cast("float").alias(c) for c in _COLUMNS]) for x in rows])
     return every, [np.array([over[c][-1] for c in view]) for view in _VIEWS]
 
 
@@ -338,7 +470,7 @@ class Models:
     def evidence(self, column: pa.Array, stretch: int) -> tuple[np.ndarray, np.ndarray]:
         """Per text the log-likelihood difference a word, over the text and over its most toxic stretch of
         consecutive words; and the number of its words."""
-        before, word, stems, pair, _, first = _pairs(column, every=True)
+        before, word, stems, pair, first = _pairs(column)
         alone = np.full((len(word), 2), np.nan)
         for keys, form in zip(self.forms, (word, *stems)):
             new = np.flatnonzero(np.isnan(alone[:, 0]))
@@ -383,7 +515,7 @@ class Toxicity:
 def _asking(batches, text, size: int) -> Iterator[pa.RecordBatch]:
     """Blocks of texts: the rows, and one more with every key that they may need."""
     for piece in pieces(batches, text, size):
-        before, word, stems, pair, _, _ = _pairs(text(piece), every=True)
+        before, word, stems, pair, _ = _pairs(text(piece))
         keys = np.unique(np.concatenate([before, word, *stems, pair])).view(np.int64)
         kept, n = piece.column("kept"), piece.num_rows
         texts = pa.array(text(piece), pa.string())

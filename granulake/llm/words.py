@@ -119,6 +119,14 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return hashes
 
 
+def first_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """The first n bytes of spans, 7 at most, as numbers whose highest byte says how many there are."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    size = np.minimum(ends - starts, n)
+    return eights[starts] & _TAIL[size] | size.astype(np.uint64) << np.uint64(56)
+
+
 def chained(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n values from each position on; the array is n - 1 shorter."""
     count = max(0, len(hashes) - n + 1)

@@ -161,3 +161,35 @@ def test_the_table_of_the_models_is_what_counts_in_memory_give(spark):
         assert np.allclose(here.unseen, there.unseen)
         for a, b in zip((*here.forms, here.pairs, here.contexts), (*there.forms, there.pairs, there.contexts)):
             assert (a.keys == b.keys).all() and np.allclose(a.rows, b.rows, rtol=1e-4, equal_nan=True)
+
+
+def test_expressions_are_sent_packed_and_come_back_whole():
+    # half of the words have a number in the book, the others (and the marks of a beginning) are found again by their hash
+    texts = [" ".join(f"{w}{i % 7}" if j % 9 == 0 else w for j, w in enumerate(plain.prose(i, 900).split())) for i in range(60)] + ["", None, "one"]
+    batch = pa.RecordBatch.from_pydict({"label": [i % 2 for i in range(63)], "half": [i // 2 % 2 for i in range(63)], "text": texts})
+    words = sorted({w for t in texts for w in re.findall("[a-z0-9]+", (t or "").lower())})
+    spans = toxicity.find_words(*toxicity.text_offsets(pa.array([" ".join(words)])), toxicity.MASK_ALNUM)
+    heads = toxicity.first_bytes(spans.data, spans.starts, spans.ends, 7)
+    fixed = np.array([0, toxicity._BEGIN], np.uint64)
+    book = toxicity.Codebook(np.append(fixed, spans.hashes[::2]), np.append(np.zeros(2, np.uint64), heads[::2]))
+
+    class Shared:
+        value = book
+
+    sent = list(toxicity._expressions([batch], Shared, 2))
+    rows = pa.Table.from_batches(sent)
+    before, word, ahead, head, mark = toxicity._unpacked(rows, book)
+    names = {None: int(toxicity._BEGIN), 0: 0, **dict(zip(words, spans.hashes.tolist()))}
+    expected = {}
+    for i, text in enumerate(texts):
+        tokens, seen = re.findall("[a-z0-9]+", (text or "").lower()), set()
+        for j, w in enumerate(tokens):
+            pair = (tokens[j - 1] if j else None, w)
+            if pair not in seen:
+                seen.add(pair)
+                key = (names[pair[0]], names[w], names[(tokens[j - 2] if j > 1 else None) if j else 0])
+                expected[key] = expected.get(key, 0) | 1 << (2 * (i % 2) + i // 2 % 2)
+    assert dict(zip(zip(before.tolist(), word.tolist(), ahead.tolist()), mark.tolist())) == expected and len(word) == len(expected)
+    assert dict(zip(word.tolist(), head.tolist())) == dict(zip(spans.hashes.tolist(), heads.tolist()))
+    # three hashes and a mark are 25 bytes; words in random order, as here, pack worst
+    assert rows.nbytes < 15 * len(word)
