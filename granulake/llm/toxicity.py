@@ -53,13 +53,6 @@ def _read(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     return found, before, begins
 
 
-def _pairs(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """The pair at each word: the word before, the word, its stems, the hash of both words, and where each text begins."""
-    found, before, _ = _read(column)
-    stems = [hash_spans(found.data, found.starts, np.minimum(found.ends, found.starts + n)) for n in STEMS]
-    return before, found.hashes, stems, _joined(before, found.hashes), found.first
-
-
 def _joined(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Hash of a word and the one before it."""
     with np.errstate(over="ignore"):
@@ -470,14 +463,17 @@ class Models:
     def evidence(self, column: pa.Array, stretch: int) -> tuple[np.ndarray, np.ndarray]:
         """Per text the log-likelihood difference a word, over the text and over its most toxic stretch of
         consecutive words; and the number of its words."""
-        before, word, stems, pair, first = _pairs(column)
-        alone = np.full((len(word), 2), np.nan)
-        for keys, form in zip(self.forms, (word, *stems)):
+        found, before, _ = _read(column)
+        word, first = found.hashes, found.first
+        alone = self.forms[0](word).astype(np.float64)
+        for keys, n in zip(self.forms[1:], STEMS):  # only unknown words need their stems
             new = np.flatnonzero(np.isnan(alone[:, 0]))
-            alone[new] = keys(form[new])
+            starts = found.starts[new]
+            alone[new] = keys(hash_spans(found.data, starts, np.minimum(found.ends[new], starts + n)))
         new = np.isnan(alone[:, 0])
         alone[new] = self.unseen
-        p = self.pairs(pair) + self.contexts(before) * alone
+        p = self.pairs(_joined(before, word)) + self.contexts(before) * alone
+        del found, before, word, alone, new
         sums = np.concatenate([[0.0], np.cumsum(np.log(p[:, 0].astype(np.float64) / p[:, 1]))])
         size = np.diff(first)
         mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(size, 1)
@@ -515,8 +511,9 @@ class Toxicity:
 def _asking(batches, text, size: int) -> Iterator[pa.RecordBatch]:
     """Blocks of texts: the rows, and one more with every key that they may need."""
     for piece in pieces(batches, text, size):
-        before, word, stems, pair, _ = _pairs(text(piece))
-        keys = np.unique(np.concatenate([before, word, *stems, pair])).view(np.int64)
+        found, before, _ = _read(text(piece))
+        stems = [hash_spans(found.data, found.starts, np.minimum(found.ends, found.starts + n)) for n in STEMS]
+        keys = np.unique(np.concatenate([before, found.hashes, *stems, _joined(before, found.hashes)])).view(np.int64)
         kept, n = piece.column("kept"), piece.num_rows
         texts = pa.array(text(piece), pa.string())
         # named by its texts: blocks that are equal in them ask alike, and the rows of both get the answers of either
@@ -587,7 +584,13 @@ def fit(
     rows, unseen = model_table(sample, least)
     small = rows.count() <= most
     if small:
-        model = lambda v: Models.of_rows(rows.select("kind", "key", *_VIEWS[v]).where(F.col(_VIEWS[v][0]).isNotNull()).toArrow(), v, unseen[v])
+
+        def model(v: int) -> Models:
+            own = rows.select("kind", "key", *_VIEWS[v]).where(F.col(_VIEWS[v][0]).isNotNull())
+            out = Models.of_rows(own.toArrow(), v, unseen[v])
+            give_back()
+            return out
+
         shared = spark.sparkContext.broadcast([model(1), model(0)])
         scores = sample.mapInArrow(lambda b: _cross(b, shared, stretch), StructType([sample.schema["doc_id"], *StructType.fromDDL("label int, mean double, most double")]))
     else:

@@ -193,3 +193,19 @@ def test_expressions_are_sent_packed_and_come_back_whole():
     assert dict(zip(word.tolist(), head.tolist())) == dict(zip(spans.hashes.tolist(), heads.tolist()))
     # three hashes and a mark are 25 bytes; words in random order, as here, pack worst
     assert rows.nbytes < 15 * len(word)
+
+
+def test_only_unknown_words_need_their_stems(monkeypatch):
+    text = pa.array([plain.prose(3, 500) + " strangeness"])
+    found = toxicity.find_words(*toxicity.text_offsets(text), toxicity.MASK_ALNUM)
+    known = np.unique(found.hashes[:-1])
+    models = toxicity.Models.__new__(toxicity.Models)
+    none = np.zeros(0, np.uint64), np.zeros((0, 2))
+    models.forms = [toxicity.Lookup(known, np.full((len(known), 2), 0.01), [np.nan] * 2), *[toxicity.Lookup(*none, [np.nan] * 2)] * 3]
+    models.pairs, models.contexts = toxicity.Lookup(*none, [0, 0]), toxicity.Lookup(*none, [1, 1])
+    models.unseen = np.array([0.004, 0.002])
+    spans, hashed = toxicity.hash_spans, []
+    monkeypatch.setattr(toxicity, "hash_spans", lambda data, starts, ends: hashed.append(len(starts)) or spans(data, starts, ends))
+    scores, size = models.evidence(text, 12)
+    assert size[0] == len(found.hashes) and np.allclose(scores, [[np.log(2) / size[0], np.log(2) / 12]], rtol=1e-5)
+    assert sum(hashed) <= 3  # before: three for every word
