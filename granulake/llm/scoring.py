@@ -36,6 +36,7 @@ SHARD = 1 << 18  # words
 BITS = 18  # of the table in memory that `train` takes
 CLASSES = 256
 SIDE = 3
+BLOCK = 512  # words whose class scores are held at once, so that they stay in the cache
 _OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 
 
@@ -116,22 +117,36 @@ class Network:
         logits += self.outer_start
         return logits
 
-    def _shifted(self, logits: np.ndarray) -> np.ndarray:
-        """Rows shifted by their maximum, in place, if float32 could not hold their exponentials otherwise: a hidden unit is
-        at most 1, so the weights bound every logit."""
-        if not (np.abs(self.outer).sum(axis=0) + np.abs(self.outer_start)).max() < 80:
-            logits -= logits.max(axis=1, keepdims=True)
-        return logits
+    def _bias(self) -> np.ndarray | None:
+        """The bias of the classes if their exponentials can be weighted by its own, which spares a pass over all scores; None if
+        float32 could not hold that: a hidden unit is at most 1, so the weights bound every logit."""
+        most, start = np.abs(self.outer).sum(axis=0), self.outer_start
+        top, low = (most + start).max(), (start - most).max()  # the largest logit is between them
+        small = most.max() < 80 and top < 70 and top - start.min() < 80 and low > -70
+        return start if small else None
+
+    def _blocks(self, hidden: np.ndarray, bias: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
+        """Where every `BLOCK` words begin, and their logits without the bias, or with it and shifted by their maximum."""
+        for at in range(0, len(hidden), BLOCK):
+            logits = hidden[at : at + BLOCK] @ self.outer
+            if bias is None:
+                logits += self.outer_start
+                logits -= logits.max(axis=1, keepdims=True)
+            yield at, logits
 
     def class_scores(self, kinds: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Conditional log-probability of every word's class."""
         around, place = _padded(kinds, first)
-        out, ones = np.empty(len(kinds)), np.ones(CLASSES, np.float32)
-        for at in range(0, len(kinds), 2048):
-            own = place[at : at + 2048]
-            logits = self._shifted(self._logits(self._hidden([around[own + k] for k in _OFFSETS])))
-            chosen = logits[np.arange(len(own)), around[own]]
-            out[at : at + 2048] = chosen - np.log(np.exp(logits, out=logits) @ ones)
+        out, bias = np.empty(len(kinds)), self._bias()
+        added = np.zeros(CLASSES, np.float32) if bias is None else bias
+        weight = np.exp(added)
+        for begin in range(0, len(kinds), 2048):
+            own = place[begin : begin + 2048]
+            target = around[own]
+            for at, logits in self._blocks(self._hidden([around[own + k] for k in _OFFSETS]), bias):
+                kind = target[at : at + BLOCK]
+                chosen = logits[np.arange(len(kind)), kind] + added[kind]
+                out[begin + at : begin + at + len(kind)] = chosen - np.log(np.exp(logits, out=logits) @ weight)
         return out
 
 
@@ -242,20 +257,31 @@ def _padded(kinds: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _gradient(model: Network, context: list[np.ndarray], target: np.ndarray) -> tuple[np.ndarray, ...]:
     """Mean gradient of the words' negative log-probability, for each array of the network."""
-    rows = np.arange(len(target))
+    n, bias = len(target), model._bias()
+    weight = np.ones(CLASSES, np.float32) if bias is None else np.exp(bias)
+    back = (model.outer * weight).T
     h = model._hidden(context)
-    p = model._shifted(model._logits(h))
-    np.exp(p, out=p)
-    p *= (1 / (len(target) * (p @ np.ones(CLASSES, np.float32))))[:, None]
-    p[rows, target] -= np.float32(1 / len(target))
-    d = (p @ model.outer.T) * (1 - h * h)
+    d = 1 - h * h
+    outer, outer_start = np.zeros((CLASSES, h.shape[1]), np.float32), np.zeros(CLASSES, np.float32)
+    for at, p in model._blocks(h, bias):
+        kind = target[at : at + BLOCK]
+        np.exp(p, out=p)
+        total = p @ weight
+        p[np.arange(len(kind)), kind] -= total / weight[kind]
+        # weights and totals go to the narrow sides, not to the scores of all classes
+        part = 1 / (n * total)
+        outer += p.T @ (h[at : at + BLOCK] * part[:, None])
+        outer_start += part @ p
+        d[at : at + BLOCK] *= (p @ back) * part[:, None]
     inner = np.zeros_like(model.inner)
+    # sums of neighbouring units are made together, as the parts of a complex number
+    both = d.view(np.complex64) if d.shape[1] % 2 == 0 else d
     for k, kinds in enumerate(context):
         order = np.argsort(kinds, kind="stable")
-        begin = np.flatnonzero(np.diff(kinds[order], prepend=-1))
-        inner[k][kinds[order[begin]]] = np.add.reduceat(d.take(order, axis=0), begin, axis=0)
-    ones = np.ones(len(target), np.float32)
-    return inner, ones @ d, h.T @ p, ones @ p
+        ranked = kinds[order]
+        begin = np.append(0, np.flatnonzero(ranked[1:] != ranked[:-1]) + 1)
+        inner[k][ranked[begin]] = np.add.reduceat(both.take(order, axis=0), begin, axis=0).view(np.float32)
+    return inner, np.ones(n, np.float32) @ d, np.ascontiguousarray(outer.T) * weight, outer_start * weight
 
 
 def _train_shard(model: Network, kinds: np.ndarray, first: np.ndarray, seed: int, turn: int, steps: int, batch: int, rate: float) -> None:
@@ -275,9 +301,16 @@ def _train_shard(model: Network, kinds: np.ndarray, first: np.ndarray, seed: int
             grads = _gradient(model, [around[own + k] for k in _OFFSETS], around[own])
             now = rate * (1 - (turn + step / (passes * a_pass + 1)) / ROUNDS)
             for a, g, (m, v) in zip(arrays, grads, moments):
-                m += np.float32(0.1) * (g - m)
-                v += np.float32(0.01) * (g * g - v)
-                a -= np.float32(now / (1 - 0.9**step)) * m / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+                g *= np.float32(0.1)
+                m *= np.float32(0.9)
+                m += g
+                v *= np.float32(0.99)
+                v += np.multiply(g, g, out=g)  # a hundredth of the square
+                np.sqrt(np.multiply(v, np.float32(1 / (1 - 0.99**step)), out=g), out=g)
+                g += np.float32(1e-8)
+                np.divide(m, g, out=g)
+                g *= np.float32(now / (1 - 0.9**step))
+                a -= g
 
 
 def _packed(model: Network) -> bytes:

@@ -1,5 +1,7 @@
 """Masked pseudo-likelihood against a plain computation."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 
@@ -126,3 +128,43 @@ def test_gradient_is_the_slope_of_the_loss():
             loss.append(-net.class_scores(kinds, first).mean())
         array[...] = at
         assert abs((loss[0] - loss[1]) / 2e-2 - (grad * way).sum()) < 2e-2
+
+
+def test_gradient_holds_when_float32_could_not_weight_the_exponentials():
+    rng = np.random.default_rng(2)
+    first = np.array([0, 700, 1400])
+    kinds = rng.integers(0, scoring.CLASSES, 1400)
+    around, place = scoring._padded(kinds, first)
+    context = [around[place + k] for k in scoring._OFFSETS]
+    for far in (1, 40):
+        net = scoring.train_network(np.zeros(0, np.int64), np.zeros(1, np.int64), np.ones(scoring.CLASSES))
+        net.outer *= np.float32(far)
+        net.outer_start += rng.standard_normal(scoring.CLASSES).astype(np.float32)
+        assert (net._bias() is None) == (far == 40)
+        h = np.tanh(sum(net.inner[k][c].astype(float) for k, c in enumerate(context)) + net.start)
+        z = h @ net.outer + net.outer_start
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        assert np.allclose(net.class_scores(kinds, first), np.log(p[np.arange(1400), kinds]), atol=1e-3)
+        p[np.arange(1400), kinds] -= 1
+        d = (p @ net.outer.T) * (1 - h * h) / 1400
+        inner = np.zeros(net.inner.shape)
+        for k, c in enumerate(context):
+            np.add.at(inner[k], c, d)
+        for got, wanted in zip(scoring._gradient(net, context, around[place]), (inner, d.sum(axis=0), h.T @ p / 1400, p.mean(axis=0))):
+            assert np.allclose(got, wanted, atol=1e-5 * np.abs(wanted).max() + 1e-7)
+
+
+def test_class_scores_of_a_step_are_made_block_by_block():
+    rng = np.random.default_rng(3)
+    net = scoring.train_network(np.zeros(0, np.int64), np.zeros(1, np.int64), np.ones(scoring.CLASSES))
+    kinds = rng.integers(0, scoring.CLASSES, 2048)
+    around, place = scoring._padded(kinds, np.array([0, 2048]))
+    context = [around[place + k] for k in scoring._OFFSETS]
+    for work in (lambda: scoring._gradient(net, context, around[place]), lambda: net.class_scores(kinds, np.array([0, 2048]))):
+        work()
+        tracemalloc.start()
+        work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 2048 * scoring.CLASSES * 4  # before: the scores of all words at once, 2 MB, and more beside them
