@@ -261,9 +261,19 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return encoded.mapInArrow(lambda b: _decode(b, shared), schema)
 
 
+def round_trip(
+    docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """What `decode` gives for `encode`, by one worker a task: two of them would hold a coder each."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text}`").alias("text"))
+    schema = StructType([*rows.select("kept").schema, *StructType.fromDDL("ids array<int>, decoded binary")])
+    return rows.mapInArrow(lambda b: _decode(_encode(b, shared), shared), schema)
+
+
 def digest(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Per document the number of ids, and digests of the ids and of the decoded bytes."""
-    return decode(encode(docs, vocabulary), vocabulary).select(
+    return round_trip(docs, vocabulary).select(
         "kept.doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

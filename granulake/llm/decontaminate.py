@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from granulake.llm.words import MASK_ALNUM, find_words, kept_and_text, pieces, text_offsets
-from granulake.llm.workers import let_go
+from granulake.llm.workers import give_back, let_go
 from granulake.session import cut
 
 SPANS = "array<struct<start:bigint,words:bigint,item:string,item_start:bigint>>"
@@ -148,6 +148,7 @@ def _search(batches, tests: Tests, shard_bytes: int, text) -> Iterator[pa.Record
             [*(batch.column(c) for c in batch.schema.names), pa.array(counts.astype(np.int64)), found.cast(_SPAN)],
             names=[*batch.schema.names, "n_words", "found"],
         )
+    give_back()
 
 
 def find_matches(

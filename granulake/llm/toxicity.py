@@ -36,7 +36,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from granulake.llm.fitting import logistic, sigmoid
 from granulake.llm.words import MASK_ALNUM, Words, find_words, first_bytes, hash_spans, kept_and_text, mix, pieces, text_offsets
 from granulake.llm.workers import give_back, let_go
-from granulake.session import cut, shuffle_partitions
+from granulake.session import bound_batches, cut, shuffle_partitions
 
 STEMS = (7, 5, 4)  # bytes
 _BEGIN = np.uint64(0x5BD1E9955BD1E995)
@@ -551,7 +551,7 @@ def joined_evidence(
 def _cross(batches, shared, stretch: int) -> Iterator[pa.RecordBatch]:
     """Evidence of labelled texts, every half by the models of the other one."""
     let_go()
-    for batch in pieces(batches, lambda b: b["text"]):
+    for batch in pieces(batches, lambda b: b["text"], 1 << 20):
         found = [m.evidence(batch["text"], stretch)[0] for m in shared.value]
         own = np.where(batch["half"].to_numpy()[:, None] == 0, *found)
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array(own[:, 0]), pa.array(own[:, 1])], names=["doc_id", "label", "mean", "most"])
@@ -570,6 +570,7 @@ def fit(
     """Models and calibration from all labels among the rows `where` (a condition on doc_id). Rows without id, label or text
     are not labelled; of several labels of an id the smallest holds."""
     spark = docs.sparkSession
+    bound_batches(spark)
     known = labels if where is None else labels.where(where)
     known = known.where(F.col("toxic").isin(0, 1))
     rates = known.agg(F.avg("toxic"), F.count("toxic")).first()
@@ -610,7 +611,7 @@ def fit(
 
 def _score(batches, model: Toxicity, text) -> Iterator[pa.RecordBatch]:
     let_go()
-    for batch in pieces(batches, text):
+    for batch in pieces(batches, text, 1 << 20):
         score = pa.array(model.score(text(batch)))
         yield pa.RecordBatch.from_arrays([batch.column("kept"), score], names=["kept", "score"])
     give_back()
@@ -624,6 +625,7 @@ def _rate(batches, model: Toxicity) -> Iterator[pa.RecordBatch]:
 
 def score(docs: DataFrame, model: Toxicity, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` and `score`, the probability that the text is toxic."""
+    bound_batches(docs.sparkSession)
     rows, column = kept_and_text(docs, keep, text)
     schema = StructType([rows.schema["kept"], StructField("score", DoubleType())])
     if model.rows is not None:

@@ -64,3 +64,11 @@ def test_odd_rows(odd, none, library):
 def test_null_ids_decode_to_nothing(spark):
     rows = spark.createDataFrame([(1, None), (2, [])], "k int, ids array<int>")
     assert [r.decoded for r in bpe.decode(rows, vocabulary()).collect()] == [b"", b""]
+
+
+def test_a_task_needs_one_worker_for_both_ways(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    plan = bpe.digest(docs, vocabulary())._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 1  # before: two, each with a coder in a worker of its own
+    both, apart = (bpe.round_trip(docs, vocabulary()), bpe.decode(bpe.encode(docs, vocabulary()), vocabulary()))
+    assert both.schema == apart.schema and sorted(both.collect()) == sorted(apart.collect())

@@ -209,3 +209,22 @@ def test_only_unknown_words_need_their_stems(monkeypatch):
     scores, size = models.evidence(text, 12)
     assert size[0] == len(found.hashes) and np.allclose(scores, [[np.log(2) / size[0], np.log(2) / 12]], rtol=1e-5)
     assert sum(hashed) <= 3  # before: three for every word
+
+
+def test_whole_texts_go_to_python_in_batches_of_bounded_size(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    docs = corpus(spark, 80)
+    toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    long = spark.range(0, 1500, 1, 1).selectExpr("id as doc_id", "repeat('vile words ', 2000) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    got = [r.n for r in long.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 30 << 20 and max(got) < 10 << 20  # before: one of 33 MB
+    spark.conf.set(name, "12345678")
+    toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert spark.conf.get(name) == "12345678"
+    spark.conf.unset(name)
