@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,23 +128,22 @@ GROUPS_DDL = "path string, row_group int, rows bigint, bytes bigint"
 
 
 def row_groups(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, row_group, rows, bytes) of every row group."""
+    """(path, row_group, rows, bytes) of every row group; a file without rows has none."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch["path"]:
+            for path in batch["path"].to_pylist():
                 meta = _open(path).metadata
                 groups = [meta.row_group(g) for g in range(meta.num_row_groups)]
-                yield pd.DataFrame(
-                    {
-                        "path": [path] * len(groups),
-                        "row_group": range(len(groups)),
-                        "rows": [g.num_rows for g in groups],
-                        "bytes": [g.total_byte_size for g in groups],
-                    }
-                )
+                columns = [
+                    pa.array([path] * len(groups), pa.string()),
+                    pa.array(range(len(groups)), pa.int32()),
+                    pa.array([g.num_rows for g in groups], pa.int64()),
+                    pa.array([g.total_byte_size for g in groups], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in GROUPS_DDL.split(", ")])
 
-    return list_files(spark, paths).select("path").mapInPandas(read, GROUPS_DDL)
+    return list_files(spark, paths).select("path").mapInArrow(read, GROUPS_DDL)
 
 
 def file_rows(groups: DataFrame) -> DataFrame:

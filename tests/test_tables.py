@@ -26,6 +26,16 @@ def test_row_groups_have_the_asked_size(spark, tmp_path):
     assert sizes == [300] * 6 + [200]
 
 
+def test_files_without_rows_have_no_row_groups(spark, tmp_path):
+    path = str(tmp_path / "groups")
+    # the first task has no rows and still writes a file
+    sinks.write_row_groups(boxes(spark).where("GranuleUR >= 'G001000'"), path, rows=300)
+    assert min(pq.ParquetFile(f).num_row_groups for f in (tmp_path / "groups").glob("*.parquet")) == 0
+    groups = footers.row_groups(spark, path)
+    assert groups.agg(F.sum("rows")).first()[0] == 1000 and groups.where("rows > 300 or rows = 0").count() == 0
+    assert footers.column_stats(spark, path).where("column = 'GranuleUR'").agg(F.sum("rows")).first()[0] == 1000
+
+
 def test_hot_bin_is_split_over_files(spark, tmp_path):
     df = boxes(spark).withColumn("hashbin", F.when(F.rand(1) < 0.4, "7").otherwise(F.substring("GranuleUR", 7, 1)))
     path = str(tmp_path / "bins")
