@@ -36,6 +36,15 @@ def test_files_without_rows_have_no_row_groups(spark, tmp_path):
     assert footers.column_stats(spark, path).where("column = 'GranuleUR'").agg(F.sum("rows")).first()[0] == 1000
 
 
+def test_sized_by_bytes_of_files_without_rows(spark, tmp_path):
+    whole, path = str(tmp_path / "whole"), str(tmp_path / "sized")
+    sinks.write_row_groups(boxes(spark).where("GranuleUR >= 'G001000'"), whole, groups=8)
+    per_row = sinks.row_bytes(footers.row_groups(spark, whole))
+    sinks.write_sized(spark.read.parquet(whole), path, file_bytes=2000, row_bytes=per_row)
+    files = footers.file_rows(footers.row_groups(spark, path))
+    assert files.agg(F.sum("rows")).first()[0] == 1000 and files.where(F.col("rows") > 2000 / per_row).count() == 0
+
+
 def test_hot_bin_is_split_over_files(spark, tmp_path):
     df = boxes(spark).withColumn("hashbin", F.when(F.rand(1) < 0.4, "7").otherwise(F.substring("GranuleUR", 7, 1)))
     path = str(tmp_path / "bins")
