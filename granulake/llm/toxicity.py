@@ -11,8 +11,8 @@ on scores from models that did not see the scored half, turns both into a probab
 
 The models are fitted on every labelled document, whole texts of any length. Spark counts their words and pairs
 (`count_tables`) and makes the models a table of them (`model_table`). Its rows are counted: up to `most` rows the models are
-broadcast, a larger one stays on Spark and is joined to blocks of texts, which ask for the words and pairs they hold. Every
-word of every text is scored, as often as it is there; only the models count a pair of a text once. Of rows with the
+broadcast, a larger one is written to the shared folder, sorted by ranges of keys (`file_models`), and tasks map these files
+instead of holding them; texts stay where they are either way. Every word of every text is scored, as often as it is there; only the models count a pair of a text once. Of rows with the
 same id every text is learned, each expression once; the calibration takes one of them.
 
 Defined results: a NULL, empty or wordless text gets the share of toxic rows among the labelled; without labels of both
@@ -21,8 +21,11 @@ classes every text gets that share (0 without any labels); equal rows get equal
 
 from __future__ import annotations
 
-import hashlib
 import math
+import mmap
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -35,8 +38,9 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from granulake.llm.fitting import logistic, sigmoid
 from granulake.llm.words import MASK_ALNUM, Words, find_words, first_bytes, hash_spans, kept_and_text, mix, pieces, text_offsets
-from granulake.llm.workers import give_back, let_go
-from granulake.session import bound_batches, cut, shuffle_partitions
+from granulake.llm.workers import give_back, hold, let_go
+from granulake.session import bound_batches, cut, scratch, shuffle_partitions
+from granulake.sources.footers import file_system
 
 STEMS = (7, 5, 4)  # bytes
 _BEGIN = np.uint64(0x5BD1E9955BD1E995)
@@ -88,6 +92,32 @@ class Lookup:
         return self.rows[out]
 
 
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Which of `parts` equal ranges of 64-bit numbers a key is in."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+class MappedLookup:
+    """`Lookup` over the keys of each range of `_part_of`, sorted, with a column for either class."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, ...]], default):
+        self.parts = parts
+        self.default = np.asarray(default, np.float32)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        # words repeat; in order, what is searched lies close together
+        own, back = np.unique(keys, return_inverse=True)
+        out = np.tile(self.default, (len(own), 1))
+        edges = np.searchsorted(_part_of(own, len(self.parts)), np.arange(len(self.parts) + 1))
+        for (known, *columns), low, high in zip(self.parts, edges, edges[1:]):
+            if len(known) and high > low:
+                at = np.minimum(np.searchsorted(known, own[low:high]), len(known) - 1)
+                hit = np.flatnonzero(known[at] == own[low:high])
+                for i, column in enumerate(columns):
+                    out[low + hit, i] = column[at[hit]]
+        return out[back]
+
+
 @dataclass
 class Counts:
     """What both models are made of, toxic first: pairs in at least `least` contexts (before, word, contexts, contexts of
@@ -394,6 +424,10 @@ def model_table(sample: DataFrame, least: int) -> tuple[DataFrame, list[np.ndarr
     return every, [np.array([over[c][-1] for c in view]) for view in _VIEWS]
 
 
+#: What a kind of `model_table` has for keys without a row.
+_DEFAULTS = [*[[np.nan, np.nan]] * (len(STEMS) + 1), [0, 0], [1, 1]]
+
+
 class Models:
     """Both class models: P(w | v) = held(v, w) + back(v) * word(w), each for toxic and ordinary.
 
@@ -448,13 +482,17 @@ class Models:
 
     @classmethod
     def of_rows(cls, rows: pa.Table, view: int, unseen: np.ndarray) -> Models:
-        """Models of one view from rows of `model_table`, or from those of them that a block of texts asks for."""
+        """Models of one view from rows of `model_table`."""
         kind, key = rows["kind"].to_numpy(), rows["key"].to_numpy().astype(np.int64).view(np.uint64)
         values = np.column_stack([rows[c].to_numpy() for c in _VIEWS[view]])
         looks = []
-        for k, default in enumerate([*[[np.nan, np.nan]] * (len(STEMS) + 1), [0, 0], [1, 1]]):
+        for k, default in enumerate(_DEFAULTS):
             at = np.flatnonzero((kind == k) & ~np.isnan(values[:, 0]))
             looks.append(Lookup(key[at], values[at], default))
+        return cls.of_looks(looks, unseen)
+
+    @classmethod
+    def of_looks(cls, looks: list, unseen: np.ndarray) -> Models:
         out = cls.__new__(cls)
         *out.forms, out.pairs, out.contexts = looks
         out.unseen = unseen
@@ -488,71 +526,103 @@ class Models:
         return np.column_stack([mean, most]), size
 
 
+@dataclass
+class ModelFiles:
+    """Models of `view` in files of the shared folder, one for each range of `_part_of`, None where it has no rows."""
+
+    names: list[str | None]
+    view: int
+    unseen: np.ndarray
+
+    def models(self) -> Models:
+        """The models with their files mapped; the files of a store are copied to the worker's disk first, unnamed."""
+        batches = [_mapped(name) for name in self.names if name]
+        parts = iter([np.searchsorted(b["kind"].to_numpy(), np.arange(len(_DEFAULTS) + 1)), *[b[c].to_numpy() for c in b.schema.names[1:]]] for b in batches)
+        none = [np.zeros(len(_DEFAULTS) + 1, np.int64), np.zeros(0, np.int64), *[np.zeros(0, np.float32)] * 2]
+        parts = [next(parts) if name else none for name in self.names]
+        looks = []
+        for k, default in enumerate(_DEFAULTS):
+            own = [[x[edges[k] : edges[k + 1]] for x in columns] for edges, *columns in parts]
+            looks.append(MappedLookup([(key.view(np.uint64), *values) for key, *values in own], default))
+        return Models.of_looks(looks, self.unseen)
+
+
+def _mapped(name: str) -> pa.RecordBatch:
+    """The one batch of an Arrow file, which stays in the file."""
+    from pyarrow.fs import LocalFileSystem
+
+    system, inner = file_system(name)
+    if isinstance(system, LocalFileSystem):
+        return pa.ipc.open_file(pa.memory_map(inner)).get_batch(0)
+    with tempfile.TemporaryFile() as copy, system.open_input_stream(inner) as stored:
+        shutil.copyfileobj(stored, copy, 1 << 20)
+        copy.flush()
+        return pa.ipc.open_file(pa.py_buffer(mmap.mmap(copy.fileno(), 0, access=mmap.ACCESS_READ))).get_batch(0)
+
+
+def _filed(rows: pa.Table, path: str) -> pa.Table:
+    """Writes the rows of one range, a file for each view; an attempt has files of its own, and only those it returns count."""
+    let_go()
+    key, kind = rows["key"].to_numpy().astype(np.int64), rows["kind"].to_numpy()
+    order = np.lexsort((key.view(np.uint64), kind))
+    system, inner = file_system(path)
+    system.create_dir(inner)
+    names = []
+    for view in _VIEWS:
+        values = [rows[c].to_numpy().astype(np.float32)[order] for c in view]
+        some = np.flatnonzero(~np.isnan(values[0]))
+        names.append(f"{path}/{uuid.uuid4().hex}.arrow")
+        arrays = [pa.array(x[some]) for x in (kind[order].astype(np.int8), key[order], *values)]
+        batch = pa.RecordBatch.from_arrays(arrays, names=["kind", "key", *view])
+        with system.open_output_stream(names[-1].replace(path, inner, 1)) as to, pa.ipc.new_file(to, batch.schema) as out:
+            out.write(batch)
+    give_back()
+    return pa.table({"part": rows["part"][:1].combine_chunks(), "names": pa.array([names], pa.list_(pa.string()))})
+
+
+def file_models(rows: DataFrame, unseen: list[np.ndarray], count: int) -> list[ModelFiles]:
+    """The models of each view from `model_table`, in files of about a million rows by ranges of keys."""
+    path, parts = scratch(rows.sparkSession, "models"), max(1, count >> 20)
+    part = F.shiftright(F.shiftrightunsigned("key", 32) * parts, 32).cast("int")
+    made = rows.withColumn("part", part).groupBy("part").applyInArrow(lambda x: _filed(x, path), "part int, names array<string>")
+    names = {r["part"]: r["names"] for r in made.collect()}
+    return [ModelFiles([names[p][v] if p in names else None for p in range(parts)], v, unseen[v]) for v in range(len(_VIEWS))]
+
+
+def _held(files: list[ModelFiles]) -> list[Models]:
+    """The worker's mapped models."""
+    return hold(tuple((f.view, *f.names) for f in files), lambda: [f.models() for f in files])
+
+
 @dataclass
 class Toxicity:
-    """Fitted models: in memory, or as `rows` on Spark if they are too many; neither without labels of both classes."""
+    """Fitted models: in memory, or as `rows` on Spark and `files` of them if they are too many; neither without labels of both
+    classes."""
 
     models: Models | None
     weights: np.ndarray
     share: float
     stretch: int
     rows: DataFrame | None = None
-    unseen: np.ndarray | None = None
+    files: ModelFiles | None = None
 
     def score(self, column: pa.Array) -> np.ndarray:
-        if self.models is None:
+        if self.models is None and self.files is None:
             return np.full(len(column), self.share)
-        return self.rated(*self.models.evidence(column, self.stretch))
+        models = self.models if self.files is None else _held([self.files])[0]
+        return self.rated(*models.evidence(column, self.stretch))
 
     def rated(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
         return np.where(size > 0, sigmoid(x @ self.weights[:-1] + self.weights[-1]), self.share)
 
 
-def _asking(batches, text, size: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of texts: the rows, and one more with every key that they may need."""
-    for piece in pieces(batches, text, size):
-        found, before, _ = _read(text(piece))
-        stems = [hash_spans(found.data, found.starts, np.minimum(found.ends, found.starts + n)) for n in STEMS]
-        keys = np.unique(np.concatenate([before, found.hashes, *stems, _joined(before, found.hashes)])).view(np.int64)
-        kept, n = piece.column("kept"), piece.num_rows
-        texts = pa.array(text(piece), pa.string())
-        # named by its texts: blocks that are equal in them ask alike, and the rows of both get the answers of either
-        name = int.from_bytes(hashlib.sha256(b"\0".join((x.as_py() or "").encode() for x in texts)).digest()[:8], "little", signed=True)
-        names = ["block", "kept", "text", "keys"]
-        yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), kept, texts, pa.nulls(n, pa.list_(pa.int64()))], names=names)
-        asked = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.array(keys))
-        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.nulls(1, kept.type), pa.nulls(1, pa.string()), asked], names=names)
-
-
-def joined_evidence(
-    docs: DataFrame, model: DataFrame, unseen: list[np.ndarray], views: tuple[int, ...], stretch: int, *, text: str, keep: tuple[str, ...], size: int = 8 << 20
-) -> DataFrame:
-    """`kept`, the number of words, and mean and most toxic stretch (`Models.evidence`) of each view, with the models on Spark."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text}`").alias("text"))
-    kept = StructField("kept", rows.schema["kept"].dataType)
-    sent = StructType([StructField("block", LongType()), kept, *StructType.fromDDL("text string, keys array<bigint>")])
-    blocks = cut(rows.mapInArrow(lambda b: _asking(b, lambda x: x.column("text"), size), sent), "blocks")
-    asked = blocks.where("keys is not null").select("block", F.explode("keys").alias("key"))
-    given = asked.join(model, "key").withColumnRenamed("block", "at")
-
-    def found(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        column = texts["text"].combine_chunks()
-        got = [Models.of_rows(answers, v, unseen[v]).evidence(column, stretch) for v in views]
-        columns = {"kept": texts["kept"], "size": pa.array(got[0][1], pa.int64())}
-        for v, (x, _) in zip(views, got):
-            columns |= {f"mean{v}": pa.array(x[:, 0]), f"most{v}": pa.array(x[:, 1])}
-        return pa.table(columns)
-
-    added = StructType.fromDDL(", ".join(["size bigint", *(f"mean{v} double, most{v} double" for v in views)]))
-    texts = blocks.where("keys is null").select("block", "kept", "text")
-    return texts.groupBy("block").cogroup(given.groupBy("at")).applyInArrow(found, StructType([kept, *added]))
-
-
 def _cross(batches, shared, stretch: int) -> Iterator[pa.RecordBatch]:
-    """Evidence of labelled texts, every half by the models of the other one."""
-    let_go()
+    """Evidence of labelled texts, every half by the models of the other one; `shared` is a broadcast of both, or their files."""
+    if not isinstance(shared, list):
+        let_go()
+    both = _held(shared) if isinstance(shared, list) else shared.value
     for batch in pieces(batches, lambda b: b["text"], 1 << 20):
-        found = [m.evidence(batch["text"], stretch)[0] for m in shared.value]
+        found = [m.evidence(batch["text"], stretch)[0] for m in both]
         own = np.where(batch["half"].to_numpy()[:, None] == 0, *found)
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array(own[:, 0]), pa.array(own[:, 1])], names=["doc_id", "label", "mean", "most"])
     give_back()
@@ -583,7 +653,8 @@ def fit(
     if min(sizes.get(v, 0) for v in (0, 1)) < 4:
         return Toxicity(None, np.zeros(3), share, stretch)
     rows, unseen = model_table(sample, least)
-    small = rows.count() <= most
+    count = rows.count()
+    small = count <= most
     if small:
 
         def model(v: int) -> Models:
@@ -593,11 +664,10 @@ def fit(
             return out
 
         shared = spark.sparkContext.broadcast([model(1), model(0)])
-        scores = sample.mapInArrow(lambda b: _cross(b, shared, stretch), StructType([sample.schema["doc_id"], *StructType.fromDDL("label int, mean double, most double")]))
     else:
-        scores = joined_evidence(sample, rows, unseen, (0, 1), stretch, text="text", keep=("doc_id", "label", "half"))
-        other = lambda name: F.when(F.col("kept.half") == 0, F.col(f"{name}1")).otherwise(F.col(f"{name}0")).alias(name)
-        scores = scores.select("kept.doc_id", "kept.label", other("mean"), other("most"))
+        files = file_models(rows, unseen, count)
+        shared = [files[1], files[0]]
+    scores = sample.mapInArrow(lambda b: _cross(b, shared, stretch), StructType([sample.schema["doc_id"], *StructType.fromDDL("label int, mean double, most double")]))
     # one row an id
     scores = scores.groupBy("doc_id").agg(F.min(F.struct("label", "mean", "most")).alias("x")).select("x.*").toArrow()
     scores = scores.sort_by([(c, "ascending") for c in scores.column_names])
@@ -606,33 +676,25 @@ def fit(
     y = scores["label"].to_numpy()
     x = np.column_stack([scores["mean"].to_numpy(), scores["most"].to_numpy()])
     weight = np.where(y == 1, share / (y == 1).mean(), (1 - share) / (y == 0).mean())
-    return Toxicity(model(2) if small else None, logistic(x, y, weight), share, stretch, None if small else rows, unseen[2])
+    held = {"models": model(2)} if small else {"models": None, "rows": rows, "files": files[2]}
+    return Toxicity(weights=logistic(x, y, weight), share=share, stretch=stretch, **held)
 
 
 def _score(batches, model: Toxicity, text) -> Iterator[pa.RecordBatch]:
-    let_go()
+    if model.files is None:
+        let_go()
     for batch in pieces(batches, text, 1 << 20):
         score = pa.array(model.score(text(batch)))
         yield pa.RecordBatch.from_arrays([batch.column("kept"), score], names=["kept", "score"])
     give_back()
 
 
-def _rate(batches, model: Toxicity) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = np.column_stack([batch["mean2"].to_numpy(), batch["most2"].to_numpy()])
-        yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(model.rated(x, batch["size"].to_numpy()))], names=["kept", "score"])
-
-
 def score(docs: DataFrame, model: Toxicity, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` and `score`, the probability that the text is toxic."""
     bound_batches(docs.sparkSession)
     rows, column = kept_and_text(docs, keep, text)
     schema = StructType([rows.schema["kept"], StructField("score", DoubleType())])
-    if model.rows is not None:
-        found = joined_evidence(docs, model.rows, [model.unseen] * 3, (2,), model.stretch, text=text, keep=keep)
-        alone = replace(model, rows=None)
-        return found.mapInArrow(lambda b: _rate(b, alone), schema)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, rows=None))
     return rows.mapInArrow(lambda b: _score(b, shared.value, column), schema)
 
 

@@ -4,6 +4,8 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyarrow.fs import SubTreeFileSystem
 
 import plain
 from granulake.llm import toxicity
@@ -150,6 +152,33 @@ def test_models_on_spark_are_those_in_memory(spark, odd):
     assert kept.columns == docs.columns and kept.count() == toxicity.drop_toxic(docs, small).count()
 
 
+def test_large_models_leave_texts_where_they_are(spark):
+    docs = corpus(spark, 120)
+    texts, labels = docs.select("doc_id", "text"), docs.select("doc_id", "toxic").where("doc_id % 3 <> 0")
+    model = toxicity.fit(texts, labels, most=0)
+    # before: written and shuffled with the keys that they ask for
+    assert "Exchange" not in toxicity.scored(texts, model)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("store", [False, True])
+def test_models_in_files_are_those_in_memory(spark, monkeypatch, store):
+    parts = [pa.array([plain.prose(i, 300) + bad for i in range(s, s + 20)]) for s, bad in ((0, " vile rotten" * 3), (100, ""))]
+    rows = [(t, label, i % 2) for label, part in zip((1, 0), parts) for i, t in enumerate(part.to_pylist())]
+    table, unseen = toxicity.model_table(spark.createDataFrame(rows, "text string, label int, half int"), 2)
+    files = toxicity.file_models(table, unseen, 5 << 20)
+    assert len(files) == 3 and len(files[0].names) == 5
+    if store:  # one whose files cannot be mapped
+        system = toxicity.file_system
+        monkeypatch.setattr(toxicity, "file_system", lambda name: (SubTreeFileSystem("/", system(name)[0]), system(name)[1].lstrip("/")))
+    held, keys = table.toArrow(), np.random.default_rng(1).integers(0, 1 << 63, 999, np.uint64) * np.uint64(2)
+    for v in range(3):
+        here, there = toxicity.Models.of_rows(held, v, unseen[v]), files[v].models()
+        assert (here.unseen == there.unseen).all()
+        for a, b in zip((*here.forms, here.pairs, here.contexts), (*there.forms, there.pairs, there.contexts)):
+            asked = np.concatenate([a.keys, keys, a.keys[:50]])
+            assert len(a.keys) and np.array_equal(a(asked), b(asked), equal_nan=True)
+
+
 def test_the_table_of_the_models_is_what_counts_in_memory_give(spark):
     parts = [pa.array([plain.prose(i, 300) + bad for i in range(s, s + 20)]) for s, bad in ((0, " vile rotten" * 3), (100, ""))]
     rows = [(t, label, i % 2) for label, part in zip((1, 0), parts) for i, t in enumerate(part.to_pylist())]
