@@ -32,8 +32,18 @@ def slices(start: Column, end: Column, unit: str, literal: bool = False) -> Colu
 
 
 def explode_slices(df: DataFrame, start: str, end: str, unit: str, literal: bool = False) -> DataFrame:
-    """One row per slice of every row's span, as ISO text."""
+    """One row per slice of every row's span, as ISO text; the slices are those of `slices`.
+
+    Only the boundaries are an array: a slice is computed from its boundary, in generated code.
+    """
+    if unit not in STEPS:
+        raise ValueError(f"unsupported interval {unit!r}")
+    step = F.expr(STEPS[unit])
     text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    spans = [F.to_timestamp_ntz(F.col(c)) for c in (start, end)]
-    rows = df.withColumn("_s", F.explode(slices(*spans, unit, literal)))
-    return rows.withColumns({"slice_start": text(F.col("_s.start")), "slice_end": text(F.col("_s.end"))}).drop("_s")
+    timed = df.withColumns({"_a": F.to_timestamp_ntz(F.col(start)), "_b": F.to_timestamp_ntz(F.col(end))})
+    a, b, at = F.col("_a"), F.col("_b"), F.col("_at")
+    first = F.to_timestamp_ntz(F.date_trunc("month", a)) if unit == "month" else a
+    rows = timed.withColumn("_at", F.explode(F.when(a < b, F.sequence(first, b, step))))
+    rows = rows.where((at >= a) & (at + step <= b) if literal else at < b)
+    begin, stop = (at, at + step) if literal else (F.greatest(at, a), F.least(at + step, b))
+    return rows.withColumns({"slice_start": text(begin), "slice_end": text(stop)}).drop("_a", "_b", "_at")

@@ -37,6 +37,18 @@ def spread_for_write(df: DataFrame, *keys: str) -> DataFrame:
     return df.hint("rebalance", *[F.col(k) for k in keys])
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deals the rows of a table of few splits to all cores, before work that is heavy or makes many rows of one.
+
+    Spark's estimate of the size decides, so nothing runs for it; a table with a split a core stays as it is read.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
+
+
 # ---- bucket trees --------------------------------------------------------------------------
 
 

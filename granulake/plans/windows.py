@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granulake.functions import profiles, times
-from granulake.operators import ordering
+from granulake.operators import layout, ordering
 from granulake.plans import inputs
 from granulake.plans.inputs import using
 from granulake.plans.registry import query
@@ -93,7 +93,7 @@ _DAYS = """select GranuleUR, strftime(greatest(d, a), '%Y-%m-%dT%H:%M:%S.%fZ') a
 )
 def time_slices(spark, sf_dir):
     """Day slices of every granule's time span."""
-    g = inputs.granules(spark, sf_dir).select("GranuleUR", "StartTime", "EndTime")
+    g = layout.spread_small(inputs.granules(spark, sf_dir).select("GranuleUR", "StartTime", "EndTime"))
     return times.explode_slices(g, "StartTime", "EndTime", "day").drop("StartTime", "EndTime")
 
 
