@@ -213,7 +213,7 @@ def geom_simplify_topology(spark, sf_dir):
     shell = shapes.polygon_rings([(x, 0), (x + 5, -0.008), (x + 10, 0), (x + 10, 10), (x, 10), (x, 0)])
     hole_x, hole_y = F.array(x + 4.9, x + 5, x + 5.1, x + 4.9), F.array(*[F.lit(y) for y in (-0.002, -0.004, -0.002, -0.002)])
     rings = F.when(F.col("k") % 2 == 0, F.concat(shell, F.array(shapes.ring(hole_x, hole_y, hole=True)))).otherwise(shell)
-    g = inputs.granules(spark, sf_dir).select("GranuleUR", F.lit("Polygon").alias("kind"), rings.alias("rings"))
+    g = layout.spread_small(inputs.granules(spark, sf_dir)).select("GranuleUR", F.lit("Polygon").alias("kind"), rings.alias("rings"))
     slim = g.withColumns(
         {
             "slim": geometry_batch.simplify(F.col("kind"), F.col("rings"), 0.01),

@@ -1,10 +1,12 @@
 """Simplification that keeps topology: valid rings stay valid and every lost vertex is near what stays."""
 
+import time
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from granulake.functions.geometry_batch import Obstacles, simplify_points
+from granulake.functions.geometry_batch import Batch, Obstacles, simplified, simplify_points
 
 
 def closed(points):
@@ -77,3 +79,43 @@ def test_stars_stay_valid(radii, tolerance):
     assert crossings(*got) == 0
     for before, after in zip((shell, hole), got):
         assert (distance(before, after) <= tolerance + 1e-9).all() and len(after) >= 4
+
+
+def packed(rows, kinds):
+    pieces = [ring for rings in rows for ring in rings]
+    of_row = [i for i, rings in enumerate(rows) for _ in rings]
+    return Batch._pack(kinds, pieces, of_row, [0] * len(pieces), [False] * len(pieces), len(rows))
+
+
+def test_a_batch_is_simplified_like_its_rings():
+    rng = np.random.default_rng(4)
+    rows, kinds = [], []
+    for i in range(900):
+        n = rng.integers(1, 30, rng.integers(0, 4))
+        # every third row on a coarse grid: equal distances, repeated vertices, points on edges
+        points = [rng.integers(0, 4, (k, 2)).astype(float) if i % 3 == 0 else rng.normal(size=(k, 2)).cumsum(axis=0) for k in n]
+        rows.append([closed(p) if i % 2 else p for p in points])
+        kinds.append("Polygon" if i % 2 else "MultiLineString" if rng.random() < 0.9 else None)
+    batch = packed(rows, kinds)
+    for tolerance in (0.0, 0.3, 1.0, 5.0):
+        for topology in (False, True):
+            keep = simplified(batch, tolerance, topology)
+            at = iter(range(len(batch.ring_row)))
+            for rings, kind in zip(rows, kinds):
+                obstacles = Obstacles(np.vstack(rings)) if topology and rings else None
+                for ring in rings:
+                    i = next(at)
+                    here = slice(batch.ring_at[i], batch.ring_at[i + 1])
+                    expected = simplify_points(ring, tolerance, 4 if kind == "Polygon" else 2, obstacles)
+                    assert np.array_equal(batch.xy[here][keep[here]], expected)
+
+
+def test_many_small_rows_are_simplified_together():
+    rows = [[closed([(x, 0), (x + 5, -0.008), (x + 10, 0), (x + 10, 10), (x, 10)])] for x in range(4000)]
+    batch = packed(rows, ["Polygon"] * 4000)
+    began = time.thread_time()
+    keep = simplified(batch, 0.01, True)
+    took = time.thread_time() - began
+    began = time.thread_time()
+    one_by_one = [slim(rings, 0.01)[0] for rings in rows]
+    assert np.array_equal(batch.xy[keep], np.vstack(one_by_one)) and took < (time.thread_time() - began) / 3
