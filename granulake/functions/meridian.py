@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from granulake.functions import shapes
-from granulake.functions.geometry_batch import Batch
+from granulake.functions.geometry_batch import Batch, _spread
 
 TURN = 360.0
 
@@ -140,6 +140,169 @@ def split_polygon(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
     return out
 
 
+# ---- many polygons at once -------------------------------------------------------------------
+
+
+def _per_ring(values: np.ndarray, at: np.ndarray, how: np.ufunc) -> np.ndarray:
+    return how.reduceat(values, at) if len(at) else values[:0]
+
+
+def split_plain(batch: Batch, units: np.ndarray) -> tuple[np.ndarray, ...]:
+    """`split_polygon` of the polygons that one line cuts, each ring into a stretch on either side at most: arrays for all.
+
+    `units` is the first ring of each polygon and the number of rings; a shell stands before its holes. Returns which
+    polygons are done, and for each ring made of them its polygon, its points and their number; every such ring is a
+    shell. Polygons with other lines, poles, more stretches, holes wholly on one side or areas near 0 are left.
+    """
+    begin, count = units
+    unit, number = _spread(count)
+    ring = begin[unit] + number
+    size = np.diff(batch.ring_at)[ring]
+    left = np.bincount(unit[size < 4], minlength=len(count)) > 0  # polygons that are left to `split_polygon`
+    some = ~left[unit]
+    unit, number, ring, size = unit[some], number[some], ring[some], size[some]
+    at = np.cumsum(size) - size
+    of, place = _spread(size)
+    xy = batch.xy[batch.ring_at[ring][of] + place]
+    # unwrap
+    steps = np.diff(xy[:, 0], prepend=0.0)
+    turn = np.where(place == 0, 0, np.where(steps > TURN / 2, -1, np.where(steps < -TURN / 2, 1, 0)))
+    turns = np.cumsum(turn)
+    x, y = xy[:, 0] + TURN * (turns - turns[at][of]), xy[:, 1]
+    np.logical_or.at(left, unit, (x[at] != x[at + size - 1]) | ~np.isfinite(_per_ring(x + y, at, np.add)))
+    low, high = _per_ring(x, at, np.minimum), _per_ring(x, at, np.maximum)
+    shell = np.zeros(len(count), np.int64)
+    shell[unit[number == 0]] = np.flatnonzero(number == 0)
+    middle = ((low + high) / 2)[shell[unit]]
+    x = x + (TURN * np.where(number > 0, np.round((middle - (low + high) / 2) / TURN), 0.0))[of]
+    first = np.floor((low[shell] + TURN / 2) / TURN)
+    left |= np.ceil((high[shell] - TURN / 2) / TURN) != first + 1
+    line = (TURN * first + TURN / 2)[unit][of]
+    # shells run left, holes right round
+    ahead = np.minimum(np.arange(len(x)) + 1, len(x) - 1)
+    u, v = x - x[at][of], y - y[at][of]
+    inner = place < size[of] - 1
+    terms = np.where(inner, u * v[ahead] - u[ahead] * v, 0.0)
+    twice = _per_ring(terms, at, np.add)
+    np.logical_or.at(left, unit, np.abs(twice) <= 1e-9 * _per_ring(np.abs(terms), at, np.add))
+    turned = ((twice > 0) != (number == 0))[of]
+    source = at[of] + np.where(turned, size[of] - 1 - place, place)
+    x, y = x[source], y[source]
+    back = np.where(place == 0, at[of] + size[of] - 2, np.arange(len(x)) - 1)  # the vertex before, in a ring without its end
+    sides = []
+    for sign in (-1.0, 1.0):
+        here = (sign * (x - line) > 0) & inner
+        entry = here & ~here[back]
+        stretches, inside = _per_ring(entry.astype(np.int64), at, np.add), _per_ring(here.astype(np.int64), at, np.add)
+        # a ring on the other side has none; one wholly on this side has no entry
+        np.logical_or.at(left, unit, (stretches > 1) | ((stretches == 0) & (inside > 0)))
+        cut = np.flatnonzero(stretches == 1)
+        left |= np.bincount(unit[cut], minlength=len(count)) > 2
+        sides.append((cut, np.flatnonzero(entry), inside))
+    out = []
+    for side, (cut, entries, inside) in enumerate(sides):
+        entries = entries[stretch_is_one(entries, of, cut, len(size))]
+        some = ~left[unit[cut]]
+        cut, entries = cut[some], entries[some]
+        own, body, start, m = unit[cut], inside[cut], entries - at[cut], size[cut] - 1
+        vertex = lambda n, c=cut, m=m: at[c] + n % m
+        border = line[at[cut]]
+
+        def on_line(a, b, border=border):
+            share = (border - x[a]) / (x[b] - x[a])
+            return y[a] + share * (y[b] - y[a])
+
+        enter = on_line(vertex(start - 1), vertex(start))
+        leave = on_line(vertex(start + body - 1), vertex(start + body))
+        # of two stretches: each alone, or joined along the line; marks in order of place must be one entry, one exit
+        one = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else own
+        two = one[np.r_[np.diff(one), len(own) - one[-1]] == 2] if len(one) else one
+        marks = np.column_stack([enter[two], enter[two + 1], leave[two], leave[two + 1]])
+        order = np.lexsort((np.tile([0, 1, 0, 1], (len(two), 1)), np.tile([0, 0, 1, 1], (len(two), 1)), marks), axis=1) if len(two) else np.zeros((0, 4), int)
+        exits, chain = order >= 2, order % 2
+        odd = (exits[:, 0] == exits[:, 1]) | (exits[:, 2] == exits[:, 3])
+        left[own[two[odd]]] = True
+        joined = np.zeros(len(own), bool)
+        joined[two] = chain[:, 0] != chain[:, 1]
+        out.append((own, body, start, m, cut, border, enter, leave, joined))
+    made = []
+    for side, (own, body, start, m, cut, border, enter, leave, joined) in enumerate(out):
+        second = np.r_[False, joined[:-1]] if len(joined) else joined
+        head = np.arange(len(own)) - second  # the stretch that the ring begins with
+        closes = ~joined
+        # every ring: its stretches, then its first point again
+        pieces = np.repeat(np.arange(len(own)), 1 + closes)
+        end = np.r_[pieces[1:] != pieces[:-1], True] & closes[pieces] if len(pieces) else closes
+        pieces = np.where(end, head[pieces], pieces)
+        lengths = np.where(end, 1, body[pieces] + 2)
+        ringno = np.cumsum(np.r_[0, end[:-1]]) if len(end) else pieces
+        piece, place = _spread(lengths)
+        c = pieces[piece]
+        at_line = (place == 0) | (place == body[c] + 1)
+        source = at[cut[c]] + (start[c] + place - 1) % m[c]
+        k = first[own[c]] + side
+        px = np.where(at_line, border[c], x[source]) - TURN * k
+        py = np.where(place == 0, enter[c], np.where(at_line, leave[c], y[source]))
+        of_ring = ringno[piece]
+        new = np.r_[True, (of_ring[1:] != of_ring[:-1]) | (px[1:] != px[:-1]) | (py[1:] != py[:-1])] if len(px) else np.zeros(0, bool)
+        px, py, of_ring = px[new], py[new], of_ring[new]
+        points = np.bincount(of_ring, minlength=int(end.sum()))
+        owner = own[pieces[end]]
+        good = (points > 3) & ~left[owner]
+        kept = good[of_ring]
+        made.append((owner[good], np.column_stack([px, py])[kept], points[good]))
+    owner, xy, points = (np.concatenate(v) for v in zip(*made))
+    order = np.argsort(owner, kind="stable")
+    starts = np.cumsum(points) - points
+    item, place = _spread(points[order])
+    return ~left, owner[order], xy[starts[order][item] + place], points[order]
+
+
+def split_batch(batch: Batch) -> Batch:
+    """Every polygon cut; most of them together (`split_plain`), the others one by one."""
+    kinds = list(batch.kinds)
+    # rings stand in order of row and part; a shell goes before its holes
+    fresh = np.r_[True, (np.diff(batch.ring_row) != 0) | (np.diff(batch.ring_part) != 0)] if len(batch.ring_row) else np.zeros(0, bool)
+    begin = np.flatnonzero(fresh)
+    count = np.diff(np.r_[begin, len(fresh)])
+    group = np.cumsum(fresh) - 1
+    order = np.lexsort((batch.ring_hole, group))
+    item, place = _spread(np.diff(batch.ring_at)[order])
+    at = np.concatenate([[0], np.cumsum(np.diff(batch.ring_at)[order])])
+    xy = batch.xy[batch.ring_at[order][item] + place]
+    batch = Batch(kinds, xy, at, batch.ring_row[order], batch.ring_part[order], batch.ring_hole[order], batch.rows)
+    done, unit, xy, points = split_plain(batch, (begin, count)) if len(begin) else (np.zeros(0, bool), begin, batch.xy, begin)
+    polygon, hole = np.arange(len(unit)), np.zeros(len(unit), bool)
+    rest = []
+    for u in np.flatnonzero(~done):
+        rings = range(begin[u], begin[u] + count[u])
+        rest += [(u, n, i > 0, r) for n, p in enumerate(split_polygon([batch.xy[at[i] : at[i + 1]] for i in rings])) for i, r in enumerate(p)]
+    if rest:
+        xy = np.vstack([xy, *[r for *_, r in rest]])
+        unit, polygon = np.r_[unit, [u for u, *_ in rest]], np.r_[polygon, [n for _, n, *_ in rest]]
+        hole, points = np.r_[hole, [h for _, _, h, _ in rest]], np.r_[points, [len(r) for *_, r in rest]]
+    # back into the order of polygons; parts of a row are numbered from 0
+    starts = np.cumsum(points) - points
+    order = np.argsort(unit, kind="stable")
+    unit, polygon, hole, points, starts = (v[order] for v in (unit, polygon, hole, points, starts))
+    row = batch.ring_row[begin[unit]]
+    shells = np.cumsum(~hole)
+    before = np.searchsorted(row, row)  # the row's first ring
+    part = shells - shells[before] if len(row) else row
+    parts = np.bincount(row[~hole], minlength=batch.rows)
+    for r in np.flatnonzero(parts > 1):
+        kinds[r] = "MultiPolygon"
+    item, place = _spread(points)
+    return Batch(kinds, xy[starts[item] + place], np.concatenate([[0], np.cumsum(points)]), row, part, hole, batch.rows)
+
+
+def stretch_is_one(entries: np.ndarray, of: np.ndarray, cut: np.ndarray, rings: int) -> np.ndarray:
+    """Which entries are of rings with one stretch."""
+    single = np.zeros(rings, bool)
+    single[cut] = True
+    return single[of[entries]]
+
+
 def crosses(rings: Column) -> Column:
     """Some edge is longer than half the globe, or some vertex lies beyond it."""
     far = lambda xs: F.exists(xs, lambda x: F.abs(x) > TURN / 2)
@@ -158,23 +321,6 @@ def split(kind: Column, rings: Column) -> Column:
     @F.arrow_udf(shapes.GEOMETRY_DDL)
     def run(v: pa.Array) -> pa.Array:
         batch = Batch.from_rings(v)
-        kinds = list(batch.kinds)
-        pieces, of_row, of_part, of_hole = [], [], [], []
-        # rings stand in order of row and part
-        borders = np.flatnonzero((np.diff(batch.ring_row) != 0) | (np.diff(batch.ring_part) != 0)) + 1
-        parts = np.zeros(batch.rows, np.int64)
-        for group in np.split(np.arange(len(batch.ring_row)), borders) if len(batch.ring_row) else ():
-            row = int(batch.ring_row[group[0]])
-            group = sorted(group, key=lambda i: batch.ring_hole[i])
-            for polygon in split_polygon([batch.xy[batch.ring_at[i] : batch.ring_at[i + 1]] for i in group]):
-                for number, ring in enumerate(polygon):
-                    pieces.append(ring)
-                    of_row.append(row)
-                    of_part.append(int(parts[row]))
-                    of_hole.append(number > 0)
-                parts[row] += 1
-        for row in np.flatnonzero(parts > 1):
-            kinds[row] = "MultiPolygon"
-        return Batch._pack(kinds, pieces, of_row, of_part, of_hole, batch.rows).to_arrow()
+        return split_batch(batch).to_arrow()
 
     return F.when(over, run(F.when(over, whole))).otherwise(whole)

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from granulake.functions import meridian, shapes
+from granulake.functions.geometry_batch import Batch
 
 
 def area(polygons):
@@ -89,3 +90,52 @@ def test_columns(spark):
     for (kind, rings), r in list(zip(rows, got))[1:5]:
         assert (r.g.kind, [tuple(x) for x in r.g.rings]) == (kind, rings)
     assert got[5].g is None
+
+
+def packed(rows):
+    """Rows of polygons (shell, then holes) as a batch."""
+    rings = [(i, n, k > 0, ring) for i, polygons in enumerate(rows) for n, p in enumerate(polygons) for k, ring in enumerate(p)]
+    kinds = ["Polygon" if len(p) == 1 else "MultiPolygon" for p in rows]
+    return Batch._pack(kinds, [r for *_, r in rings], *[[x[k] for x in rings] for k in range(3)], len(rows))
+
+
+def one_by_one(rows):
+    cut = [[q for p in polygons for q in meridian.split_polygon(p)] for polygons in rows]
+    out = packed(cut)
+    out.kinds = [k if len(q) < 2 else "MultiPolygon" for k, q in zip(packed(rows).kinds, cut)]
+    return out
+
+
+def test_a_batch_is_cut_like_its_polygons():
+    rng = np.random.default_rng(3)
+
+    def star(x, n, size, grid):
+        angle = np.sort(rng.uniform(0, 2 * np.pi, n))
+        points = np.column_stack([x, 0]) + size * rng.uniform(0.4, 1, (n, 1)) * np.column_stack([np.cos(angle), np.sin(angle)])
+        points = np.round(points / 5) * 5 if grid else points  # vertices on the line, areas of 0, rings that touch
+        return closed(*points[:: rng.choice([-1, 1])])
+
+    rows = []
+    for i in range(1500):
+        polygons = []
+        for _ in range(1 + (rng.random() < 0.2)):
+            x = 180 + rng.uniform(-12, 12)
+            rings = [star(x, rng.integers(3, 9), 15, i % 3 == 0), *[star(x + rng.uniform(-4, 4), 4, 3, i % 3 == 0) for _ in range(rng.integers(0, 3))]]
+            polygons.append([np.column_stack([(r[:, 0] + 180) % 360 - 180 if i % 2 else r[:, 0], r[:, 1]]) for r in rings])
+        rows.append(polygons)
+    rows += [[[closed(*[(x, 60) for x in (-135, -45, 45, 135)])]], [], [[box(170, 0, 550, 9)]]]
+    got, expected = meridian.split_batch(packed(rows)), one_by_one(rows)
+    assert got.kinds == expected.kinds
+    for name in ("xy", "ring_at", "ring_row", "ring_part", "ring_hole"):
+        assert np.array_equal(getattr(got, name), getattr(expected, name))
+
+
+def test_plain_polygons_do_not_go_one_by_one(monkeypatch):
+    def triangle(x, y, d, turn):
+        return closed((x, y), (x + d, y), (x, y + d))[::turn]
+
+    rows = [[[triangle(180 - d * q / 4, 3 * q, d, 1), triangle(180 - d * q / 4 + d / 8, 3 * q + d / 8, d / 2, -1)][: 1 + (q == 1)]] for d in range(2, 9) for q in (1, 2, 3)]
+    expected, single, asked = one_by_one(rows), meridian.split_polygon, []
+    monkeypatch.setattr(meridian, "split_polygon", lambda rings: asked.append(1) or single(rings))
+    got = meridian.split_batch(packed(rows))
+    assert np.array_equal(got.xy, expected.xy) and not asked  # before: every polygon
